@@ -18,6 +18,19 @@ def tokenizer_path(kind: str) -> str:
     return str(public_tokenizers.path(TOKENIZERS[kind]))
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.quality import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.pii import pii_digest
 
@@ -30,6 +43,12 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), tokenizer_path("pieces"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.audio import digest, store
 
@@ -49,7 +68,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_pii, op4_sentencepiece, op6_media, op7_token_ids, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_main_text, op2_quality, op3_pii, op4_sentencepiece, op5_decontaminate, op6_media, op7_token_ids, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
