@@ -61,6 +61,12 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer_path("ids"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.lines import line_digest
 
@@ -68,7 +74,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_main_text, op2_quality, op3_pii, op4_sentencepiece, op5_decontaminate, op6_media, op7_token_ids, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_main_text, op2_quality, op3_pii, op4_sentencepiece, op5_decontaminate, op6_media, op7_token_ids, op8_jaccard_join, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
