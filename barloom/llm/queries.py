@@ -73,8 +73,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.pfp import repeat_digest
+
+    return repeat_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_main_text, op2_quality, op3_pii, op4_sentencepiece, op5_decontaminate, op6_media, op7_token_ids, op8_jaccard_join, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_main_text, op2_quality, op3_pii, op4_sentencepiece, op5_decontaminate, op6_media, op7_token_ids, op8_jaccard_join, op9_line_dedup, op10_repeated_bytes)}
 
 
 def oracle_sql() -> dict[str, str]:
