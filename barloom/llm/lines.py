@@ -83,25 +83,34 @@ def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with ``text`` cut to the kept lines, and ``n_lines``, ``n_dropped``."""
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, counts: bool = True) -> DataFrame:
+    """All columns of ``docs`` with ``text`` cut to the kept lines and, with ``counts``, ``_n_lines`` and ``_n_dropped``.
+
+    A column ``n_chars`` is the text's length again.
+    """
     names = docs.columns
     body = F.col("text").cast("string")
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), *doc_key(F.col("doc_id"), body), body.alias("body"))
     joined = left.join(bitmaps, ["d1", "d2"], "left").select("doc", "words", "n_dropped", split_lines(F.col("body")).alias("lines"))
     kept = F.expr("array_join(filter(lines, (x, i) -> (shiftright(get(words, i div 64), i % 64) & 1L) = 0L), '\\n')")
     text = F.when(F.col("words").isNull(), F.coalesce(F.col("doc.text").cast("string"), F.lit(""))).otherwise(kept)
-    columns = [text.alias("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in names]
+    joined = joined.select("doc", "n_dropped", "lines", text.alias("kept"))
+    made = {"text": F.col("kept"), "n_chars": F.length("kept")}
+    if "n_chars" in names:
+        made["n_chars"] = made["n_chars"].cast(docs.schema["n_chars"].dataType)
+    columns = [(made[c] if c in made else F.col("doc").getField(c)).alias(c) for c in names]
+    if not counts:
+        return joined.select(*columns)
     return joined.select(*columns, F.size("lines").cast("long").alias("_n_lines"), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("_n_dropped"))
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none") -> DataFrame:
-    """``docs`` without the lines found in at least ``min_docs`` documents, with ``_n_lines`` and ``_n_dropped``.
+def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", counts: bool = True) -> DataFrame:
+    """``docs`` without the lines found in at least ``min_docs`` documents; with ``counts`` also ``_n_lines`` and ``_n_dropped``.
 
     Null and empty texts are one empty line, which has no key and stays. Rows with equal doc_id and text count
     as one document and are treated alike; null doc_ids are documents too. An empty table gives an empty result.
     """
-    return apply_bitmaps(docs, dropped_bitmaps(docs, min_docs, min_chars, keep))
+    return apply_bitmaps(docs, dropped_bitmaps(docs, min_docs, min_chars, keep), counts)
 
 
 def line_digest(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
