@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ORDER = W.partitionBy("symbol").orderBy("ts")
+def order() -> W:
+    """A symbol's rows in time. Made on each use: a window spec needs a running session."""
+    return W.partitionBy("symbol").orderBy("ts")
 
 
 def rows(n: int) -> W:
-    return ORDER.rowsBetween(-(n - 1), 0)
+    return order().rowsBetween(-(n - 1), 0)
 
 
 def guarded(agg: Callable[[str], Column], x: str, n: int, least: int | None = None) -> Column:
@@ -48,7 +50,7 @@ class Stage:
         return name
 
     def lag(self, x: str, k: int = 1) -> str:
-        return self.col(F.lag(x, k).over(ORDER))
+        return self.col(F.lag(x, k).over(order()))
 
 
 def ewm(source: str, alpha: float, least: int = 0) -> tuple[str, float, int]:
@@ -77,7 +79,7 @@ Gen = Generator[tuple[str, float, int], str, str]
 
 
 def _true_range(s: Stage) -> str:
-    before = F.lag("close", 1).over(ORDER)
+    before = F.lag("close", 1).over(order())
     return s.col(F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
 
 
@@ -95,7 +97,7 @@ def ema(s: Stage, src: str, n: int) -> Gen:
 
 
 def rsi(s: Stage, src: str, n: int) -> Gen:
-    change = s.col(F.col(src) - F.lag(src, 1).over(ORDER))
+    change = s.col(F.col(src) - F.lag(src, 1).over(order()))
     gain = yield ewm(s.col(F.greatest(F.col(change), F.lit(0.0)) + F.col(change) * 0), 1 / n, n)
     loss = yield ewm(s.col(F.greatest(-F.col(change), F.lit(0.0)) + F.col(change) * 0), 1 / n, n)
     return s.col(100 - 100 / (1 + over(F.col(gain), F.col(loss))))
@@ -143,7 +145,7 @@ def price_pos(s: Stage, n: int) -> Gen:
 
 
 def roc(s: Stage, n: int) -> Gen:
-    return s.col(100 * (over(F.col("close"), F.lag("close", n).over(ORDER)) - 1))
+    return s.col(100 * (over(F.col("close"), F.lag("close", n).over(order())) - 1))
     yield
 
 
@@ -164,7 +166,7 @@ def atr_pct(s: Stage, n: int) -> Gen:
 
 
 def adx(s: Stage, n: int) -> Gen:
-    up, down = s.col(F.col("high") - F.lag("high", 1).over(ORDER)), s.col(F.lag("low", 1).over(ORDER) - F.col("low"))
+    up, down = s.col(F.col("high") - F.lag("high", 1).over(order())), s.col(F.lag("low", 1).over(order()) - F.col("low"))
     u, d = F.col(up), F.col(down)
     plus = s.col(F.when((u > d) & (u > 0), u).otherwise(0.0))
     minus = s.col(F.when((d > u) & (d > 0), d).otherwise(0.0))
@@ -180,7 +182,7 @@ def adx(s: Stage, n: int) -> Gen:
 
 def mfi(s: Stage, n: int) -> Gen:
     typical = s.col((F.col("high") + F.col("low") + F.col("close")) / 3)
-    change = s.col(F.col(typical) - F.lag(typical, 1).over(ORDER))
+    change = s.col(F.col(typical) - F.lag(typical, 1).over(order()))
     flow = F.col(typical) * F.col("volume")
     up, down = s.col(F.when(F.col(change) > 0, flow).otherwise(0.0)), s.col(F.when(F.col(change) < 0, flow).otherwise(0.0))
     a, b = s.col(guarded(F.sum, up, n)), s.col(guarded(F.sum, down, n))
@@ -228,7 +230,7 @@ def _oscillator(s: Stage, which: str, p: int) -> Gen:
 
 def trending(s: Stage, which: str, p: int, n: int) -> Gen:
     y = yield from _oscillator(s, which, p)
-    at = s.col(F.row_number().over(ORDER).cast("double"))
+    at = s.col(F.row_number().over(order()).cast("double"))
     slope = F.when(F.count(y).over(rows(n)) >= n, F.regr_slope(F.col(y), F.col(at)).over(rows(n)))
     out = s.col(50 * over(slope, guarded(F.stddev_samp, y, n)))
     return s.col(F.when(F.col(out).isNotNull(), F.least(F.greatest(F.col(out), F.lit(-100.0)), F.lit(100.0))))
@@ -262,18 +264,18 @@ def funding_zscore(s: Stage, n: int) -> Gen:
 
 
 def oi_change(s: Stage, n: int) -> Gen:
-    return s.col(100 * (over(F.col("open_interest"), F.lag("open_interest", n).over(ORDER)) - 1))
+    return s.col(100 * (over(F.col("open_interest"), F.lag("open_interest", n).over(order())) - 1))
     yield
 
 
 def oi_price_div(s: Stage, n: int) -> Gen:
-    change = lambda x: over(F.col(x), F.lag(x, n).over(ORDER)) - 1
+    change = lambda x: over(F.col(x), F.lag(x, n).over(order())) - 1
     return _z(s, s.col(change("open_interest") - change("close")), 4 * n, n)
     yield
 
 
 def ls_ratio_change(s: Stage, n: int) -> Gen:
-    return _z(s, s.col(F.col("ls_ratio") - F.lag("ls_ratio", n).over(ORDER)), 4 * n, n)
+    return _z(s, s.col(F.col("ls_ratio") - F.lag("ls_ratio", n).over(order())), 4 * n, n)
     yield
 
 

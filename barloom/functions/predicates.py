@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.indicators import ORDER, guarded, over, rows
+from barloom.functions.indicators import order, guarded, over, rows
 
 PERSIST = 6  # bars that a crossing stays true, while its condition holds
 
@@ -21,7 +21,7 @@ def compare(left: Column, op: str, right: Column) -> Column:
 def cross_event(left: str, right: str, above: bool = True) -> Column:
     """The bar on which ``left`` comes to stand above (below) ``right``."""
     l0, r0 = F.col(left), F.col(right)
-    l1, r1 = F.lag(left, 1).over(ORDER), F.lag(right, 1).over(ORDER)
+    l1, r1 = F.lag(left, 1).over(order()), F.lag(right, 1).over(order())
     return F.coalesce((l0 > r0) & (l1 <= r1) if above else (l0 < r0) & (l1 >= r1), F.lit(False))
 
 
@@ -88,11 +88,11 @@ def logic(text: str, conditions: list[Column]) -> Column:
 # predicates on a bar and its past; a value out of range is 0
 
 def shifted(x: str, k: int = 0) -> Column:
-    return F.coalesce(F.lag(x, k).over(ORDER) if k else F.col(x), F.lit(0.0))
+    return F.coalesce(F.lag(x, k).over(order()) if k else F.col(x), F.lit(0.0))
 
 
 def change_pct(x: str, k: int) -> Column:
-    before = F.lag(x, k).over(ORDER)
+    before = F.lag(x, k).over(order())
     return F.coalesce(over(F.col(x) - before, before), F.lit(0.0))
 
 

@@ -76,7 +76,6 @@ def run(high: np.ndarray, low: np.ndarray, close: np.ndarray, atr: np.ndarray, s
         elif signal[i] and atr[i] > 0:  # a missing ATR is NaN here, which is not above 0
             entry, size, since, moved, held = close[i] * pay_in, atr[i], i, False, True
             stop, target = entry - side * rules.sl * size, entry + side * rules.tp * size
-            best = high[i] if side > 0 else low[i]
             best = entry
         curve[i] = equity
     if held:

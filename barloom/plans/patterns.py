@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.indicators import ORDER, Stage, ewm_pass, guarded, over, rows
+from barloom.functions.indicators import order, Stage, ewm_pass, guarded, over, rows
 
 # The pattern modules and their expressions.
 MODULES = {
@@ -95,7 +95,7 @@ def basic_features(df: DataFrame) -> DataFrame:
 def indicator_pack(df: DataFrame) -> DataFrame:
     """The basic features and the fifteen indicator columns that tokens read; one window partitioning, two recursive passes."""
     s = Stage(basic_features(df))
-    change = s.col(F.col("close") - F.lag("close", 1).over(ORDER))
+    change = s.col(F.col("close") - F.lag("close", 1).over(order()))
     gain = s.col(F.when(F.col(change) > 0, F.col(change)).otherwise(0.0))
     loss = s.col(F.when(F.col(change) < 0, -F.col(change)).otherwise(0.0))
     put = lambda name, e: setattr(s, "df", s.df.withColumn(name, e))
@@ -108,7 +108,7 @@ def indicator_pack(df: DataFrame) -> DataFrame:
     put("bb_lower", F.col("sma_20") - 2 * F.col(sd))
     put("bb_width", F.col("bb_upper") - F.col("bb_lower"))
     put("bb_width_sma_20", guarded(F.avg, "bb_width", 20))
-    before = F.lag("close", 1).over(ORDER)
+    before = F.lag("close", 1).over(order())
     tr = s.col(F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
     put("atr_14", guarded(F.avg, tr, 14))
     put("atr_sma_20", guarded(F.avg, "atr_14", 20))
@@ -141,13 +141,13 @@ def compile_tokens(text: str) -> Column:
     shape = TOKEN.sub(lambda m: names.setdefault(m[0], None) or f"§{list(names).index(m[0])}§", text)
     if not re.fullmatch(r"(?:§\d+§|\d+(?:\.\d+)?|[<>]=?|[()*+\-/]|AND|OR|NOT|\s)+", shape):
         raise ValueError(f"not a token expression: {text!r}")
-    columns = [F.lag(c, k).over(ORDER) if k else F.col(c) for c, k in (token(TOKEN.fullmatch(t)) for t in names)]
+    columns = [F.lag(c, k).over(order()) if k else F.col(c) for c, k in (token(TOKEN.fullmatch(t)) for t in names)]
     tokens = re.findall(r"§\d+§|\d+(?:\.\d+)?|[<>]=?|[()*+\-/]|AND|OR|NOT", shape)
     value = _Parser(tokens, columns).either()
     known = None
     for c in columns:
         known = c.isNotNull() if known is None else known & c.isNotNull()
-    far = F.row_number().over(ORDER) - 1 >= lookback(text)
+    far = F.row_number().over(order()) - 1 >= lookback(text)
     return F.coalesce(value & far & (known if known is not None else F.lit(True)), F.lit(False))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions import predicates as P
-from barloom.functions.indicators import ORDER, add, atr_sma, guarded, over, parse_call, rows
+from barloom.functions.indicators import order, add, atr_sma, guarded, over, parse_call, rows
 from barloom.plans import patterns
 from barloom.queries import register
 from barloom.queries import sql as S
@@ -21,7 +21,7 @@ def with_sides(bars: DataFrame, funding: DataFrame) -> DataFrame:
     """Bars with funding as of their start, and stand-ins for open interest and the two ratios."""
     out = asof_backward(bars, funding, "funding_rate")
     return (
-        out.withColumn("open_interest", 1000 + F.sum("volume").over(ORDER))
+        out.withColumn("open_interest", 1000 + F.sum("volume").over(order()))
         .withColumn("ls_ratio", 1 + (F.col("close") - F.col("open")) / F.col("open"))
         .withColumn("taker_buy_sell_ratio", (F.col("high") - F.col("open") + 1) / (F.col("open") - F.col("low") + 1))
     )
@@ -220,13 +220,13 @@ def tok_expr(spark, sf_dir):
 
 @register("tok_lookback", S.query(S.BARS, select=f"SELECT symbol, count(*) FILTER (WHERE rn >= 14) AS n FROM (SELECT symbol, row_number() OVER ({S.O}) - 1 AS rn FROM bars) GROUP BY 1"))
 def tok_lookback(spark, sf_dir):
-    at = event_bars(spark, sf_dir).withColumn("rn", F.row_number().over(ORDER) - 1)
+    at = event_bars(spark, sf_dir).withColumn("rn", F.row_number().over(order()) - 1)
     return at.groupBy("symbol").agg(F.count(F.when(F.col("rn") >= patterns.lookback("RSI[14][0] < 30"), 1)).alias("n"))
 
 
 @register("sig_v1_warmup", S.query(S.BARS, S.staged("bars", PACK_SQL[0]), select=f"SELECT symbol, ts, ({_token_sql('C[0] > C[1]')}) AND rn >= 34 AS v FROM z"))
 def sig_v1_warmup(spark, sf_dir):
-    late = F.row_number().over(ORDER) - 1 >= 14 + 20
+    late = F.row_number().over(order()) - 1 >= 14 + 20
     return event_bars(spark, sf_dir).select("symbol", "ts", (patterns.compile_tokens("C[0] > C[1]") & late).alias("v"))
 
 
@@ -285,7 +285,7 @@ for _name, _text in _PRD_SQL.items():
       {"v": f"coalesce(100 - 100/(1 + ({S.g('avg', 'up', 14)})/nullif({S.g('avg', 'dn', 14)}, 0)), 50.0)"}), select=f"SELECT symbol, ts, {S.rnd('v')} AS v FROM z"),
 )
 def prd_rsi(spark, sf_dir):
-    df = event_bars(spark, sf_dir).withColumn("ch", F.col("close") - F.lag("close", 1).over(ORDER))
+    df = event_bars(spark, sf_dir).withColumn("ch", F.col("close") - F.lag("close", 1).over(order()))
     df = df.withColumn("up", F.when(F.col("ch") > 0, F.col("ch")).otherwise(0.0)).withColumn("dn", F.when(F.col("ch") < 0, -F.col("ch")).otherwise(0.0))
     v = 100 - 100 / (1 + over(guarded(F.avg, "up", 14), guarded(F.avg, "dn", 14)))
     return df.select("symbol", "ts", rnd(F.coalesce(v, F.lit(50.0))).alias("v"))
@@ -328,7 +328,7 @@ _C3 = {"c0": "close > open", "c1": "volume > 1", "c2": f"coalesce(close < {S.lag
 
 @register("lgc_expr", S.query(S.BARS, S.staged("bars", _C3), select="SELECT symbol, ts, (c0 AND c1) OR c2 AS a, c0 OR c1 AND c2 AS b, c0 AND (c1 OR c2) AS c FROM z"))
 def lgc_expr(spark, sf_dir):
-    cs = [P.compare(F.col("close"), ">", F.col("open")), P.compare(F.col("volume"), ">", F.lit(1.0)), P.compare(F.col("close"), "<", F.lag("close", 1).over(ORDER))]
+    cs = [P.compare(F.col("close"), ">", F.col("open")), P.compare(F.col("volume"), ">", F.lit(1.0)), P.compare(F.col("close"), "<", F.lag("close", 1).over(order()))]
     return event_bars(spark, sf_dir).select("symbol", "ts", P.logic("(c0 AND c1) OR c2", cs).alias("a"), P.logic("c0 OR c1 AND c2", cs).alias("b"), P.logic("c0 AND (c1 OR c2)", cs).alias("c"))
 
 
