@@ -54,7 +54,7 @@ def bundle(curve: DataFrame, keys: list[str], periods: float, value: str = "equi
         F.count("*").alias("n"), cagr(value, periods).alias("cagr"), F.min("dd").alias("max_dd"), ulcer().alias("ulcer"), sharpe(periods).alias("sharpe"), sortino(periods).alias("sortino"),
         sortino_rms(periods).alias("sortino_rms"), (F.stddev_samp("r") * periods**0.5).alias("volatility"), (F.max_by(value, "ts") / F.min_by(value, "ts") - 1).alias("total_return"),
         F.avg(F.when(F.col("r").isNotNull(), (F.col("r") > 0).cast("double"))).alias("win_rate"),
-        F.sum(F.when(F.col("r") > 0, F.col("r"))).alias("gain"), -F.sum(F.when(F.col("r") < 0, F.col("r"))).alias("loss"),
+        F.sum(F.when(F.col("r") > 0, F.col("r"))).alias("gain"), (-F.sum(F.when(F.col("r") < 0, F.col("r")))).alias("loss"),
     )
     out = out.withColumn("calmar", calmar(F.col("cagr"), F.col("max_dd"))).withColumn("upi", upi(F.col("cagr"), F.col("ulcer")))
     return out.withColumn("profit_factor", profit_factor(F.col("gain"), F.col("loss"))).drop("gain", "loss")

@@ -1,0 +1,195 @@
+"""Evolutionary search: the driver holds the population, each generation is evaluated as one Spark job."""
+
+from __future__ import annotations
+
+import dataclasses
+import random
+import re
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barloom.plans.grammar import decode
+from barloom.plans.strategy import Strategy, parse, with_signals
+
+LENGTH, CODON = 50, 256
+NUMBER = re.compile(r"(?<=[(,=\s])-?\d+(?:\.\d+)?(?=[),\s]|$)")
+
+
+def random_genome(draw: random.Random) -> list[int]:
+    return [draw.randrange(CODON) for _ in range(LENGTH)]
+
+
+def crossover(a: list[int], b: list[int], draw: random.Random) -> tuple[list[int], list[int]]:
+    """Two points; the middles change places."""
+    i, j = sorted(draw.sample(range(1, min(len(a), len(b))), 2))
+    return a[:i] + b[i:j] + a[j:], b[:i] + a[i:j] + b[j:]
+
+
+def mutate(g: list[int], rate: float, draw: random.Random) -> list[int]:
+    return [draw.randrange(CODON) if draw.random() < rate else c for c in g]
+
+
+def mutation_rate(generation: int, generations: int, first: float = 0.6, last: float = 0.35) -> float:
+    return first + (last - first) * min(1.0, generation / max(1, generations - 1))
+
+
+def parameters(expression: str) -> list[float]:
+    return [float(x) for x in NUMBER.findall(expression)]
+
+
+def rebuild(expression: str, values: list[float]) -> str:
+    """The expression with its numbers replaced in order; whole numbers stay whole."""
+    left = iter(values)
+
+    def one(m: re.Match) -> str:
+        v = next(left)
+        return f"{v:.2f}" if "." in m[0] else str(int(round(v)))
+
+    return NUMBER.sub(one, expression)
+
+
+def bounds(values: list[float], tight: float = 0.3) -> list[tuple[float, float]]:
+    """A range around each value, at least one wide for whole numbers."""
+    return [(v - max(abs(v) * tight, 0.5), v + max(abs(v) * tight, 0.5)) for v in values]
+
+
+@dataclasses.dataclass
+class Member:
+    genome: list[int]
+    expression: str | None
+    fitness: float = -999.0
+
+
+def evaluate(bars: DataFrame, expressions: list[str], seconds: int = 3600, cost: float = 0.0002) -> dict[str, float]:
+    """Mean over deviation of each expression's trades over all symbols: one job for all of them."""
+    from barloom.operators.backtest import long_form, trades
+    from barloom.operators.kernel import Rules
+
+    made: dict[str, Strategy] = {f"e{k}": parse(e) for k, e in enumerate(expressions)}
+    if not made:
+        return {}
+    rules = {k: Rules(s.direction, s.tp, s.sl or 1.5, s.trail, cost) for k, s in made.items()}
+    rows = long_form(with_signals(bars, made, seconds, {"atr": ("ATR", (14,))}), list(made))
+    got = trades(rows, rules).groupBy("strategy_id").agg(F.count("*").alias("n"), F.avg("pnl").alias("m"), F.stddev_samp("pnl").alias("s")).collect()  # one row an expression
+    scores = {r["strategy_id"]: (r["m"] / r["s"] if r["n"] >= 5 and r["s"] else -999.0) for r in got}
+    return {e: scores.get(f"e{k}", -999.0) for k, e in enumerate(expressions)}
+
+
+class Search:
+    """Elitist generations over islands with a ring migration; results are cached by expression."""
+
+    def __init__(self, bars: DataFrame, seed: int = 42, islands: int = 2, size: int = 6, niches: bool = False):
+        self.bars, self.draw, self.cache = bars, random.Random(seed), {}
+        self.niches = niches
+        self.islands = [[self._member(random_genome(self.draw)) for _ in range(size)] for _ in range(islands)]
+        self.history: list[tuple[int, float, float, int]] = []
+
+    @staticmethod
+    def _member(genome: list[int]) -> Member:
+        return Member(genome, decode(genome))
+
+    def _score(self) -> None:
+        everyone = [m for island in self.islands for m in island]
+        missing = sorted({m.expression for m in everyone if m.expression and m.expression not in self.cache})
+        self.cache.update(evaluate(self.bars, missing))
+        for m in everyone:
+            m.fitness = self.cache.get(m.expression, -999.0) if m.expression else -999.0
+        best = sorted((m.fitness for m in everyone), reverse=True)
+        self.history.append((len(self.history), best[0], best[len(best) // 2], sum(f > -999 for f in best)))
+
+    def _niche(self, m: Member) -> int:
+        return min(2, (m.expression or "").count(" AND ") + (m.expression or "").count(" OR "))
+
+    def step(self, generations: int) -> None:
+        rate = mutation_rate(len(self.history), generations)
+        for k, island in enumerate(self.islands):
+            island.sort(key=lambda m: -m.fitness)
+            elite = island[:2]
+            if self.niches:  # the best of each complexity stays
+                elite = list({self._niche(m): m for m in reversed(island)}.values())[:3]
+            children = []
+            while len(elite) + len(children) < len(island):
+                a, b = (max(self.draw.sample(island, min(3, len(island))), key=lambda m: m.fitness) for _ in range(2))
+                children += [self._member(mutate(g, rate * 0.2, self.draw)) for g in crossover(a.genome, b.genome, self.draw)]
+            self.islands[k] = [*elite, *children][: len(island)]
+        best = [max(i, key=lambda m: m.fitness) for i in self.islands]
+        for k, m in enumerate(best):
+            self.islands[(k + 1) % len(self.islands)][-1] = m
+
+    def run(self, generations: int) -> list[tuple[int, float, float, int]]:
+        self._score()
+        for _ in range(generations - 1):
+            self.step(generations)
+            self._score()
+        return self.history
+
+
+def cmaes(start: list[float], score, rounds: int, size: int, seed: int, sigma: float = 0.2) -> tuple[list[float], list[float]]:
+    """A small CMA-ES on scaled parameters; ``score`` takes a list of vectors, so a generation is one batch."""
+    rng = np.random.default_rng(seed)
+    n, scale = len(start), np.maximum(np.abs(start), 0.5)
+    mean, cov, best, said = np.zeros(n), np.eye(n), (-np.inf, list(start)), []
+    mu = size // 2
+    weight = np.log(mu + 0.5) - np.log(np.arange(1, mu + 1))
+    weight /= weight.sum()
+    for _ in range(rounds):
+        z = rng.multivariate_normal(np.zeros(n), cov + 1e-9 * np.eye(n), size)
+        points = [list(np.array(start) + (mean + sigma * x) * scale) for x in z]
+        got = score(points)
+        order = np.argsort(got)[::-1][:mu]
+        best = max(best, (got[order[0]], points[order[0]]), key=lambda b: b[0])
+        mean = mean + sigma * weight @ z[order]
+        cov = 0.8 * cov + 0.2 * (z[order].T * weight) @ z[order]
+        said.append(float(best[0]))
+    return best[1], said
+
+
+def search(spark: SparkSession, bars: DataFrame, name: str) -> DataFrame:
+    """``generation, best, median, valid`` of a short search."""
+    bars = bars.persist()
+    try:
+        if name == "ge_cmaes":
+            base = "LONG WHEN STOCH_K(14) _LT_ 30 EXIT TP=3.00 SL=1.50"
+
+            def score(points: list[list[float]]) -> list[float]:
+                texts = [rebuild(base, [max(2, p[0]), min(95, max(5, p[1])), max(0.2, p[2]), max(0.2, p[3])]) for p in points]
+                found = evaluate(bars, list(dict.fromkeys(texts)))
+                return [found[t] for t in texts]
+
+            _, said = cmaes(parameters(base), score, 2, 6, 7)
+            rows = [(k, round(b, 6), round(b, 6), 1) for k, b in enumerate(said)]
+        else:
+            rows = [(g, round(b, 6), round(m, 6), v) for g, b, m, v in Search(bars, niches=name == "ge_nsga_niched").run(2)]
+        return spark.createDataFrame(rows, "generation bigint, best double, median double, valid bigint")
+    finally:
+        bars.unpersist()
+
+
+def demonstrate(spark: SparkSession, name: str) -> DataFrame:
+    """``i, said``: what each genome or parameter operator makes of fixed inputs."""
+    draw = random.Random(42)
+    a, b = random_genome(draw), random_genome(draw)
+    text = "LONG WHEN RSI(close,14) _LT_ 30 EXIT TP=3.0 SL=1.5"
+    made = {
+        "ge_random": lambda: [a, b],
+        "ge_crossover": lambda: list(crossover(a, b, draw)),
+        "ge_mutate": lambda: [mutate(a, mutation_rate(0, 10), draw), mutate(a, mutation_rate(9, 10), draw)],
+        "ge_params": lambda: parameters(text),
+        "ge_rebuild": lambda: [rebuild(text, [10, 25, 2.0, 1.0])],
+        "ge_tighten": lambda: bounds(parameters(text)),
+        "ge_v1_ops": lambda: module_offspring(draw),
+    }[name]()
+    return spark.createDataFrame([(i, str(x)) for i, x in enumerate(made)], "i bigint, said string")
+
+
+def module_offspring(draw: random.Random, n: int = 6) -> list[tuple[str, ...]]:
+    """Pattern chromosomes: random module sets, one crossover and one exchange of a module in each."""
+    from barloom.plans.patterns import MODULES
+
+    names = list(MODULES)
+    parents = [tuple(sorted(draw.sample(names, draw.randint(2, 4)))) for _ in range(n)]
+    children = [tuple(sorted({*x[: len(x) // 2], *y[len(y) // 2 :]})) for x, y in zip(parents[::2], parents[1::2], strict=False)]
+    changed = [tuple(sorted({*c[1:], draw.choice(names)})) for c in children]
+    return [*parents, *children, *changed]
