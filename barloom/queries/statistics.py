@@ -1 +1,236 @@
+"""Resampling statistics, cross-validated back-tests and gates."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from barloom.operators import backtest as BT
+from barloom.operators import metrics as M
+from barloom.operators import splits
+from barloom.operators import statistics as T
+from barloom.operators.kernel import Rules
+from barloom.queries import register
+from barloom.queries import sql as S
+from barloom.queries.backtests import _TRADES, COST, SIGNAL, base_trades, machine, recursive, signals
+from barloom.queries.indicators import rnd
+from barloom.queries.metrics import RET, WEEK, curve, q, weeks
+from barloom.sources import bars as B
+
+N, ITER, SEED = 400, 30, 13
+
+
+def _hash(text: str) -> str:
+    return f"('0x' || substr(md5({text}), 1, 8))::BIGINT"
+
+
+_SER = f"ser AS (SELECT symbol, i, r AS x FROM (SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM z WHERE r IS NOT NULL) WHERE i < {N})"
+
+
+def _draws(block: int) -> str:
+    n_blocks = -(-N // block)
+    start = _hash(f"'{SEED}:' || it.i || ':' || b.i")
+    return (
+        f"dr AS (SELECT it.i AS iter, b.i*{block} + o.i AS k, ({start}) % {max(1, N - block + 1)} + o.i AS i FROM range({ITER}) it(i), range({n_blocks}) b(i), range({block}) o(i) WHERE b.i*{block} + o.i < {N})"
+    )
+
+
+def series(spark, sf_dir):
+    rows = M.returns(curve(spark, sf_dir), ["symbol"])
+    return T.numbered(rows, ["symbol"], "ts", "r").where(F.col("i") < N)
+
+
+@register("st_block_bootstrap", q(f"SELECT iter, symbol, count(*) AS n, {S.rnd('avg(x)', 8)} AS m FROM dr JOIN ser USING (i) GROUP BY 1, 2", RET, _SER, _draws(20)))
+def st_block_bootstrap(spark, sf_dir):
+    out = T.resampled(series(spark, sf_dir), T.block_draws(spark, N, 20, ITER, SEED))
+    return out.groupBy("iter", "symbol").agg(F.count("*").alias("n"), rnd(F.avg("x"), 8).alias("m"))
+
+
+@register("st_bootstrap_ci", q(f"SELECT symbol, {S.rnd('avg(m)', 8)} AS mean, {S.rnd('median(m)', 8)} AS med, {S.rnd('stddev_pop(m)', 8)} AS sd, {S.rnd('quantile_cont(m, 0.025)', 8)} AS lo, {S.rnd('quantile_cont(m, 0.975)', 8)} AS hi FROM (SELECT iter, symbol, avg(x) AS m FROM dr JOIN ser USING (i) GROUP BY 1, 2) GROUP BY 1", RET, _SER, _draws(20)))
+def st_bootstrap_ci(spark, sf_dir):
+    each = T.resampled(series(spark, sf_dir), T.block_draws(spark, N, 20, ITER, SEED)).groupBy("iter", "symbol").agg(F.avg("x").alias("m"))
+    p = F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
+    out = each.groupBy("symbol").agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("sd"), p.alias("p"))
+    return out.select("symbol", rnd("mean", 8).alias("mean"), rnd(F.col("p")[1], 8).alias("med"), rnd("sd", 8).alias("sd"), rnd(F.col("p")[0], 8).alias("lo"), rnd(F.col("p")[2], 8).alias("hi"))
+
+
+_REL = "rel AS (SELECT a.ts, a.r - b.r AS d FROM z a JOIN z b ON a.ts = b.ts WHERE a.symbol = 'click' AND b.symbol = 'view' AND a.r IS NOT NULL AND b.r IS NOT NULL)"
+
+
+def relative(spark, sf_dir):
+    r = M.returns(curve(spark, sf_dir), ["symbol"]).where("r is not null")
+    a, b = (r.where(f"symbol = '{s}'").select("ts", F.col("r").alias(n)) for s, n in (("click", "a"), ("view", "b")))
+    return a.join(b, "ts").select("ts", (F.col("a") - F.col("b")).alias("d"))
+
+
+@register("st_rel_perf", q(f"SELECT ts, {S.rnd('d', 8)} AS d FROM rel", RET, _REL))
+def st_rel_perf(spark, sf_dir):
+    return relative(spark, sf_dir).select("ts", rnd("d", 8).alias("d"))
+
+
+_RSER = f"ser AS (SELECT i, d AS x FROM (SELECT d, row_number() OVER (ORDER BY ts) - 1 AS i FROM rel) WHERE i < {N})"
+
+
+@register("st_spa", q(f"SELECT {S.rnd('t')} AS t, round(avg((b >= t)::INT::DOUBLE), 6) AS p FROM (SELECT iter, t, avg(x - m)/nullif(stddev_pop(x - m), 0)*sqrt({N}) AS b FROM dr JOIN ser USING (i), (SELECT avg(x) AS m, avg(x)/nullif(stddev_samp(x), 0)*sqrt({N}) AS t FROM ser) s GROUP BY 1, 2) GROUP BY t", RET, _REL, _RSER, _draws(1)))
+def st_spa(spark, sf_dir):
+    d = T.numbered(relative(spark, sf_dir), [], "ts", "d").where(F.col("i") < N)
+    return T.spa(d, N, ITER, SEED).select(rnd("t").alias("t"), F.round("p", 6).alias("p"))
+
+
+@register("st_white_rc", q(f"SELECT {S.rnd('best', 8)} AS best, round(avg((b >= best)::INT::DOUBLE), 6) AS p FROM (SELECT iter, max(b - m) AS b FROM (SELECT iter, symbol, avg(x) AS b FROM dr JOIN ser USING (i) GROUP BY 1, 2) JOIN (SELECT symbol, avg(x) AS m FROM ser GROUP BY 1) USING (symbol) GROUP BY 1), (SELECT max(m) AS best FROM (SELECT avg(x) AS m FROM ser GROUP BY symbol)) GROUP BY best", RET, _SER, _draws(20)))
+def st_white_rc(spark, sf_dir):
+    out = T.reality_check(series(spark, sf_dir).withColumnRenamed("symbol", "key"), N, 20, ITER, SEED)
+    return out.select(rnd("best", 8).alias("best"), F.round("p", 6).alias("p"))
+
+
+@register("st_suite")
+def st_suite(spark, sf_dir):
+    d = T.numbered(relative(spark, sf_dir), [], "ts", "d").where(F.col("i") < N)
+    a = T.spa(d, N, ITER, SEED).select(F.lit("spa").alias("test"), F.round("p", 6).alias("p"))
+    return a.unionByName(T.reality_check(series(spark, sf_dir).withColumnRenamed("symbol", "key"), N, 20, ITER, SEED).select(F.lit("reality_check").alias("test"), F.round("p", 6).alias("p")))
+
+
+# cross-validation: the test groups of each split, one after another, through the position machine
+
+RULES = Rules("LONG", 3.0, 1.5, 0.0, COST)
+
+
+def cpcv_trades(spark, sf_dir):
+    rows = splits.purged(splits.groups(signals(spark, sf_dir), 6), splits.combinations(spark, 6, 3), 4, 2).where("role = 'test'")
+    return BT.trades(BT.long_form(rows, ["s1"], F.col("split_id").cast("string")), {"s1": RULES})
+
+
+def cpcv_scores(spark, sf_dir):
+    t = cpcv_trades(spark, sf_dir)
+    score = F.avg("pnl") / F.nullif(F.stddev_samp("pnl"), F.lit(0.0))
+    return t.groupBy("symbol", F.col("window_id").cast("bigint").alias("split_id")).agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.least(F.greatest(score, F.lit(-10.0)), F.lit(10.0))).otherwise(0.0).alias("sortino"))
+
+
+_CPCV = """zg AS (SELECT *, least((n - 1)//(cnt//6), 5) AS g FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS cnt FROM z)),
+zq AS (SELECT *, row_number() OVER (PARTITION BY symbol, g ORDER BY ts) - 1 AS qq FROM zg),
+cs AS (SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS split_id, a, b, c FROM (SELECT x.i AS a, y.i AS b, w.i AS c FROM range(6) x(i), range(6) y(i), range(6) w(i) WHERE x.i < y.i AND y.i < w.i)),
+zt AS (SELECT symbol || '|' || split_id AS symbol, row_number() OVER (PARTITION BY symbol, split_id ORDER BY ts) AS n, ts, high, low, close, atr, sig FROM zq, cs WHERE g IN (a, b, c) AND NOT (g > 0 AND (g - 1) NOT IN (a, b, c) AND qq < 2))"""
+_SCORES = "sc AS (SELECT split_part(symbol, '|', 1) AS symbol, split_part(symbol, '|', 2)::BIGINT AS split_id, count(*) AS n, CASE WHEN count(*) >= 3 THEN least(greatest(avg(pnl)/nullif(stddev_samp(pnl), 0), -10.0), 10.0) ELSE 0.0 END AS sortino FROM t GROUP BY 1, 2)"
+_CV = [S.BARS, SIGNAL, _CPCV, machine("sig", RULES, "zt"), _SCORES]
+
+
+@register("st_cpcv_eval", recursive(*_CV, select=f"SELECT symbol, split_id, n, {S.rnd('sortino')} AS sortino FROM sc"))
+def st_cpcv_eval(spark, sf_dir):
+    return cpcv_scores(spark, sf_dir).select("symbol", "split_id", "n", rnd("sortino").alias("sortino"))
+
+
+@register("st_pbo", recursive(*_CV, select="SELECT symbol, round(v, 6) AS pbo, CASE WHEN v < 0.3 THEN 'low' WHEN v < 0.6 THEN 'moderate' ELSE 'high' END AS verdict FROM (SELECT symbol, avg((sortino <= 0)::INT::DOUBLE) AS v FROM sc GROUP BY 1)"))
+def st_pbo(spark, sf_dir):
+    return T.pbo(cpcv_scores(spark, sf_dir), ["symbol"]).select("symbol", F.round("pbo", 6).alias("pbo"), "verdict")
+
+
+@register("st_dsr")
+def st_dsr(spark, sf_dir):
+    out = M.bundle(curve(spark, sf_dir), ["symbol"], 8760.0)
+    return T.deflated(out, "sharpe", F.lit(20.0), F.col("n"), 8760.0).select("symbol", F.round("dsr", 6).alias("dsr"))
+
+
+@register("st_ttest", q(f"SELECT symbol, {S.rnd('avg(r)/nullif(stddev_samp(r), 0)*sqrt(count(r))')} AS t FROM z GROUP BY 1", RET))
+def st_ttest(spark, sf_dir):
+    return M.returns(curve(spark, sf_dir), ["symbol"]).groupBy("symbol").agg(rnd(T.t_statistic("r")).alias("t"))
+
+
+@register("st_wilcoxon", q("SELECT symbol, sum(CASE WHEN r > 0 THEN rk ELSE 0 END)::DOUBLE AS w, count(*) AS n FROM (SELECT symbol, r, rank() OVER (PARTITION BY symbol ORDER BY abs(r)) + (count(*) OVER (PARTITION BY symbol, abs(r)) - 1)/2 AS rk FROM z WHERE r <> 0) GROUP BY 1", RET))
+def st_wilcoxon(spark, sf_dir):
+    return T.wilcoxon(M.returns(curve(spark, sf_dir), ["symbol"]), ["symbol"], "r")
+
+
+# permutations and Monte Carlo
+
+_PERM = f"""zi AS (SELECT z.*, it.i AS iter, row_number() OVER (PARTITION BY symbol, it.i ORDER BY {_hash("'21:' || it.i || ':' || ts")}, ts) AS place, count(*) FILTER (WHERE sig) OVER (PARTITION BY symbol, it.i) AS total FROM z, range(5) it(i)),
+zp AS (SELECT symbol || '|' || iter AS symbol, n, ts, high, low, close, atr, place <= total AS sh FROM zi)"""
+_PS = "ps AS (SELECT split_part(symbol, '|', 1) AS symbol, split_part(symbol, '|', 2)::BIGINT AS iter, count(*) AS n, sum(pnl) AS v FROM t GROUP BY 1, 2)"
+
+
+def permuted(spark, sf_dir, rules):
+    df = signals(spark, sf_dir).crossJoin(F.broadcast(spark.range(5).select(F.col("id").alias("iter"))))  # a stated number of iterations
+    by = W.partitionBy("symbol", "iter")
+    df = df.withColumn("place", F.row_number().over(by.orderBy(splits.hashed(21, F.col("iter").cast("string"), F.col("ts").cast("string")), "ts")))
+    df = df.withColumn("sh", F.col("place") <= F.count(F.when(F.col("s1"), 1)).over(by))
+    t = BT.trades(BT.long_form(df, ["sh"], F.col("iter").cast("string")), {"sh": rules})
+    return t.groupBy("symbol", F.col("window_id").cast("bigint").alias("iter")).agg(F.count("*").alias("n"), rnd(F.sum("pnl"), 5).alias("v"))
+
+
+for _name, _rules in (("st_perm_signal", RULES), ("st_perm_return", Rules("LONG", 3.0, 1.5, 2.0, COST))):
+
+    def _perm(spark, sf_dir, rules=_rules):
+        return permuted(spark, sf_dir, rules)
+
+    register(_name, recursive(S.BARS, SIGNAL, _PERM, machine("sh", _rules, "zp"), _PS, select=f"SELECT symbol, iter, n, {S.rnd('v', 5)} AS v FROM ps"))(_perm)
+
+
+_MC = f"""mc AS (SELECT t.symbol, it.i AS iter, pnl AS x, row_number() OVER (PARTITION BY t.symbol, it.i ORDER BY {_hash("'31:' || it.i || ':' || tn")}, tn) - 1 AS place FROM (SELECT symbol, pnl, row_number() OVER (PARTITION BY symbol ORDER BY exit_bar) - 1 AS tn FROM t) t, range(20) it(i))"""
+
+
+def _mc_sql(value: str) -> str:
+    return recursive(
+        *_TRADES, _MC, f"pv AS (SELECT *, {value} AS v FROM mc)", "pk AS (SELECT *, greatest(max(v) OVER (PARTITION BY symbol, iter ORDER BY place), 1000.0) AS peak FROM pv)",
+        select=f"SELECT symbol, iter, {S.rnd('arg_max(v, place)', 4)} AS final, {S.rnd('min((v - peak)/peak)')} AS max_dd FROM pk GROUP BY 1, 2",
+    )
+
+
+def _mc(spark, sf_dir, multiply):
+    t = T.numbered(base_trades(spark, sf_dir), ["symbol"], "exit_bar", "pnl")
+    t = t if multiply else t.withColumn("x", 500 * F.col("x"))
+    out = T.path_figures(T.shuffled(t, 20, 31, ["symbol"]), ["symbol"], 1000.0, multiply)
+    return out.select("symbol", "iter", rnd("final", 4).alias("final"), rnd("max_dd").alias("max_dd"))
+
+
+register("st_mc_trades", _mc_sql("1000 + sum(500*x) OVER (PARTITION BY symbol, iter ORDER BY place)"))(lambda spark, sf_dir: _mc(spark, sf_dir, False))
+register("st_mc_pct", _mc_sql("1000*exp(sum(ln(1 + x)) OVER (PARTITION BY symbol, iter ORDER BY place))"))(lambda spark, sf_dir: _mc(spark, sf_dir, True))
+
+
+@register("rep_mc_bands", recursive(*_TRADES, _MC, "pv AS (SELECT *, 1000 + sum(500*x) OVER (PARTITION BY symbol, iter ORDER BY place) AS v FROM mc)", select=f"SELECT symbol, place, {S.rnd('quantile_cont(v, 0.05)', 4)} AS p5, {S.rnd('quantile_cont(v, 0.5)', 4)} AS p50, {S.rnd('quantile_cont(v, 0.95)', 4)} AS p95 FROM pv GROUP BY 1, 2"))
+def rep_mc_bands(spark, sf_dir):
+    t = T.shuffled(T.numbered(base_trades(spark, sf_dir), ["symbol"], "exit_bar", "pnl"), 20, 31, ["symbol"])
+    w = W.partitionBy("iter", "symbol").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
+    out = t.withColumn("v", 1000 + F.sum(500 * F.col("x")).over(w)).groupBy("symbol", "place").agg(F.percentile("v", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("p"))
+    return out.select("symbol", "place", *[rnd(F.col("p")[k], 4).alias(n) for k, n in enumerate(("p5", "p50", "p95"))])
+
+
+# gates and walk-forward
+
+@register("st_gates", q("SELECT strategy_id, window_id, n_trades >= 20 AS g1, return_pct > 0 AS g2, abs(max_dd) < 0.3 AS g3, win_rate > 0.4 AS g4, n_trades >= 20 AND return_pct > 0 AND abs(max_dd) < 0.3 AND win_rate > 0.4 AS passed FROM wk", RET, WEEK))
+def st_gates(spark, sf_dir):
+    c = F.col
+    gates = [c("n_trades") >= 20, c("return_pct") > 0, F.abs("max_dd") < 0.3, c("win_rate") > 0.4]
+    return weeks(spark, sf_dir).select("strategy_id", "window_id", *[g.alias(f"g{k + 1}") for k, g in enumerate(gates)], (gates[0] & gates[1] & gates[2] & gates[3]).alias("passed"))
+
+
+@register("st_wf_aggregate", q(f"SELECT strategy_id, {S.rnd('avg((return_pct > 0)::INT::DOUBLE)')} AS consistency, {S.rnd('exp(sum(ln(1 + return_pct/100))) - 1')} AS compounded, {S.rnd('coalesce(avg(CASE WHEN k*2 > n THEN return_pct END), 0) - coalesce(avg(CASE WHEN k*2 <= n THEN return_pct END), 0)')} AS decay FROM (SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY window_id) AS k, count(*) OVER (PARTITION BY strategy_id) AS n FROM wk) GROUP BY 1", RET, WEEK))
+def st_wf_aggregate(spark, sf_dir):
+    by = W.partitionBy("strategy_id")
+    df = weeks(spark, sf_dir).withColumn("k", F.row_number().over(by.orderBy("window_id"))).withColumn("n", F.count("*").over(by))
+    half = lambda c: F.coalesce(F.avg(F.when(c, F.col("return_pct"))), F.lit(0.0))
+    return df.groupBy("strategy_id").agg(
+        rnd(F.avg((F.col("return_pct") > 0).cast("double"))).alias("consistency"), rnd(F.exp(F.sum(F.log(1 + F.col("return_pct") / 100))) - 1).alias("compounded"),
+        rnd(half(F.col("k") * 2 > F.col("n")) - half(F.col("k") * 2 <= F.col("n"))).alias("decay"),
+    )
+
+
+@register("st_wf_stability")
+def st_wf_stability(spark, sf_dir):
+    windows = splits.walk_forward(spark, 1704067200, 4, 864000, 86400, 432000, 432000)
+    rows = splits.in_windows(signals(spark, sf_dir), windows).where("role = 'test'")
+    t = BT.trades(BT.long_form(rows, ["s1", "s2"], F.col("window_id").cast("string")), {"s1": RULES, "s2": Rules("SHORT", 3.0, 1.5, 0.0, COST)})
+    return t.groupBy("strategy_id", "window_id").agg(F.count("*").alias("n"), rnd(F.sum("pnl"), 5).alias("pnl"))
+
+
+for _name in ("st_wf_evolve", "st_wf_cmaes"):
+
+    def _wf(spark, sf_dir, name=_name):
+        from barloom.plans import evolve
+
+        out = None
+        for k, (a, b) in enumerate(((1704067200, 1704931200), (1704931200, 1705795200))):
+            bars = B.event_bars(spark, sf_dir).where(F.col("ts").between(a, b))
+            found = evolve.search(spark, bars, "ge_islands" if name == "st_wf_evolve" else "ge_cmaes").withColumn("window_id", F.lit(k).cast("bigint"))
+            out = found if out is None else out.unionByName(found)
+        return out
+
+    register(_name)(_wf)

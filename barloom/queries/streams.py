@@ -1 +1,93 @@
+"""Streaming operators, run to the end of what is there."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from barloom.queries import register
+from barloom.queries import sql as S
+from barloom.queries.indicators import rnd
+from barloom.sources import bars as B
+from barloom.sources import cache
+from barloom.streaming import live
+
+
+def ticks(spark, sf_dir):
+    """The walk prices as a file stream."""
+    path = cache.fresh(spark, "ticks")
+    px = B.walk_prices(B.table(spark, sf_dir, "events"))
+    px.select("symbol", F.timestamp_micros("us").alias("ts"), "px").write.parquet(path)
+    return spark.readStream.schema(live.TICK).parquet(path)
+
+
+def bar_stream(spark, sf_dir):
+    path = cache.fresh(spark, "bars")
+    df = B.event_bars(spark, sf_dir)
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+def finished(spark, out):
+    return live.run_to_end(out, "s" + uuid.uuid4().hex, cache.fresh(spark, "stream"))
+
+
+_CLOSED = f"SELECT symbol, ts, {S.rnd('open')} AS open, {S.rnd('high')} AS high, {S.rnd('low')} AS low, {S.rnd('close')} AS close, volume FROM bars WHERE ts + 3600 <= (SELECT max(us)//1000000 - 3600 FROM px)"
+
+
+@register("str_closed_candle", S.query(S.BARS, select=_CLOSED))
+def str_closed_candle(spark, sf_dir):
+    out = finished(spark, live.closed_candles(ticks(spark, sf_dir)))
+    return out.select("symbol", "ts", *[rnd(c).alias(c) for c in ("open", "high", "low", "close")], "volume")
+
+
+@register("str_new_candle_gate", S.query(S.BARS, select="SELECT symbol, count(*) AS n, max(ts) AS last FROM bars GROUP BY 1"))
+def str_new_candle_gate(spark, sf_dir):
+    bars = bar_stream(spark, sf_dir)
+    doubled = bars.unionByName(bars)  # every candle arrives twice
+    once = doubled.withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", "40 days").dropDuplicates(["symbol", "at"]).drop("at")
+    return finished(spark, once).groupBy("symbol").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+
+
+def _intents(spark, sf_dir):
+    return finished(spark, live.positions(bar_stream(spark, sf_dir)))
+
+
+@register("str_signals")
+def str_signals(spark, sf_dir):
+    return _intents(spark, sf_dir).where("intent = 'enter'").select("symbol", "ts", rnd("price").alias("price"))
+
+
+@register("str_entry")
+def str_entry(spark, sf_dir):
+    return _intents(spark, sf_dir).select("symbol", "ts", "intent", rnd("price").alias("price"))
+
+
+@register("str_trailing")
+def str_trailing(spark, sf_dir):
+    return _intents(spark, sf_dir).where("intent = 'exit'").select("symbol", "ts", rnd("stop").alias("stop"))
+
+
+@register("str_pnl")
+def str_pnl(spark, sf_dir):
+    return _intents(spark, sf_dir).groupBy("symbol").agg(F.max("trades").alias("trades"), F.max("wins").alias("wins"), rnd(F.max_by("pnl", "ts")).alias("pnl"))
+
+
+@register("str_breakers")
+def str_breakers(spark, sf_dir):
+    out = finished(spark, live.positions(bar_stream(spark, sf_dir), max_loss=0.01))
+    return out.groupBy("symbol").agg(F.count("*").alias("intents"), F.min("pnl").alias("worst")).select("symbol", "intents", (F.col("worst") <= -0.01).alias("halted"))
+
+
+@register("str_reconcile", S.query(S.BARS, select="SELECT symbol, CASE WHEN symbol = 'click' THEN 'gone' ELSE 'unknown' END AS status FROM (SELECT DISTINCT symbol FROM bars) WHERE symbol IN ('click', 'view')"))
+def str_reconcile(spark, sf_dir):
+    symbols = B.event_bars(spark, sf_dir).select("symbol").distinct()
+    return live.reconcile(symbols.where("symbol <> 'view'"), symbols.where("symbol <> 'click'"))
+
+
+@register("str_emergency", S.query(S.BARS, select="SELECT symbol, round(arg_max(close, ts), 6) AS price FROM bars GROUP BY 1"))
+def str_emergency(spark, sf_dir):
+    last = W.partitionBy("symbol").orderBy(F.desc("ts"))
+    return B.event_bars(spark, sf_dir).withColumn("rn", F.row_number().over(last)).where("rn = 1").select("symbol", F.round("close", 6).alias("price"))
