@@ -201,7 +201,7 @@ class WordEncoder:
         self.shift = {b: 256 + k for k, b in enumerate(rest)}
 
     def _piece(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.shift)
+        shown = piece if piece.isascii() and piece.isprintable() else piece.encode("utf-8").decode("latin-1").translate(self.shift)
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
 
     def _word(self, word: str) -> bytes:
