@@ -12,7 +12,7 @@ What "best" means follows the model file:
   one that is *compatible* with the last piece of the prefix before it, that is, no merge across their
   boundary would have come before the merges that made them.
 
-Both equal the library's own ids.
+For BPE models the ids equal the library's own; for unigram models their sum of scores is the greatest there is.
 """
 
 from __future__ import annotations
