@@ -4,8 +4,9 @@ Sets are five-word shingles, embedded as minhash signatures of ``SIGNATURE`` tok
 share a token with a probability equal to their similarity. A run starts with all distinct texts in one set and
 splits recursively: at a node, ``CHILDREN`` coordinates are drawn from the node's path and every text goes to the
 child named by its token there. Small buckets are compared member by member on their signatures; large ones split
-again. Runs repeat until a pair at the threshold shares a small bucket with probability ``recall``. Buckets that
-are still large at the last level hold texts that agree on every drawn token; they are taken as one candidate group.
+again, unless all their members resemble the bucket's pivot, which makes them one candidate group. Runs repeat until a
+pair at the threshold shares a bucket of the last level with probability ``recall``. Buckets that are still large there
+hold texts that agree on every drawn token; they are taken as one candidate group too.
 
 Candidate groups are then checked exactly on the shingle sets themselves, every pair of a group, in tasks of two
 bounded blocks. That gives each text its number of links and, as a spanning forest, the links that connect a
@@ -23,17 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import components, stash
+from barloom.llm.memory import claim, keep
 from barloom.llm.tokenpack import GenerationCache
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9999
 SIGNATURE, CHILDREN, LEVELS, SMALL = 64, 2, 4, 64
 CANDIDATE = 0.55  # estimated similarity that makes a candidate: five standard deviations below the threshold
 BLOCK = 256  # texts in a block of the exact check
-BROADCAST_KEYS = 200_000
+BROADCAST_KEYS, BROADCAST_PIVOTS = 200_000, 50_000  # keys and signatures that are sent to every task at most
 
 _ODD = np.random.default_rng(20240607).integers(0, 2**63, SIGNATURE + SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = np.random.default_rng(7).integers(0, 2**63, SIGNATURE, dtype=np.uint64)
-_WORDS = GenerationCache(lambda w: xxhash.xxh3_64_intdigest(w))
+_WORDS = GenerationCache(lambda w: xxhash.xxh3_64_intdigest(w), 200_000)
+keep("shingles", _WORDS)
 
 
 def runs_needed(similarity: float = SIMILARITY, recall: float = RECALL, children: int = CHILDREN, levels: int = LEVELS) -> int:
@@ -77,6 +80,7 @@ def sign(docs: DataFrame) -> DataFrame:
     """``doc_id, key, sig``: the text's 128-bit key and its signature (null for a wordless text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("shingles")
         for batch in batches:
             sigs = []
             for text in batch.column(2):
@@ -98,9 +102,10 @@ def _split(rows: DataFrame, children: int) -> DataFrame:
 
 
 def _full(rows: DataFrame) -> DataFrame:
-    """Rows in buckets of two members at least, with the bucket's size ``n``."""
+    """Rows in buckets of two members at least, with the bucket's size ``n`` and its pivot ``b``, the smallest key."""
     rows = stash(rows, "paths")
-    return rows.join(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "path")
+    sizes = stash(rows.groupBy("path").agg(F.count("*").alias("n"), F.min("key").alias("b")).where("n > 1"), "sizes")
+    return rows.join(sizes, "path")  # written first, the sizes have an exchange of their own, so Spark can split a hot path
 
 
 def _bucket_edges(rows: DataFrame) -> DataFrame:
@@ -170,11 +175,24 @@ def candidates(texts: DataFrame, similarity: float = SIMILARITY, recall: float =
         found = _bucket_edges(full.where(F.col("n") <= SMALL).join(sigs, "key"))
         edges = found if edges is None else edges.unionByName(found)
         large = full.where(F.col("n") > SMALL)
-        if level == LEVELS or large.isEmpty():
-            break
-        rows, level = _split(large.join(sigs, "key"), CHILDREN), level + 1
-    heads = large.groupBy("path").agg(F.min("key").alias("b"))
-    return edges.unionByName(large.join(heads, "path").where("key <> b").select(F.col("key").alias("a"), "b")).distinct()
+        if large.isEmpty():
+            return edges.distinct()
+        near = _against_pivot(large.join(sigs, "key"), sigs)
+        edges = edges.unionByName(near.where((F.col("alike") >= CANDIDATE) | F.lit(level == LEVELS)).where("key <> b").select(F.col("key").alias("a"), "b"))
+        if level == LEVELS:
+            return edges.distinct()
+        # a bucket whose members all hang from its pivot is one candidate group already; only the others split again
+        mixed = stash(near.groupBy("path").agg(F.min("alike").alias("least")).where(F.col("least") < CANDIDATE).select("path"), "mixed")
+        left = near.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_KEYS else mixed, "path", "left_semi")
+        rows, level = _split(left.select("path", "key", "sig"), CHILDREN), level + 1
+
+
+def _against_pivot(large: DataFrame, sigs: DataFrame) -> DataFrame:
+    """``path, key, sig, b`` of large buckets with the estimated similarity to the pivot."""
+    pivots = stash(large.select("b").distinct().join(sigs.select(F.col("key").alias("b"), F.col("sig").alias("pivot")), "b"), "pivots")
+    joined = large.join(F.broadcast(pivots) if pivots.count() <= BROADCAST_PIVOTS else pivots, "b")
+    same = F.expr(f"size(filter(sequence(0, {SIGNATURE - 1}), i -> substring(sig, i * 4 + 1, 4) = substring(pivot, i * 4 + 1, 4)))")
+    return stash(joined.select("path", "key", "sig", "b", (same / SIGNATURE).alias("alike")), "near")
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -219,6 +237,7 @@ def exact_links(texts: DataFrame, groups: DataFrame, similarity: float = SIMILAR
     """``key, links, root`` by task; ``texts`` has ``key, text`` once a key, ``groups`` has ``node, label``."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("shingles")
         for batch in batches:
             grams = [np.unique(shingles(t.as_py())).tobytes() for t in batch.column(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(grams, pa.binary())], names=["label", "key", "blocks", "grams"])
@@ -270,6 +289,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     least = joined.where("label is not null").groupBy("label").agg(F.min("first").alias("least"))
     named = joined.join(least, "label", "left").join(links, "key", "left")
     named = named.select("key", F.coalesce("least", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("n") - 1).alias("n_copies"))
+    named = stash(named, "named")  # as above: a text with very many copies can be split
     wordless = F.col("sig").isNull()
     rows = signed.select("doc_id", "key", wordless.alias("wordless")).join(named, "key")
     return rows.select("doc_id", "key", F.when(F.col("wordless"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_links", "n_copies")
