@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.memory import claim, keep
 from barloom.llm.tokenpack import GenerationCache
 
 K1, B = 1.2, 0.75
@@ -130,7 +131,7 @@ class Searcher:
             term = term_of(word)
             return vocabulary.get(term, -1) if term else EMPTY
 
-        self.words = GenerationCache(number)
+        self.words = GenerationCache(number, 200_000)
 
     def search(self, texts: list[str], threshold: float = THRESHOLD, overlap: float = OVERLAP) -> Iterator[tuple[int, int, float, float, float]]:
         """(text's place, item, score, question overlap, answer overlap), the best passage of each pair."""
@@ -190,6 +191,8 @@ def _searcher(name: str, shared) -> Searcher:
     if name not in _SEARCHERS:
         _SEARCHERS.clear()
         _SEARCHERS[name] = Searcher(shared.value)
+        keep("leaks", _SEARCHERS[name].words, instead=True)
+    claim("leaks")
     return _SEARCHERS[name]
 
 

@@ -25,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.memory import claim, keep
+
 SPACE = "▁"
-CACHE = 300_000
+CACHE = 150_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -325,6 +327,14 @@ class Encoder:
         #: a mark begins a word unless a piece has it elsewhere than at its start, as runs of marks have
         self.splits = all(x == SPACE * 2 or x[1] != SPACE for x in self.model.inside) and self.model.byte_fallback
 
+    def forget(self) -> None:
+        self.words.forget()
+        self.parts.forget()
+        self.fits.clear()
+        self.model.fits.clear() if self.model.kind == PieceModel.BPE else None
+        self.states.clear()
+        self.states[""] = b""
+
     def _part(self, part: str) -> bytes:
         if self.model.kind == PieceModel.BPE and len(part) < 64:
             return self._short(part)
@@ -409,6 +419,8 @@ _ENCODERS: dict[str, Encoder] = {}  # one a Python worker
 def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+        keep("pieces", _ENCODERS[path])
+    claim("pieces")
     return _ENCODERS[path]
 
 

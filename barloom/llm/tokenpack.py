@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm.common import fresh_path
+from barloom.llm.memory import claim, keep
 
 MAGIC = b"BLPK1\0"
 BLOCK = 65536
@@ -154,6 +155,10 @@ class GenerationCache(dict):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
@@ -228,6 +233,9 @@ _ENCODERS: dict[str, WordEncoder] = {}  # one a Python worker: the words it reme
 def _encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
+        keep("tokens", _ENCODERS[path].words)
+        keep("tokens", _ENCODERS[path].pieces)
+    claim("tokens")
     return _ENCODERS[path]
 
 
