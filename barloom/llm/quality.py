@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.memory import claim
+
 FEATURES = (
     "log_chars", "log_words", "word_length", "distinct_words", "distinct_trigrams", "top_word", "upper", "digits", "marks", "symbols", "bars", "spaces",
     "sentences", "line_length", "distinct_lines", "beyond_ascii", "marked_words", "bare_bars", "byte_entropy",
@@ -166,6 +168,7 @@ VECTOR = "array<double>"
 
 
 def _vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("quality")
     for batch in batches:
         rows = [text_features(t.as_py()) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["y", "x"])
@@ -177,15 +180,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = known.where(F.col("y").isNotNull() & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # a bound on the fit, not on what is scored
     rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "_id")
-    got = rows.select("y", "text").mapInArrow(_vectors, f"y double, x {VECTOR}").orderBy("y", "x").toArrow()
+    got = rows.select("y", "text").mapInArrow(_vectors, f"y double, x {VECTOR}").toArrow()
     x = np.array(got.column("x").to_pylist()).reshape(-1, len(FEATURES))
-    return fit(x, (got.column("y").to_numpy() > 0).astype(float))
+    y = (got.column("y").to_numpy() > 0).astype(float)
+    order = np.lexsort((y, *x.T))  # the same fit in whatever order the rows come
+    return fit(x[order], y[order])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row; a null text scores as an empty one, repeated rows stay."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for batch in batches:
             x = np.array([text_features(t.as_py()) for t in batch.column(2)]).reshape(-1, len(FEATURES))
             s = np.round(model.score(x), 6)
@@ -205,6 +211,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
     schema = docs.schema
 
     def run(batches):
+        claim("quality")
         at = names.index("text")
         for batch in batches:
             x = np.array([text_features(t.as_py()) for t in batch.column(at)]).reshape(-1, len(FEATURES))
