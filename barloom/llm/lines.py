@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import stash
 
+BROADCAST_KEYS = 200_000  # common lines that are sent to every task
 # fixed values of the contract: the characters stripped from both ends, and the letters lower-cased
 BLANKS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,8 +64,9 @@ def dropped_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, kee
         .agg(F.min(F.struct("doc_id", "pos", "d1", "d2")).alias("first"))
     )
     common = by_doc.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") >= min_docs)
-    common = common.select("h1", "h2", "first", F.lit(True).alias("common"))
-    marked = lines.join(common, ["h1", "h2"], "left")
+    common = stash(common.select("h1", "h2", "first", F.lit(True).alias("common")), "common")
+    # a bounded list goes to every task; a longer one has an exchange of its own, so that Spark can split a hot key
+    marked = lines.join(F.broadcast(common) if common.count() <= BROADCAST_KEYS else common, ["h1", "h2"], "left")
     gone = F.coalesce(F.col("common"), F.lit(False))
     if keep == "first":
         is_first = (F.col("first.d1") == F.col("d1")) & (F.col("first.d2") == F.col("d2")) & (F.col("first.pos") == F.col("pos"))
