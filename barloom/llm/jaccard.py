@@ -269,12 +269,16 @@ def exact_links(texts: DataFrame, groups: DataFrame, similarity: float = SIMILAR
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """``doc_id, key, class_id, n_links, n_copies`` of every row.
+    """``doc_id, key, class_id, n_links, n_copies, member`` of every row.
 
     ``class_id`` is the smallest doc_id that the row is connected with through equal texts and links (Jaccard of
     five-word shingles of the lower-cased text at least ``similarity``); ``n_links`` is the number of other texts
     linked to this one; ``n_copies`` the number of other rows with exactly this text. A text under five words is
     one shingle. Wordless and null texts are similar to nothing: their class is their own id.
+
+    ``member`` is what rows of one class share and no other row has: the least key of the texts linked, or the text's
+    own key; null for a wordless row, which is a class by itself. ``class_id`` can't serve for that, as it is null
+    where all ids are, and texts that aren't linked can have the same doc_id.
     """
     signed = stash(sign(docs), "signed")
     texts = stash(signed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.any_value("sig").alias("sig")), "texts")
@@ -288,15 +292,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     joined = texts.drop("sig").join(linked.withColumnRenamed("node", "key"), "key", "left")
     least = joined.where("label is not null").groupBy("label").agg(F.min("first").alias("least"))
     named = joined.join(least, "label", "left").join(links, "key", "left")
-    named = named.select("key", F.coalesce("least", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("n") - 1).alias("n_copies"))
+    named = named.select("key", F.coalesce("label", "key").alias("member"), F.coalesce("least", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("n") - 1).alias("n_copies"))
     named = stash(named, "named")  # as above: a text with very many copies can be split
     wordless = F.col("sig").isNull()
     rows = signed.select("doc_id", "key", wordless.alias("wordless")).join(named, "key")
-    return rows.select("doc_id", "key", F.when(F.col("wordless"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_links", "n_copies")
+    own = F.when(F.col("wordless"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
+    return rows.select("doc_id", "key", own, "n_links", "n_copies", F.when(~F.col("wordless"), F.col("member")).alias("member"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    return classes(docs, similarity, recall).drop("key")
+    return classes(docs, similarity, recall).drop("key", "member")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -306,13 +311,15 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
     """
     of = classes(docs, similarity, recall)
 
-    winners = of.groupBy("class_id").agg(F.min(F.struct("doc_id", "key")).alias("w")).select(F.col("w.doc_id").alias("_w_id"), F.col("w.key").alias("_w_key")).distinct()
-    winners = stash(winners, "winners")
+    # a text without a member is wordless: all its rows stay
+    worded = of.where("member is not null")
+    winners = worded.groupBy("member").agg(F.min(F.struct("doc_id", "key")).alias("w")).select(F.col("w.doc_id").alias("_w_id"), F.col("w.key").alias("_w_key"), F.lit(False).alias("_all"))
+    every = of.where("member is null").select(F.col("doc_id").alias("_w_id"), F.col("key").alias("_w_key"), F.lit(True).alias("_all")).distinct()
+    winners = stash(winners.unionByName(every), "winners")
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col("doc_id").alias("_id"), _key().alias("_key"))
-    kept = rows.join(winners, F.col("_id").eqNullSafe(F.col("_w_id")) & (F.col("_key") == F.col("_w_key")), "left_semi")
-    repeats = not of.groupBy("doc_id", "key").count().where("count > 1").isEmpty()
+    kept = rows.join(winners, F.col("_id").eqNullSafe(F.col("_w_id")) & (F.col("_key") == F.col("_w_key")))
+    repeats = not worded.groupBy("doc_id", "key").count().where("count > 1").isEmpty()
     if repeats:
-        kept = kept.dropDuplicates(["_id", "_key"])
+        kept = kept.withColumn("_row", F.when(F.col("_all"), F.monotonically_increasing_id())).dropDuplicates(["_id", "_key", "_row"])
     return kept.select("doc.*")
-
