@@ -18,33 +18,38 @@ def numbered(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFr
     return rows.where(F.col(value).isNotNull()).select(*keys, (F.row_number().over(w.orderBy(order)) - 1).cast("bigint").alias("i"), F.col(value).alias("x"))
 
 
-def block_draws(spark: SparkSession, n: int, block: int, iterations: int, seed: int) -> DataFrame:
-    """``iter, k, i``: place ``k`` of a resample takes row ``i``; blocks of ``block`` rows from hashed starts, cut to ``n``."""
-    blocks = -(-n // block)
-    starts = spark.range(iterations).select(F.col("id").alias("iter"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    start = F.pmod(hashed(seed, F.col("iter").cast("string"), F.col("b").cast("string")), F.lit(max(1, n - block + 1)))
-    out = starts.withColumn("s", start).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
-    return out.select("iter", (F.col("b") * block + F.col("o")).cast("bigint").alias("k"), (F.col("s") + F.col("o")).cast("bigint").alias("i")).where(F.col("k") < n)
+def block_draws(series: DataFrame, block: int, iterations: int, seed: int, keys: list[str]) -> DataFrame:
+    """``keys, iter, k, i``: place ``k`` of a resample takes row ``i``; blocks of ``block`` rows from hashed starts, cut to the series' own length.
 
+    Series of one length have the same draws.
+    """
+    sizes = series.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 0")  # one row a series
+    draws = sizes.crossJoin(F.broadcast(series.sparkSession.range(iterations).select(F.col("id").alias("iter"))))  # a stated number of iterations
+    draws = draws.withColumn("b", F.explode(F.expr(f"sequence(0L, (n - 1) div {block})")))
+    start = F.pmod(hashed(seed, F.col("iter").cast("string"), F.col("b").cast("string")), F.greatest(F.lit(1), F.col("n") - block + 1))
+    draws = draws.withColumn("s", start).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
+    return draws.select(*keys, "iter", (F.col("b") * block + F.col("o")).alias("k"), F.pmod(F.col("s") + F.col("o"), F.col("n")).alias("i"), "n").where("k < n").drop("n")
 
-def resampled(series: DataFrame, draws: DataFrame) -> DataFrame:
+
+def resampled(series: DataFrame, draws: DataFrame, keys: list[str]) -> DataFrame:
     """``series`` (``i, x`` and keys) read at the drawn places."""
-    return draws.join(series, "i")
+    return draws.join(series, [*keys, "i"])
 
 
-def spa(d: DataFrame, n: int, iterations: int, seed: int) -> DataFrame:
+def spa(d: DataFrame, iterations: int, seed: int) -> DataFrame:
     """``t, p`` of the mean of ``d`` (``i, x``) being above 0: studentised, against centred resamples."""
-    seen = d.agg(F.avg("x").alias("m"), (F.avg("x") / F.nullif(F.stddev_samp("x"), F.lit(0.0)) * n**0.5).alias("t"))
-    boot = resampled(d, block_draws(d.sparkSession, n, 1, iterations, seed)).crossJoin(F.broadcast(seen))  # one row
-    each = boot.groupBy("iter", "t").agg((F.avg(F.col("x") - F.col("m")) / F.nullif(F.stddev_pop(F.col("x") - F.col("m")), F.lit(0.0)) * n**0.5).alias("b"))
+    size = F.sqrt(F.count("x"))
+    seen = d.agg(F.avg("x").alias("m"), (F.avg("x") / F.nullif(F.stddev_samp("x"), F.lit(0.0)) * size).alias("t"))
+    boot = resampled(d, block_draws(d, 1, iterations, seed, []), []).crossJoin(F.broadcast(seen))  # one row
+    each = boot.groupBy("iter", "t").agg((F.avg(F.col("x") - F.col("m")) / F.nullif(F.stddev_pop(F.col("x") - F.col("m")), F.lit(0.0)) * size).alias("b"))
     return each.groupBy("t").agg(F.avg((F.col("b") >= F.col("t")).cast("double")).alias("p"))
 
 
-def reality_check(d: DataFrame, n: int, block: int, iterations: int, seed: int) -> DataFrame:
-    """``best, p``: the best mean over all series ``key``, against the best centred mean of shared block resamples."""
+def reality_check(d: DataFrame, block: int, iterations: int, seed: int) -> DataFrame:
+    """``best, p``: the best mean over all series ``key``, against the best centred mean of block resamples."""
     seen = d.groupBy("key").agg(F.avg("x").alias("m"))
     top = seen.agg(F.max("m").alias("best"))
-    boot = resampled(d, block_draws(d.sparkSession, n, block, iterations, seed)).groupBy("iter", "key").agg(F.avg("x").alias("b"))
+    boot = resampled(d, block_draws(d, block, iterations, seed, ["key"]), ["key"]).groupBy("iter", "key").agg(F.avg("x").alias("b"))
     each = boot.join(seen, "key").groupBy("iter").agg(F.max(F.col("b") - F.col("m")).alias("b"))
     return each.crossJoin(F.broadcast(top)).groupBy("best").agg(F.avg((F.col("b") >= F.col("best")).cast("double")).alias("p"))  # one row
 

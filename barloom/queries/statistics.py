@@ -37,18 +37,22 @@ def _draws(block: int) -> str:
 
 def series(spark, sf_dir):
     rows = M.returns(curve(spark, sf_dir), ["symbol"])
-    return T.numbered(rows, ["symbol"], "ts", "r").where(F.col("i") < N)
+    return T.numbered(rows, ["symbol"], "ts", "r")
+
+
+def resamples(spark, sf_dir):
+    d = series(spark, sf_dir)
+    return T.resampled(d, T.block_draws(d, 20, ITER, SEED, ["symbol"]), ["symbol"])
 
 
 @register("st_block_bootstrap", q(f"SELECT iter, symbol, count(*) AS n, {S.rnd('avg(x)', 8)} AS m FROM dr JOIN ser USING (i) GROUP BY 1, 2", RET, _SER, _draws(20)))
 def st_block_bootstrap(spark, sf_dir):
-    out = T.resampled(series(spark, sf_dir), T.block_draws(spark, N, 20, ITER, SEED))
-    return out.groupBy("iter", "symbol").agg(F.count("*").alias("n"), rnd(F.avg("x"), 8).alias("m"))
+    return resamples(spark, sf_dir).groupBy("iter", "symbol").agg(F.count("*").alias("n"), rnd(F.avg("x"), 8).alias("m"))
 
 
 @register("st_bootstrap_ci", q(f"SELECT symbol, {S.rnd('avg(m)', 8)} AS mean, {S.rnd('median(m)', 8)} AS med, {S.rnd('stddev_pop(m)', 8)} AS sd, {S.rnd('quantile_cont(m, 0.025)', 8)} AS lo, {S.rnd('quantile_cont(m, 0.975)', 8)} AS hi FROM (SELECT iter, symbol, avg(x) AS m FROM dr JOIN ser USING (i) GROUP BY 1, 2) GROUP BY 1", RET, _SER, _draws(20)))
 def st_bootstrap_ci(spark, sf_dir):
-    each = T.resampled(series(spark, sf_dir), T.block_draws(spark, N, 20, ITER, SEED)).groupBy("iter", "symbol").agg(F.avg("x").alias("m"))
+    each = resamples(spark, sf_dir).groupBy("iter", "symbol").agg(F.avg("x").alias("m"))
     p = F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     out = each.groupBy("symbol").agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("sd"), p.alias("p"))
     return out.select("symbol", rnd("mean", 8).alias("mean"), rnd(F.col("p")[1], 8).alias("med"), rnd("sd", 8).alias("sd"), rnd(F.col("p")[0], 8).alias("lo"), rnd(F.col("p")[2], 8).alias("hi"))
@@ -73,21 +77,21 @@ _RSER = f"ser AS (SELECT i, d AS x FROM (SELECT d, row_number() OVER (ORDER BY t
 
 @register("st_spa", q(f"SELECT {S.rnd('t')} AS t, round(avg((b >= t)::INT::DOUBLE), 6) AS p FROM (SELECT iter, t, avg(x - m)/nullif(stddev_pop(x - m), 0)*sqrt({N}) AS b FROM dr JOIN ser USING (i), (SELECT avg(x) AS m, avg(x)/nullif(stddev_samp(x), 0)*sqrt({N}) AS t FROM ser) s GROUP BY 1, 2) GROUP BY t", RET, _REL, _RSER, _draws(1)))
 def st_spa(spark, sf_dir):
-    d = T.numbered(relative(spark, sf_dir), [], "ts", "d").where(F.col("i") < N)
-    return T.spa(d, N, ITER, SEED).select(rnd("t").alias("t"), F.round("p", 6).alias("p"))
+    d = T.numbered(relative(spark, sf_dir), [], "ts", "d")
+    return T.spa(d, ITER, SEED).select(rnd("t").alias("t"), F.round("p", 6).alias("p"))
 
 
 @register("st_white_rc", q(f"SELECT {S.rnd('best', 8)} AS best, round(avg((b >= best)::INT::DOUBLE), 6) AS p FROM (SELECT iter, max(b - m) AS b FROM (SELECT iter, symbol, avg(x) AS b FROM dr JOIN ser USING (i) GROUP BY 1, 2) JOIN (SELECT symbol, avg(x) AS m FROM ser GROUP BY 1) USING (symbol) GROUP BY 1), (SELECT max(m) AS best FROM (SELECT avg(x) AS m FROM ser GROUP BY symbol)) GROUP BY best", RET, _SER, _draws(20)))
 def st_white_rc(spark, sf_dir):
-    out = T.reality_check(series(spark, sf_dir).withColumnRenamed("symbol", "key"), N, 20, ITER, SEED)
+    out = T.reality_check(series(spark, sf_dir).withColumnRenamed("symbol", "key"), 20, ITER, SEED)
     return out.select(rnd("best", 8).alias("best"), F.round("p", 6).alias("p"))
 
 
 @register("st_suite")
 def st_suite(spark, sf_dir):
-    d = T.numbered(relative(spark, sf_dir), [], "ts", "d").where(F.col("i") < N)
-    a = T.spa(d, N, ITER, SEED).select(F.lit("spa").alias("test"), F.round("p", 6).alias("p"))
-    return a.unionByName(T.reality_check(series(spark, sf_dir).withColumnRenamed("symbol", "key"), N, 20, ITER, SEED).select(F.lit("reality_check").alias("test"), F.round("p", 6).alias("p")))
+    d = T.numbered(relative(spark, sf_dir), [], "ts", "d")
+    a = T.spa(d, ITER, SEED).select(F.lit("spa").alias("test"), F.round("p", 6).alias("p"))
+    return a.unionByName(T.reality_check(series(spark, sf_dir).withColumnRenamed("symbol", "key"), 20, ITER, SEED).select(F.lit("reality_check").alias("test"), F.round("p", 6).alias("p")))
 
 
 # cross-validation: the test groups of each split, one after another, through the position machine
