@@ -439,16 +439,23 @@ def spl_rotation(spark, sf_dir):
     return splits.position_windows(B.event_bars(spark, sf_dir), starts, 96).groupBy("symbol", "window_id").agg(F.count("*").alias("n"), F.round(F.avg("close"), 6).alias("close"))
 
 
+def longest(bars) -> int:
+    """Bars of the longest symbol."""
+    return bars.groupBy("symbol").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+
+
 @register("spl_rand_windows")
 def spl_rand_windows(spark, sf_dir):
-    starts = splits.random_starts(spark, total=600, length=96, n=5, seed=11)
-    return splits.position_windows(B.event_bars(spark, sf_dir), starts, 96).groupBy("symbol", "window_id").agg(F.count("*").alias("n"))
+    bars = B.event_bars(spark, sf_dir)
+    starts = splits.random_starts(spark, total=longest(bars), length=96, n=5, seed=11)
+    return splits.position_windows(bars, starts, 96).groupBy("symbol", "window_id").agg(F.count("*").alias("n"))
 
 
 @register("spl_cma_windows")
 def spl_cma_windows(spark, sf_dir):
-    starts = splits.random_starts(spark, total=600, length=48, n=5, seed=3)
-    return splits.position_windows(B.event_bars(spark, sf_dir), starts, 48).groupBy("symbol", "window_id").agg(F.count("*").alias("n"))
+    bars = B.event_bars(spark, sf_dir)
+    starts = splits.random_starts(spark, total=longest(bars), length=48, n=5, seed=3)
+    return splits.position_windows(bars, starts, 48).groupBy("symbol", "window_id").agg(F.count("*").alias("n"))
 
 
 _CH = "ch AS (SELECT symbol, ts//604800 AS c, count(*) AS n, stddev_samp(r) AS vol FROM (SELECT *, close/" + S.lag("close") + " - 1 AS r FROM bars) GROUP BY 1, 2 HAVING count(*) > 20)"

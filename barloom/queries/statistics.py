@@ -225,14 +225,23 @@ def st_wf_stability(spark, sf_dir):
     return t.groupBy("strategy_id", "window_id").agg(F.count("*").alias("n"), rnd(F.sum("pnl"), 5).alias("pnl"))
 
 
+def wf_windows(bars, seconds: int = 864000) -> list[tuple[int, int]]:
+    """Windows of ten days from the first bar to the last; the last one is longer or shorter by half at most."""
+    first, last = bars.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        return [(0, 0)]
+    n = max(1, round((last - first) / seconds))
+    return [(first + k * seconds, first + (k + 1) * seconds if k < n - 1 else last) for k in range(n)]
+
+
 for _name in ("st_wf_evolve", "st_wf_cmaes"):
 
     def _wf(spark, sf_dir, name=_name):
         from barloom.plans import evolve
 
-        out = None
-        for k, (a, b) in enumerate(((1704067200, 1704931200), (1704931200, 1705795200))):
-            bars = B.event_bars(spark, sf_dir).where(F.col("ts").between(a, b))
+        out, every = None, B.event_bars(spark, sf_dir)
+        for k, (a, b) in enumerate(wf_windows(every)):
+            bars = every.where(F.col("ts").between(a, b))
             found = evolve.search(spark, bars, "ge_islands" if name == "st_wf_evolve" else "ge_cmaes").withColumn("window_id", F.lit(k).cast("bigint"))
             out = found if out is None else out.unionByName(found)
         return out
