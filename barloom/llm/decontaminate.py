@@ -96,7 +96,7 @@ class Index:
         """Items that score ``threshold`` at least for a passage's distinct terms; ``bounds`` are the blocks' bounds."""
         out = []
         for block in np.flatnonzero(bounds >= threshold - 1e-4):
-            # the pivot: without the terms that it needs to reach the threshold, no item of the block can
+            # no pivot: an opened block is scored exhaustively
             top = self.maxima[terms, block]
             live = terms[top > 0]
             order = np.argsort(-self.maxima[live, block], kind="stable")
