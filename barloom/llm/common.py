@@ -28,11 +28,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,11 +46,34 @@ def drop_stash(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+SHARE, LEAST = 1000, 64  # a key of more than a thousandth of all rows is dealt to several tasks, of 64 rows at least
+
+
+def hot_keys(sizes: DataFrame, on: list[str]) -> DataFrame:
+    """``on..., _parts`` of the keys with more than a thousandth of all rows, which are less than a thousand; ``sizes`` has ``on..., n``."""
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    part = max(total / SHARE, LEAST)
+    return sizes.where(F.col("n") > part).select(*on, F.ceil(F.col("n") / part).cast("int").alias("_parts"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` by ``on`` (never null), where ``hot`` keys of ``left`` are dealt to ``_parts`` tasks.
+
+    ``right`` repeats its rows of a hot key in each part. ``left`` reads files, so its rows keep their parts when a task runs again.
+    """
+    few = F.broadcast(hot)
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.withColumn("_row", F.monotonically_increasing_id()).join(few, on, "left").withColumn("_part", F.pmod(F.xxhash64("_row"), parts).cast("int")).drop("_row", "_parts")
+    copies = right.join(few, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copies, [*on, "_part"], how).drop("_part")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list, as rows ``(node, label)`` with the smallest node as label.
 
-    Alternating large-star and small-star rounds; every round is a partial aggregation by node, so
-    a hub never meets its whole neighbourhood in one task. Only a change count reaches the driver.
+    Alternating large-star and small-star rounds. Minima are partial aggregations; the joins that follow
+    meet a hub's edges by their key, which adaptive execution splits when they outgrow a task. Only a change
+    count reaches the driver.
     Null ends and self-loops are ignored; an empty edge list gives an empty result.
     """
     now = stash(

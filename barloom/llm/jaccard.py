@@ -3,18 +3,24 @@
 Sets are five-word shingles, embedded as minhash signatures of ``SIGNATURE`` tokens (coordinate, value): two sets
 share a token with a probability equal to their similarity. A run starts with all distinct texts in one set and
 splits recursively: at a node, ``CHILDREN`` coordinates are drawn from the node's path and every text goes to the
-child named by its token there. Small buckets are compared member by member on their signatures; large ones split
-again, unless all their members resemble the bucket's pivot, which makes them one candidate group. Runs repeat until a
-pair at the threshold shares a bucket of the last level with probability ``recall``. Buckets that are still large there
-hold texts that agree on every drawn token; they are taken as one candidate group too.
-
-Candidate groups are then checked exactly on the shingle sets themselves, every pair of a group, in tasks of two
-bounded blocks. That gives each text its number of links and, as a spanning forest, the links that connect a
+child named by its token there. Runs repeat until a pair at the threshold shares a bucket of the last level with
+probability ``recall``.
+
+* Buckets of at most ``SMALL`` members are compared member by member on their signatures.
+* In larger ones every member is compared with the bucket's pivot. Members that all but equal it (``TIGHT``) stay
+  behind with it: whatever is at the threshold to them resembles the pivot too, by the triangle inequality of the
+  Jaccard distance, and so is tied to it.
+* If the rest resembles the pivot so much that splitting gives no fewer rows than it takes, or the last level is
+  reached, the bucket is compared member by member as well, in tasks of two bounded blocks; else it splits again.
+
+Candidate groups are then checked exactly on the shingle sets themselves, in tasks of two bounded blocks whose sizes
+allow the threshold. That gives each text its number of links and, as a spanning forest, the links that connect a
 class; pairs are never emitted.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,14 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import components, stash
+from barloom.llm.common import components, hot_keys, spread_join, stash
 from barloom.llm.memory import claim, keep
 from barloom.llm.tokenpack import GenerationCache
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9999
 SIGNATURE, CHILDREN, LEVELS, SMALL = 64, 2, 4, 64
 CANDIDATE = 0.55  # estimated similarity that makes a candidate: five standard deviations below the threshold
-BLOCK = 256  # texts in a block of the exact check
+TIGHT = 0.9  # estimated similarity to a pivot that lets it stand for a text
+BLOCK, SIGNATURE_BLOCK = 256, 512  # texts in a block of the exact check, and of a large bucket
 BROADCAST_KEYS, BROADCAST_PIVOTS = 200_000, 50_000  # keys and signatures that are sent to every task at most
 
 _ODD = np.random.default_rng(20240607).integers(0, 2**63, SIGNATURE + SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -108,30 +115,41 @@ def _full(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "path")  # written first, the sizes have an exchange of their own, so Spark can split a hot path
 
 
-def _bucket_edges(rows: DataFrame) -> DataFrame:
-    """A spanning forest of the candidate pairs in small buckets; ``rows`` has ``path, key, sig``.
+def _bucket_edges(rows: DataFrame, even: bool = False) -> DataFrame:
+    """A spanning forest of the candidate pairs of each ``path, i, j``; ``rows`` also has ``key, sig``.
 
-    Buckets arrive whole and in order; one bucket is in memory at a time.
+    Groups arrive whole and in order; one group, of two blocks at most, is in memory at a time. ``even`` deals groups out
+    by ranges, which are sampled first, so that no task gets several large ones.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, at = [], None
         for batch in batches:
             out: list[tuple[bytes, bytes]] = []
-            for path, key, sig in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if path != at:
+            for path, i, j, key, sig in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if (path, i, j) != at:
                     _forest(left, out)
-                    left, at = [], path
+                    left, at = [], (path, i, j)
                 left.append((key, sig))
             yield _edge_batch(out)
         out = []
         _forest(left, out)
         yield _edge_batch(out)
 
-    ordered = rows.select("path", "key", "sig").repartition(_partitions(rows), "path").sortWithinPartitions("path", "key")
+    rows = rows.select("path", "i", "j", "key", "sig")
+    dealt = (rows.repartitionByRange if even else rows.repartition)(_partitions(rows), "path", "i", "j")
+    ordered = dealt.sortWithinPartitions("path", "i", "j", "key")
     return ordered.mapInArrow(run, "a binary, b binary")
 
 
+def _in_blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members ``path, key, sig`` of the large buckets ``sizes`` (``path, m``), once for each pair of blocks ``i, j`` that they are in."""
+    sizes = sizes.select("path", F.ceil(F.col("m") / SIGNATURE_BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "path").withColumn("block", F.expr("cast(pmod(xxhash64(key), blocks) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return rows.select("path", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "sig")
+
+
 def _edge_batch(out: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in range(2)], names=["a", "b"])
 
@@ -156,7 +174,9 @@ def _forest(members: list[tuple[bytes, bytes]], out: list) -> None:
     if len(members) < 2:
         return
     sigs = np.frombuffer(b"".join(s for _, s in members), "<u4").reshape(-1, SIGNATURE)
-    similar = (sigs[:, None, :] == sigs[None, :, :]).mean(axis=2) >= CANDIDATE
+    similar = np.empty((len(sigs), len(sigs)), bool)
+    for k in range(0, len(sigs), 128):
+        similar[k : k + 128] = (sigs[k : k + 128, None, :] == sigs[None, :, :]).sum(axis=2) >= CANDIDATE * SIGNATURE
     for k, r in enumerate(_roots(similar)):
         if r != k:
             out.append((members[k][0], members[r][0]))
@@ -168,29 +188,35 @@ def candidates(texts: DataFrame, similarity: float = SIMILARITY, recall: float =
     runs = runs_needed(similarity, recall)
     # the first level of all runs in one step
     root = sigs.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(runs)), lambda r: F.xxhash64(r))).alias("path"), "key", "sig")
+    one = F.lit(0)
     edges, level = None, 1
     rows = _split(root, CHILDREN)
     while True:
         full = stash(_full(rows), "buckets")
-        found = _bucket_edges(full.where(F.col("n") <= SMALL).join(sigs, "key"))
+        small = full.where(F.col("n") <= SMALL).join(sigs, "key").select("path", one.alias("i"), one.alias("j"), "key", "sig")
+        found = _bucket_edges(small)
         edges = found if edges is None else edges.unionByName(found)
         large = full.where(F.col("n") > SMALL)
         if large.isEmpty():
             return edges.distinct()
-        near = _against_pivot(large.join(sigs, "key"), sigs)
-        edges = edges.unionByName(near.where((F.col("alike") >= CANDIDATE) | F.lit(level == LEVELS)).where("key <> b").select(F.col("key").alias("a"), "b"))
-        if level == LEVELS:
+        near = _against_pivot(large, sigs)
+        edges = edges.unionByName(near.where((F.col("alike") >= CANDIDATE) & (F.col("key") != F.col("b"))).select(F.col("key").alias("a"), "b"))
+        left = near.where((F.col("alike") < TIGHT) | (F.col("key") == F.col("b")))
+        rest = stash(left.groupBy("path").agg(F.count("*").alias("m"), F.avg("alike").alias("mean")).where("m > 1"), "rest")
+        whole = (F.col("mean") >= 1 / CHILDREN) | F.lit(level == LEVELS) | (F.col("m") <= SMALL)
+        dense, sparse = rest.where(whole), rest.where(~whole).select("path")
+        edges = edges.unionByName(_bucket_edges(_in_blocks(left.select("path", "key", "sig"), dense), even=True))
+        if sparse.isEmpty():
             return edges.distinct()
-        # a bucket whose members all hang from its pivot is one candidate group already; only the others split again
-        mixed = stash(near.groupBy("path").agg(F.min("alike").alias("least")).where(F.col("least") < CANDIDATE).select("path"), "mixed")
-        left = near.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_KEYS else mixed, "path", "left_semi")
-        rows, level = _split(left.select("path", "key", "sig"), CHILDREN), level + 1
+        again = left.join(F.broadcast(sparse) if sparse.count() <= BROADCAST_KEYS else sparse, "path", "left_semi")
+        rows, level = _split(again.select("path", "key", "sig"), CHILDREN), level + 1
 
 
 def _against_pivot(large: DataFrame, sigs: DataFrame) -> DataFrame:
-    """``path, key, sig, b`` of large buckets with the estimated similarity to the pivot."""
-    pivots = stash(large.select("b").distinct().join(sigs.select(F.col("key").alias("b"), F.col("sig").alias("pivot")), "b"), "pivots")
-    joined = large.join(F.broadcast(pivots) if pivots.count() <= BROADCAST_PIVOTS else pivots, "b")
+    """``path, key, sig, b, alike`` of large buckets: the estimated similarity to the pivot."""
+    paths = large.groupBy("path").agg(F.first("b").alias("b"))
+    pivots = stash(paths.join(sigs.select(F.col("key").alias("b"), F.col("sig").alias("pivot")), "b").select("path", "pivot"), "pivots")
+    joined = large.join(sigs, "key").join(F.broadcast(pivots) if pivots.count() <= BROADCAST_PIVOTS else pivots, "path")
     same = F.expr(f"size(filter(sequence(0, {SIGNATURE - 1}), i -> substring(sig, i * 4 + 1, 4) = substring(pivot, i * 4 + 1, 4)))")
     return stash(joined.select("path", "key", "sig", "b", (same / SIGNATURE).alias("alike")), "near")
 
@@ -215,17 +241,17 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _check(members: list[tuple[bytes, int, bytes]], similarity: float) -> Iterator[tuple[bytes, int, bytes]]:
-    """(key, links, root's key) of the members ``(key, block, shingles)`` of a task of one or two blocks."""
-    block = np.array([b for _, b, _ in members])
+def _check(members: list[tuple[bytes, int, bytes]], within: bool, similarity: float) -> Iterator[tuple[bytes, int, bytes]]:
+    """(key, links, root's key) of the members ``(key, block, shingles)`` of a task: pairs ``within`` its one block, or across its two."""
     if len(members) < 2:
         return
+    block = np.array([b for _, b, _ in members])
     sets = [np.frombuffer(s, "<u8") for _, _, s in members]
     size = np.array([len(s) for s in sets], np.float32)
     shared = _intersections(sets)
     similar = shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-3
     np.fill_diagonal(similar, False)
-    if block.min() != block.max():  # pairs within a block belong to the block's own task
+    if not within:  # pairs within a block belong to the block's own task
         similar &= block[:, None] != block[None, :]
     links = similar.sum(axis=1)
     for k, r in enumerate(_roots(similar)):
@@ -233,14 +259,39 @@ def _check(members: list[tuple[bytes, int, bytes]], similarity: float) -> Iterat
             yield members[k][0], int(links[k]), members[r][0]
 
 
+def _cells(rows: DataFrame, similarity: float) -> DataFrame:
+    """``cells``: the pairs of blocks that each row of ``label, key, size`` is in, as structs ``(i, j, block)``.
+
+    A group of more than a block is cut by size classes first: sets of classes further apart than one can't reach the
+    threshold. Classes are cut into blocks by a hash of the key.
+    """
+    large = stash(rows.groupBy("label").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK).select("label"), "large")
+    step = math.log(1 / similarity) if similarity < 1 else 1.0
+    member = rows.select("label", "size").join(large, "label").withColumn("class", F.floor(F.log("size") / step).cast("int"))
+    classes = member.groupBy("label", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    table = stash(classes.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("class", "blocks"))).alias("blocks")), "classes")
+    # classes are a logarithm of the longest text: one short map a group
+    rows = rows.join(F.broadcast(table) if table.count() <= BROADCAST_KEYS else table, "label", "left")
+    rows = rows.withColumn("class", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.floor(F.log("size") / step).cast("int")))
+    of = lambda k: f"coalesce(try_element_at(blocks, {k}), 0)"
+    rows = rows.withColumn("at", F.expr(f"if(blocks is null, 0, cast(pmod(xxhash64(key), {of('class')}) as int))"))
+    # a block's number: its class and its place in it
+    number = lambda c, k: f"shiftleft(cast({c} as bigint), 32) + {k}"
+    cell = lambda other: f"named_struct('i', least({number('class', 'at')}, {other}), 'j', greatest({number('class', 'at')}, {other}), 'block', {number('class', 'at')})"
+    pairs = ", ".join(f"transform(filter(sequence(0, {of(f'class + {d}')}), o -> o < {of(f'class + {d}')}), o -> {cell(number(f'class + {d}', 'o'))})" for d in (-1, 0, 1))
+    alone = f"array({cell(number('class', 'at'))})"
+    return rows.withColumn("cells", F.expr(f"if(blocks is null, {alone}, concat({pairs}))")).drop("blocks", "class", "at")
+
+
 def exact_links(texts: DataFrame, groups: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``key, links, root`` by task; ``texts`` has ``key, text`` once a key, ``groups`` has ``node, label``."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("shingles")
         for batch in batches:
-            grams = [np.unique(shingles(t.as_py())).tobytes() for t in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(grams, pa.binary())], names=["label", "key", "blocks", "grams"])
+            grams = [np.unique(shingles(t.as_py())) for t in batch.column(2)]
+            columns = [batch.column(0), batch.column(1), pa.array([len(g) for g in grams], pa.int32()), pa.array([g.tobytes() for g in grams], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["label", "key", "size", "grams"])
 
     def check(batches):
         left, at = [], None
@@ -248,23 +299,22 @@ def exact_links(texts: DataFrame, groups: DataFrame, similarity: float = SIMILAR
             out = []
             for label, i, j, key, block, grams in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 if (label, i, j) != at:
-                    out += _check(left, similarity)
+                    out += _check(left, at is not None and at[1] == at[2], similarity)
                     left, at = [], (label, i, j)
                 left.append((key, block, grams))
             yield _batch(out)
-        yield _batch(list(_check(left, similarity)))
+        yield _batch(list(_check(left, at is not None and at[1] == at[2], similarity)))
 
     def _batch(out):
         kinds = (pa.binary(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["key", "links", "root"])
 
-    sizes = groups.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = groups.join(sizes, "label").select(F.col("node").alias("key"), "label", "blocks")
-    rows = texts.join(members, "key").select("label", "key", "blocks", "text").mapInArrow(sets, "label binary, key binary, blocks int, grams binary")
-    rows = stash(rows, "sets").withColumn("block", F.expr("cast(pmod(xxhash64(key), blocks) as int)"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "block", "grams")
-    rows = rows.repartition(_partitions(texts), "label", "i", "j").sortWithinPartitions("label", "i", "j", "key")
+    members = groups.select(F.col("node").alias("key"), "label")
+    rows = texts.join(members, "key").select("label", "key", "text").mapInArrow(sets, "label binary, key binary, size int, grams binary")
+    rows = _cells(stash(rows, "sets"), similarity)
+    rows = rows.select("label", F.explode("cells").alias("cell"), "key", "grams").select("label", "cell.i", "cell.j", "key", "cell.block", "grams")
+    # by ranges: pairs of blocks are of like size, and ranges deal them out evenly
+    rows = rows.repartitionByRange(_partitions(texts), "label", "i", "j").sortWithinPartitions("label", "i", "j", "key")
     return rows.mapInArrow(check, "key binary, links long, root binary")
 
 
@@ -293,9 +343,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     least = joined.where("label is not null").groupBy("label").agg(F.min("first").alias("least"))
     named = joined.join(least, "label", "left").join(links, "key", "left")
     named = named.select("key", F.coalesce("label", "key").alias("member"), F.coalesce("least", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("n") - 1).alias("n_copies"))
-    named = stash(named, "named")  # as above: a text with very many copies can be split
+    named = stash(named, "named")
     wordless = F.col("sig").isNull()
-    rows = signed.select("doc_id", "key", wordless.alias("wordless")).join(named, "key")
+    # a text with very many copies is dealt to many tasks
+    rows = spread_join(signed.select("doc_id", "key", wordless.alias("wordless")), named, ["key"], hot_keys(texts, ["key"]))
     own = F.when(F.col("wordless"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
     return rows.select("doc_id", "key", own, "n_links", "n_copies", F.when(~F.col("wordless"), F.col("member")).alias("member"))
 
@@ -305,15 +356,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """The rows of ``docs``, all columns: of each class the one with the smallest doc_id, and every wordless row.
+    """The rows of ``docs``, all columns: of each class the one with the smallest doc_id (null ids last, ties by
+    the text's key), and every wordless row.
 
     Rows that repeat the kept doc_id and text are one document, of which one row stays.
     """
-    of = classes(docs, similarity, recall)
-
+    of = stash(classes(docs, similarity, recall), "of")
     # a text without a member is wordless: all its rows stay
     worded = of.where("member is not null")
-    winners = worded.groupBy("member").agg(F.min(F.struct("doc_id", "key")).alias("w")).select(F.col("w.doc_id").alias("_w_id"), F.col("w.key").alias("_w_key"), F.lit(False).alias("_all"))
+    winners = worded.groupBy("member").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("w")).select(F.col("w.doc_id").alias("_w_id"), F.col("w.key").alias("_w_key"), F.lit(False).alias("_all"))
     every = of.where("member is null").select(F.col("doc_id").alias("_w_id"), F.col("key").alias("_w_key"), F.lit(True).alias("_all")).distinct()
     winners = stash(winners.unionByName(every), "winners")
     names = docs.columns
