@@ -3,22 +3,28 @@
 The index holds the items; every passage of every training document is a query. A passage is two neighbouring
 stretches of ``reach`` words, ``reach`` being the longest item's length, so an item that a document holds lies
 wholly in one passage. An item's score is divided by what the item itself would score, which gives one threshold
-for all items. Postings are cut into blocks at the same item boundaries in every list; the sum of block maxima
-over a passage's terms bounds the score of every item in a block, and only blocks whose bound reaches the
-threshold are opened. Whatever is retrieved must then hold the item's question (its five-word shingles) and its
+for all items. Postings are cut into blocks at the same item boundaries in every list. Retrieval is block-max WAND:
+cursors of a passage's terms are kept in order of their item; the pivot is the first item whose terms' maxima can
+reach the threshold together; the maxima of the pivot's block decide whether it is scored or the cursors skip
+beyond the block. A first look at the sums of all block maxima drops passages that no block can satisfy. Whatever is retrieved must then hold the item's question (its five-word shingles) and its
 answer (its words).
 """
 
 from __future__ import annotations
 
 import dataclasses
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from barloom.llm.common import stash
 from barloom.llm.memory import claim, keep
 from barloom.llm.tokenpack import GenerationCache
 
@@ -50,6 +56,21 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return (question, answer) if question and answer else (terms_of(text), [])
 
 
+@dataclasses.dataclass
+class Statistics:
+    """What scores depend on, over the items of all shards: their number, mean and greatest length, and each term's items."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[str, int]
+
+    @classmethod
+    def of(cls, items: list[tuple[list[str], list[str]]]) -> Statistics:
+        lengths = [len(q) + len(a) for q, a in items] or [0]
+        return cls(len(items), sum(lengths) / len(lengths), max(lengths), Counter(w for q, a in items for w in {*q, *a}))
+
+
 @dataclasses.dataclass
 class Index:
     ids: list
@@ -59,15 +80,17 @@ class Index:
     reach: int
     items: np.ndarray  # postings, by term then item
     impacts: np.ndarray
-    starts: np.ndarray  # (terms, blocks + 1): where a term's postings of a block begin
+    starts: np.ndarray  # (terms + 1): where a term's postings begin
     maxima: np.ndarray  # (terms, blocks)
+    bounds: np.ndarray  # (blocks + 1): the first item of each block
 
     @classmethod
-    def build(cls, rows: list[tuple]) -> Index:
-        """``rows``: (id, text). Items without words can't be found and are left out."""
+    def build(cls, rows: list[tuple], statistics: Statistics | None = None) -> Index:
+        """``rows``: (id, text). Items without words can't be found and are left out. ``statistics`` are those of all items, these by default."""
         rows = [(i, *question_and_answer(t or "")) for i, t in rows]
         rows = [r for r in rows if r[1]]
         rows.sort(key=lambda r: (len(r[1]) + len(r[2]), str(r[0])))  # items of like length share a block
+        statistics = statistics or Statistics.of([(q, a) for _, q, a in rows])
         vocabulary: dict[str, int] = {}
         number = lambda words: np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int64)
         question, answer = [number(r[1]) for r in rows], [number(r[2]) for r in rows]
@@ -77,37 +100,68 @@ class Index:
         term = np.concatenate([t for t, _ in found]) if n else np.empty(0, np.int64)
         count = np.concatenate([c for _, c in found]) if n else np.empty(0)
         item = np.repeat(np.arange(n), [len(t) for t, _ in found]) if n else np.empty(0, np.int64)
-        df = np.bincount(term, minlength=v)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths / lengths.mean()) if n else lengths
+        df = np.zeros(v)
+        df[: len(vocabulary)] = [statistics.df[w] for w in vocabulary]
+        idf = np.log(1 + (statistics.n - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * lengths / statistics.mean) if n else lengths
         impact = idf[term] * count * (K1 + 1) / (count + norm[item])
         impact /= np.bincount(item, impact, n)[item]
         order = np.lexsort((item, term))
         term, item, impact = term[order], item[order], impact[order]
         blocks = max(1, min(BLOCKS, -(-n // 8)))
-        block = item * blocks // max(1, n)
-        starts = np.searchsorted(term * blocks + block, np.arange(v * blocks + 1))
         maxima = np.zeros(v * blocks, np.float32)
-        np.maximum.at(maxima, term * blocks + block, impact.astype(np.float32))
-        table = np.concatenate((starts[:-1].reshape(v, blocks), starts[blocks::blocks][:, None]), axis=1)
-        return cls([r[0] for r in rows], vocabulary, question, answer, max(8, int(lengths.max(initial=0))), item, impact, table, maxima.reshape(v, blocks))
-
-    def retrieve(self, terms: np.ndarray, bounds: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """Items that score ``threshold`` at least for a passage's distinct terms; ``bounds`` are the blocks' bounds."""
-        out = []
-        for block in np.flatnonzero(bounds >= threshold - 1e-4):
-            # no pivot: an opened block is scored exhaustively
-            top = self.maxima[terms, block]
-            live = terms[top > 0]
-            order = np.argsort(-self.maxima[live, block], kind="stable")
-            live = live[order]
-            spans = [(self.starts[t, block], self.starts[t, block + 1]) for t in live]
-            at = np.concatenate([np.arange(a, b) for a, b in spans]) if spans else np.empty(0, np.int64)
-            items = self.items[at]
-            low = items.min(initial=0)
-            scores = np.bincount(items - low, self.impacts[at]) if len(items) else np.empty(0)
-            out += [(int(k + low), float(scores[k])) for k in np.flatnonzero(scores >= threshold)]
-        return out
+        np.maximum.at(maxima, term * blocks + item * blocks // max(1, n), np.nextafter(impact.astype(np.float32), np.float32(2)))
+        bounds = -(-np.arange(blocks + 1) * max(1, n) // blocks)
+        starts = np.searchsorted(term, np.arange(v + 1))
+        return cls([r[0] for r in rows], vocabulary, question, answer, max(8, statistics.longest), item, impact, starts, maxima.reshape(v, blocks), bounds)
+
+    def retrieve(self, terms: np.ndarray, threshold: float) -> Iterator[tuple[int, float]]:
+        """Items that score ``threshold`` at least for a passage's distinct terms, and their scores; ``opened`` counts the postings read."""
+        items, impacts, starts, bounds = self._lists()
+        maxima = self.maxima[terms].tolist()
+        enough = threshold - 1e-6
+        # a cursor: its item, its place, the end of its postings, the greatest impact, the impacts by block
+        cursors = [[items[starts[t]], starts[t], starts[t + 1], max(m), m] for t, m in zip(terms.tolist(), maxima, strict=True)]
+        while True:
+            cursors.sort(key=itemgetter(0))
+            bound, pivot = 0.0, -1
+            for k, c in enumerate(cursors):
+                bound += c[3]
+                if bound >= enough:
+                    pivot = k
+                    break
+            if pivot < 0:
+                return
+            at = cursors[pivot][0]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == at:
+                pivot += 1
+            block = bisect_right(bounds, at) - 1
+            if sum([c[4][block] for c in cursors[: pivot + 1]]) < enough:
+                # no item up to the block's end, or to the next cursor's, has more terms than these
+                target = bounds[block + 1]
+                if pivot + 1 < len(cursors):
+                    target = min(target, cursors[pivot + 1][0])
+                moved = range(pivot + 1)
+            elif cursors[0][0] == at:
+                self.opened += pivot + 1
+                score = sum([impacts[c[1]] for c in cursors[: pivot + 1]])
+                if score >= threshold:
+                    yield at, score
+                target, moved = at + 1, range(pivot + 1)
+            else:
+                target, moved = at, [k for k in range(pivot) if cursors[k][0] < at]
+            for k in moved:
+                c = cursors[k]
+                c[1] = bisect_left(items, target, c[1], c[2])
+                c[0] = items[c[1]] if c[1] < c[2] else -1
+            cursors = [c for c in cursors if c[0] >= 0]
+
+    def _lists(self) -> tuple[list[int], list[float], list[int], list[int]]:
+        """Postings, impacts, starts and block bounds as lists, which are quicker to step through; made once a worker."""
+        if not hasattr(self, "_as_lists"):
+            self._as_lists = self.items.tolist(), self.impacts.tolist(), self.starts.tolist(), self.bounds.tolist()
+            self.opened = 0
+        return self._as_lists
 
     def overlap(self, item: int, passage: np.ndarray) -> tuple[float, float]:
         """Shares of the question's shingles and of the answer's words that the passage has."""
@@ -161,7 +215,7 @@ class Searcher:
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         for k in np.flatnonzero((bounds >= threshold - 1e-4).any(axis=1)):
             w = window[heads[k]]
-            retrieved = index.retrieve(term[heads[k] : ends[k]], bounds[k], threshold)
+            retrieved = list(index.retrieve(term[heads[k] : ends[k]], threshold))
             if not retrieved:
                 continue
             place = int(np.searchsorted(windows, w, side="right")) - 1
@@ -175,13 +229,37 @@ class Searcher:
             yield place, item, *x
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """Indexes over all items. Their size is checked first: items are read in shards, by a hash of their id, that each stay within the bound."""
+ITEMS = "n_words int, terms array<string>"
+
+
+def indexes(benchmark: DataFrame) -> Iterator[Index]:
+    """Indexes over all items, one in memory at a time. Their size is checked first: items are read in shards, by a hash
+    of id and text, that each stay within the bound. Scores depend on statistics of all items, not on the shards."""
+
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, terms = [], []
+            for text in batch.column(0):
+                question, answer = question_and_answer(text.as_py() or "")
+                sizes.append(len(question) + len(answer))
+                terms.append(sorted({*question, *answer}))
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.array(terms, pa.list_(pa.string()))], names=["n_words", "terms"])
+
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     shards = max(1, -(-n // SHARD_ITEMS), -(-chars // SHARD_CHARS))
+    if shards == 1:
+        yield Index.build([tuple(r) for r in items.collect()])
+        return
+    measured = stash(items.select("text").mapInArrow(measure, ITEMS).where("n_words > 0"), "items")
+    total, mean, longest = measured.agg(F.count("*"), F.coalesce(F.avg("n_words"), F.lit(1.0)), F.coalesce(F.max("n_words"), F.lit(0))).first()
+    df = stash(measured.select(F.explode("terms").alias("term")).groupBy("term").count(), "df")
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
-    return [Index.build([tuple(r) for r in items.where(part == k).collect()]) for k in range(shards)]
+    for k in range(shards):
+        rows = [tuple(r) for r in items.where(part == k).collect()]
+        words = sorted({w for _, t in rows for w in terms_of(t)})
+        known = df.join(F.broadcast(df.sparkSession.createDataFrame([(w,) for w in words], "term string")), "term", "left_semi").collect()
+        yield Index.build(rows, Statistics(total, mean, longest, dict(map(tuple, known))))
 
 
 _SEARCHERS: dict[str, Searcher] = {}  # the index that this Python worker used last
@@ -200,11 +278,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
     """``doc_id, item_id, score, question_overlap, answer_overlap``: every item that a document holds.
 
     Null texts hold nothing; null or wordless items are never held; equal items are all named; a repeated row
-    gives its rows again. One pass over the documents for each index shard.
+    gives its rows again; item ids keep their type. One pass over the documents for each index shard.
     """
     spark = docs.sparkSession
     out = None
-    doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    doc_kind, item_kind = docs.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType
     for index in indexes(benchmark):
         out_part = _search(docs, index, spark, doc_kind, item_kind, threshold, overlap)
         out = out_part if out is None else out.unionByName(out_part)
@@ -228,6 +306,7 @@ def _search(docs, index, spark, doc_kind, item_kind, threshold, overlap) -> Data
 
     shared, name = spark.sparkContext.broadcast(index), uuid.uuid4().hex
     names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
+    item_type = to_arrow_type(item_kind)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = _searcher(name, shared)
@@ -241,19 +320,15 @@ def _search(docs, index, spark, doc_kind, item_kind, threshold, overlap) -> Data
                     found.append((ids[item], round(score, 6), round(q, 6), round(a, 6)))
             cols = list(zip(*found, strict=True)) if found else [()] * 4
             kinds = [None, pa.float64(), pa.float64(), pa.float64()]
-            item_col = pa.array(cols[0], type=_arrow(item_kind))
+            item_col = pa.array(cols[0], type=item_type)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(places, pa.int64())), item_col, *[pa.array(c, k) for c, k in zip(cols[1:], kinds[1:], strict=True)]], names=names
             )
 
-    schema = f"doc_id {doc_kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double"
+    schema = f"doc_id {doc_kind.simpleString()}, item_id {item_kind.simpleString()}, score double, question_overlap double, answer_overlap double"
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no test item."""
     import uuid
