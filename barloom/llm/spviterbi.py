@@ -17,6 +17,7 @@ For BPE models the ids equal the library's own; for unigram models their sum of
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from barloom.llm.memory import claim, keep
 
 SPACE = "▁"
+RUNS = re.compile(f"(?<!{SPACE}){SPACE}")
 CACHE = 150_000
 
 
@@ -133,6 +135,10 @@ class PieceModel:
                 if a in self.plain and b in self.plain and scores[p] not in tied and all(len(x) == 1 or self.order[x] < self.order[p] for x in last):
                     self.plain.add(p)
         self.usable = usable
+        # the longest usable piece by its last two characters (by its one, for pieces of one)
+        self.reach: dict[str, int] = {}
+        for p in usable:
+            self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 1))
         self.fits: dict[tuple[str, str], bool] = {}
 
     def _merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
@@ -244,31 +250,45 @@ class StreamingViterbi:
 
     def _advance(self, chars: str) -> None:
         done, self.text = len(self.text), self.text + chars
-        text, back, best, last = self.text, self.back, self.best, self.last
-        vocabulary, longest, fit, scores, model = self.vocabulary, self.model.longest, self.model.fit, self.model.scores, self.model
+        if self.bpe:
+            self._merges(done)
+        else:
+            self._sums(done)
+
+    def _merges(self, done: int) -> None:
+        """The one last piece of each new prefix that fits the prefix before it."""
+        text, back, last, vocabulary = self.text, self.back, self.last, self.vocabulary
+        reach, fits, fit = self.model.reach, self.model.fits, self.model.fit
         for end in range(done + 1, len(text) + 1):
-            char = text[end - 1]
-            if self.bpe:
-                for at in range(max(0, end - longest), end):
-                    piece = text[at:end]
-                    if piece in vocabulary:
-                        if last[at] == "" or fit(last[at], piece):
-                            break
-                else:
-                    at, piece = end - 1, char
-                back.append(at)
-                last.append(piece)
+            at = end - reach.get(text[end - 2 if end > 1 else 0 : end], 1)
+            for at in range(at if at > 0 else 0, end):  # noqa: B020
+                piece = text[at:end]
+                if piece in vocabulary:
+                    before = last[at]
+                    if not before or fits.get((before, piece)) or ((before, piece) not in fits and fit(before, piece)):
+                        break
             else:
-                top, came = None, end - 1
-                for at in range(max(0, end - longest), end):
-                    i = vocabulary.get(text[at:end])
-                    if i is not None and (top is None or best[at] + scores[i] > top):
-                        top, came = best[at] + scores[i], at
-                if char not in vocabulary and (top is None or best[end - 1] + model.unknown_score > top):
-                    top, came = best[end - 1] + model.unknown_score, end - 1
-                back.append(came)
-                best.append(top)
-                last.append(text[came:end])
+                at = end - 1
+                piece = text[at]
+            back.append(at)
+            last.append(piece)
+
+    def _sums(self, done: int) -> None:
+        """The last piece of each new prefix that gives the greatest sum of scores."""
+        text, back, best, last = self.text, self.back, self.best, self.last
+        vocabulary, model = self.vocabulary, self.model
+        scores, longest = model.scores, model.longest
+        for end in range(done + 1, len(text) + 1):
+            top, came = None, end - 1
+            for at in range(max(0, end - longest), end):
+                i = vocabulary.get(text[at:end])
+                if i is not None and (top is None or best[at] + scores[i] > top):
+                    top, came = best[at] + scores[i], at
+            if text[end - 1] not in vocabulary and (top is None or best[end - 1] + model.unknown_score > top):
+                top, came = best[end - 1] + model.unknown_score, end - 1
+            back.append(came)
+            best.append(top)
+            last.append(text[came:end])
 
     def _commit(self) -> list[int]:
         """Commit up to the last boundary that every live backpointer path goes through."""
@@ -308,10 +328,11 @@ class StreamingViterbi:
 
 
 class Encoder:
-    """Texts to ids (u32 bytes), remembering the parts between boundaries that no piece can cross.
+    """Texts to ids (u32 bytes) by the streaming Viterbi, remembering words that it has encoded.
 
-    A boundary before a white-space mark, or between two characters that no piece holds side by side, is on
-    every path, so the streaming Viterbi would commit there; what lies between is looked up once.
+    A boundary between two characters that no piece holds side by side is on every path: the Viterbi commits there,
+    so it is fed what lies between such boundaries, and whole words between white-space marks are looked up before.
+    ``fed`` counts the characters that it was fed.
     """
 
     def __init__(self, path: str):
@@ -319,63 +340,23 @@ class Encoder:
 
         self.model = PieceModel(path)
         self.viterbi = StreamingViterbi(self.model)
+        self.fed = 0
         self.words = GenerationCache(self._word, CACHE)
         self.parts = GenerationCache(self._part, CACHE)
-        self.states: dict[str, bytes] = {"": b""}  # the ids on the best path of each prefix
-        self.fits: dict[bytes, bool] = {}  # by the ids of two pieces
-        self.id_bytes = {p: i.to_bytes(4, "little") for p, i in self.viterbi.vocabulary.items()}
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(len(self.model.pieces))]
         #: a mark begins a word unless a piece has it elsewhere than at its start, as runs of marks have
         self.splits = all(x == SPACE * 2 or x[1] != SPACE for x in self.model.inside) and self.model.byte_fallback
 
     def forget(self) -> None:
         self.words.forget()
         self.parts.forget()
-        self.fits.clear()
-        self.model.fits.clear() if self.model.kind == PieceModel.BPE else None
-        self.states.clear()
-        self.states[""] = b""
+        if self.viterbi.bpe:
+            self.model.fits.clear()
 
     def _part(self, part: str) -> bytes:
-        if self.model.kind == PieceModel.BPE and len(part) < 64:
-            return self._short(part)
-        out = [*self.viterbi.feed(part), *self.viterbi.finish()]
-        return b"".join([i.to_bytes(4, "little") for i in out])
-
-    def _short(self, part: str) -> bytes:
-        """The same recursion for short parts, with the best paths of prefixes shared among all parts."""
-        states, fits, ids, longest = self.states, self.fits, self.id_bytes, self.model.longest
-        if len(states) > 3 * CACHE:
-            states.clear()
-            states[""] = b""
-        known = len(part)
-        while part[:known] not in states:
-            known -= 1
-        for end in range(known + 1, len(part) + 1):
-            for at in range(max(0, end - longest), end):
-                i = ids.get(part[at:end])
-                if i is not None:
-                    path = states[part[:at]]
-                    if not at:
-                        break
-                    pair = path[-4:] + i
-                    fit = fits.get(pair)
-                    if fit is None:
-                        fit = self._pair(pair)
-                    if fit:
-                        break
-            else:
-                path = states[part[: end - 1]]
-                i = b"".join([x.to_bytes(4, "little") for x in self.model.spell(part[end - 1])])
-            states[part[:end]] = path + i
-        return states[part]
-
-    def _pair(self, pair: bytes) -> bool:
-        a, b = (int.from_bytes(x, "little") for x in (pair[:4], pair[4:]))
-        if len(self.fits) > 4 * CACHE:
-            self.fits.clear()
-        model = self.model
-        self.fits[pair] = fit = model.types[a] != model.NORMAL or bool(model._fit(model.pieces[a], model.pieces[b]))
-        return fit
+        self.fed += len(part)
+        viterbi, known = self.viterbi, self.id_bytes
+        return b"".join([known[i] for i in viterbi.feed(part)] + [known[i] for i in viterbi.finish()])
 
     def _word(self, word: str) -> bytes:
         text, inside, parts = SPACE + word, self.model.inside, self.parts
@@ -390,27 +371,23 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.splits:
-            return self._part(self.model.prepare(text))
         prepared = self.model.prepare(text)
-        if SPACE + SPACE in prepared or SPACE in text or not prepared.startswith(SPACE):
-            return self._runs(prepared)
+        if not self.splits or not prepared.startswith(SPACE):
+            return self._part(prepared)
         words = self.words
-        return b"".join([words[w] for w in prepared[1:].split(SPACE)])
-
-    def _runs(self, prepared: str) -> bytes:
-        """Texts with runs of marks: cut only where a mark follows another character."""
-        out, at, parts = [], 0, self.parts
-        k = prepared.find(SPACE, 1)
-        while k > 0:
-            if prepared[k - 1] != SPACE:
-                piece = prepared[at:k]
-                out.append(parts[piece] if len(piece) < 64 else self._part(piece))
-                at = k
-            k = prepared.find(SPACE, k + 1)
-        piece = prepared[at:]
-        out.append(parts[piece] if len(piece) < 64 else self._part(piece))
-        return b"".join(out)
+        if SPACE + SPACE not in prepared:
+            return b"".join([words[w] for w in prepared[1:].split(SPACE)])
+        # runs of marks can be pieces: a word with the run before it is one part
+        out, at = [], 0
+        for m in RUNS.finditer(prepared, 1):
+            out.append(self._between(prepared, at, m.start()))
+            at = m.start()
+        return b"".join([*out, self._between(prepared, at, len(prepared))])
+
+    def _between(self, prepared: str, at: int, end: int) -> bytes:
+        if prepared[at + 1 : at + 2] != SPACE:
+            return self.words[prepared[at + 1 : end]]
+        return self._part(prepared[at:end])
 
 
 _ENCODERS: dict[str, Encoder] = {}  # one a Python worker
@@ -424,14 +401,13 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-SCHEMA = "doc_id long, n_tokens long, ids array<int>, decoded_equal boolean"
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded_equal`` of every whole text; other columns are ignored.
 
     Null texts are empty and have no ids. ``decoded_equal`` tells whether decoding the ids gives the text back.
-    Repeated rows give repeated rows.
+    Repeated rows give repeated rows; ids keep their type.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -458,7 +434,8 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
                 [batch.column(0), pa.array(counts, pa.int64()), ids, pa.array(same)], names=["doc_id", "n_tokens", "ids", "decoded_equal"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, decoded_equal boolean")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -470,4 +447,5 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
             texts = [model.decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
