@@ -1,8 +1,8 @@
 """Bytes as 8-bit audio: a lossless WAV column, and features computed from the stored samples.
 
-Per row: polyphase resampling to half the rate, overlapped log-mel filterbanks, and hysteresis energy
-segmentation. Features come out as patches of one fixed shape ``(PATCH, MELS)`` with their time spans, so they
-fit an Arrow fixed-shape tensor column (:func:`tensor_column`).
+Per row: polyphase resampling to two fifths of the rate, overlapped log-mel filterbanks, and hysteresis energy
+segmentation. Features are patches of one fixed shape ``(PATCH, MELS)``, stored as Arrow fixed-shape tensors with
+their time spans. Media and tensors are tables in the shared folder; each step reads what the one before has written.
 """
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import stash
+
 # fixed values of this operator
 RATE = 16_000  # stored samples a second
-UP, DOWN, TAPS = 1, 2, 33
-FRAME, HOP, FFT, MELS = 200, 80, 256, 16  # at the resampled rate of 8 kHz: 25 ms every 10 ms
+UP, DOWN, TAPS = 2, 5, 33
+FRAME, HOP, FFT, MELS = 160, 64, 256, 16  # at the resampled rate of 6.4 kHz: 25 ms every 10 ms
 PATCH = 32  # frames in a tensor
 ON_DB, OFF_DB, MIN_FRAMES = -9.0, -15.0, 3  # hysteresis against the loudest frame; shorter segments go
 UNIT, PAD = 576, b"\xff"
@@ -148,70 +150,92 @@ def tensor_ipc(patches: np.ndarray, spans: np.ndarray) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-MEDIA = "doc_id long, n_bytes long, media binary"
-FEATURES = "doc_id long, n_bytes long, media binary, tensors binary, segments array<struct<start_ms:long,end_ms:long>>"
-DIGEST = (
-    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-    "media_sha256 string, feature string, n_frames long, n_tensors long, n_segments long"
-)
+def read_tensors(stream: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Patches and spans of an Arrow stream that :func:`tensor_ipc` has made."""
+    table = pa.ipc.open_stream(stream).read_all().combine_chunks()
+    column = table["log_mel"].chunk(0) if table["log_mel"].num_chunks else tensor_column(np.empty((0, PATCH, MELS)))
+    return column.to_numpy_ndarray(), np.stack((table["start_ms"].to_numpy(), table["end_ms"].to_numpy()), axis=1)
+
+
+MEDIA = "n_bytes long, media binary"
+STORED = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+SEGMENTS = "array<struct<start_ms:long,end_ms:long>>"
+DIGEST = f"{STORED}, feature string, n_frames long, n_tensors long, n_segments long"
+
+
+def _kind(df: DataFrame) -> str:
+    return df.schema["doc_id"].dataType.simpleString()
+
+
+def _names(schema: str) -> list[str]:
+    return ["doc_id", *(x.split()[0] for x in schema.split(", "))]
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, media``: each whole text (null: empty) as a WAV file. Repeated rows stay repeated."""
+    """``doc_id, n_bytes, media``: each whole text (null: empty) as a WAV file. Ids keep their type; repeated rows stay repeated."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, n_bytes, media = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            n_bytes, media = [], []
+            for text in batch.column(1):
                 payload, n = payload_of(text.as_py())
-                ids.append(doc_id)
                 n_bytes.append(n)
                 media.append(wav(payload))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(media, pa.binary())], names=_names(MEDIA))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, MEDIA)
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {_kind(docs)}, {MEDIA}")
 
 
 def extract(media: DataFrame) -> DataFrame:
-    """Tensors (an Arrow stream a row) and segments of ``doc_id, n_bytes, media`` rows."""
+    """What stored files ``doc_id, n_bytes, media`` hold: lengths, checksums, ``tensors`` (an Arrow stream of fixed-shape tensors and spans) and ``segments``."""
 
     def run(batches):
+        kind = pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())]))
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), kind]
         for batch in batches:
-            tensors, found = [], []
+            rows = []
             for value in batch.column(2):
-                patches, spans, segs = features(samples_of(value.as_py()))
-                tensors.append(tensor_ipc(patches, spans))
-                found.append([{"start_ms": int(a), "end_ms": int(b)} for a, b in segs])
-            kind = pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tensors, pa.binary()), pa.array(found, kind)], names=[*batch.schema.names, "tensors", "segments"])
+                data = value.as_py()
+                payload = samples_of(data)
+                patches, spans, segs = features(payload)
+                found = [{"start_ms": int(a), "end_ms": int(b)} for a, b in segs]
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), tensor_ipc(patches, spans), found))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=[*_names(STORED), "tensors", "segments"])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, FEATURES)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {_kind(media)}, {STORED}, tensors binary, segments {SEGMENTS}")
 
 
-def digest(media: DataFrame) -> DataFrame:
-    """What the stored files say, read back: lengths, checksums and a summary of their features.
+def digest(stored: DataFrame) -> DataFrame:
+    """The rows of :func:`extract` with a summary of their stored tensors and segments.
 
-    ``feature`` is ``frames:tensors:segments:active ms:mean log-mel of each band:sha256 of the tensors``,
+    ``feature`` is ``frames:tensors:segments:active ms:mean log-mel of each band:hash of the tensors``,
     the same for equal texts.
     """
 
     def run(batches):
+        names = _names(DIGEST)
         for batch in batches:
             rows = []
-            for doc_id, n_bytes, value in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                payload = samples_of(value)
-                patches, spans, segs = features(payload)
+            for stream, found in zip(batch.column("tensors"), batch.column("segments").to_pylist(), strict=True):
+                patches, spans = read_tensors(stream.as_py())
+                segs = np.array([(x["start_ms"], x["end_ms"]) for x in found], np.int64).reshape(-1, 2)
                 frames = int(spans[-1, 1]) * RATE * UP // (1000 * HOP * DOWN)
                 mean = patches.reshape(-1, MELS)[:frames].mean(axis=0, dtype=np.float64)
                 mark = hashlib.sha256(patches.tobytes() + spans.tobytes() + segs.tobytes()).hexdigest()
                 active = int((segs[:, 1] - segs[:, 0]).sum())
                 feature = f"{frames}:{len(patches)}:{len(segs)}:{active}:{','.join(f'{m:.2f}' for m in mean)}:{mark[:32]}"
-                rows.append(
-                    (doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(value), hashlib.sha256(value).hexdigest(), feature, frames, len(patches), len(segs))
-                )
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 11
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            names = [x.split()[0] for x in DIGEST.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, DIGEST)
+                rows.append((feature, frames, len(patches), len(segs)))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            kept = [batch.column(c) for c in names[: -len(kinds)]]
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=names)
+
+    return stored.mapInArrow(run, f"doc_id {_kind(stored)}, {DIGEST}")
+
+
+def media_digest(docs: DataFrame) -> DataFrame:
+    """Write the media, read them back, write their tensors, read those back and summarise: ``doc_id`` and the columns of ``DIGEST``."""
+    media = stash(store(docs), "media", "zstd")
+    stored = stash(extract(media), "tensors", "zstd")
+    return digest(stored)

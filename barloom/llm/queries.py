@@ -50,9 +50,9 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from barloom.llm.audio import digest, store
+    from barloom.llm.audio import media_digest
 
-    return digest(store(table(spark, sf_dir, "documents")))
+    return media_digest(table(spark, sf_dir, "documents"))
 
 
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
