@@ -1,9 +1,10 @@
 """Line deduplication over the whole corpus, in DataFrame operations only.
 
-Lines become 128-bit key hashes with their document and position. Hashes are range-partitioned, with document
-as secondary key so that one very common line spreads over many ranges, and sorted by document and position;
-each range gives a key's documents and its first occurrence, which partial aggregation joins across ranges.
-What comes back for a document is a bitmap of the lines it loses (one bit a line, 64 in a word), not text.
+Lines become 128-bit key hashes with their document and position. Hashes are range-partitioned, with the document
+as secondary key so that one very common line spreads over many ranges, and sorted by document and position, so
+that a range streams each key's documents in order, the first occurrence first; partial aggregation joins what
+ranges say of a key. Only lines whose key is common go on. What comes back for a document is not text but its keep
+bitmap, run-length compressed: the runs of lines that stay.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import stash
+from barloom.llm.common import hot_keys, spread_join, stash
 
 BROADCAST_KEYS = 200_000  # common lines that are sent to every task
 # fixed values of the contract: the characters stripped from both ends, and the letters lower-cased
@@ -35,50 +36,47 @@ def doc_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.xxhash64(F.lit(17), doc_id, body).alias("d1"), F.xxhash64(F.lit(29), body, doc_id).alias("d2")]
 
 
-def dropped_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none") -> DataFrame:
-    """``d1, d2, words, n_dropped`` of the documents that lose lines.
+def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none") -> DataFrame:
+    """``d1, d2, n_lines, kept, n_dropped`` of the documents that lose lines.
 
     A line goes if its key has at least ``min_chars`` code points and is found in at least ``min_docs``
-    documents; with ``keep="first"`` the first occurrence by (doc_id, position) stays. Bit ``p % 64`` of
-    ``words[p div 64]`` is set if line ``p`` goes.
+    documents; with ``keep="first"`` the first occurrence by (doc_id, position) stays. ``kept`` is the document's
+    bitmap of ``n_lines`` bits as its runs of ones, ``(start, length)`` in order; a document without a row keeps all.
     """
     if keep not in ("none", "first"):
         raise ValueError("keep is 'none' or 'first'")
     body = F.col("text").cast("string")
-    rows = docs.select("doc_id", *doc_key(F.col("doc_id"), body), F.posexplode(split_lines(body)).alias("pos", "line"))
+    split = docs.select("doc_id", *doc_key(F.col("doc_id"), body), split_lines(body).alias("lines"))
+    rows = split.select("doc_id", "d1", "d2", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
     key = line_key(F.col("line"))
     lines = stash(
-        rows.select("doc_id", "d1", "d2", "pos", key.alias("key"))
-        .select(
-            "doc_id", "d1", "d2", "pos",
-            F.when(F.char_length("key") >= max(min_chars, 0), F.xxhash64("key")).alias("h1"),
-            F.xxhash64(F.lit(31), "key").alias("h2"),
-        ),
+        rows.select("doc_id", "d1", "d2", "n_lines", "pos", key.alias("key")).where(F.char_length("key") >= max(min_chars, 0))
+        .select("doc_id", "d1", "d2", "n_lines", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(31), "key").alias("h2")),
         "lines",
     )
-    keyed = lines.where("h1 is not null")
     by_doc = (
-        keyed.repartitionByRange(_partitions(docs), "h1", "h2", "d1", "d2")
-        .sortWithinPartitions("h1", "h2", "d1", "d2", "pos")
-        .groupBy("h1", "h2", "d1", "d2")
-        .agg(F.min(F.struct("doc_id", "pos", "d1", "d2")).alias("first"))
+        lines.select("h1", "h2", "doc_id", "d1", "d2", "pos")
+        .repartitionByRange(_partitions(docs), "h1", "h2", "doc_id", "d1", "d2")
+        .sortWithinPartitions("h1", "h2", "doc_id", "d1", "d2", "pos")
+        .groupBy("h1", "h2", "doc_id", "d1", "d2")
+        .agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
     )
-    common = by_doc.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") >= min_docs)
-    common = stash(common.select("h1", "h2", "first", F.lit(True).alias("common")), "common")
-    # a bounded list goes to every task; a longer one has an exchange of its own, so that Spark can split a hot key
-    marked = lines.join(F.broadcast(common) if common.count() <= BROADCAST_KEYS else common, ["h1", "h2"], "left")
-    gone = F.coalesce(F.col("common"), F.lit(False))
+    first = F.min(F.struct("doc_id", "pos", "d1", "d2")).alias("first")
+    common = by_doc.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.sum("n").alias("n"), first).where(F.col("docs") >= min_docs)
+    common = stash(common.select("h1", "h2", "n", "first"), "common")
+    found = common.drop("n")
+    # a bounded list goes to every task; a longer one is joined, with very common lines dealt to many tasks
+    if common.count() <= BROADCAST_KEYS:
+        gone = lines.join(F.broadcast(found), ["h1", "h2"])
+    else:
+        gone = spread_join(lines, found, ["h1", "h2"], hot_keys(common, ["h1", "h2"]))
     if keep == "first":
-        is_first = (F.col("first.d1") == F.col("d1")) & (F.col("first.d2") == F.col("d2")) & (F.col("first.pos") == F.col("pos"))
-        gone = gone & ~F.coalesce(is_first, F.lit(False))
-    bit = F.when(gone, F.expr("shiftleft(1L, pos % 64)")).otherwise(F.lit(0).cast("long"))
-    words = marked.groupBy("d1", "d2", F.expr("pos div 64").alias("word")).agg(F.bit_or(bit).alias("bits"))
-    return (
-        words.groupBy("d1", "d2")
-        .agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("w"), F.sum(F.expr("bit_count(bits)")).alias("n_dropped"))
-        .where("n_dropped > 0")
-        .select("d1", "d2", F.expr("transform(w, x -> x.bits)").alias("words"), F.col("n_dropped").cast("long"))
-    )
+        gone = gone.where((F.col("first.d1") != F.col("d1")) | (F.col("first.d2") != F.col("d2")) | (F.col("first.pos") != F.col("pos")))
+    gone = gone.groupBy("d1", "d2").agg(F.max("n_lines").alias("n_lines"), F.sort_array(F.collect_set("pos")).alias("gone"))
+    # a run of kept lines lies before, between and behind those that go
+    start, end = "if(i = 0, 0, get(gone, i - 1) + 1)", "if(i = size(gone), n_lines, get(gone, i))"
+    kept = F.expr(f"filter(transform(sequence(0, size(gone)), i -> named_struct('start', {start}, 'length', {end} - {start})), r -> r.length > 0)")
+    return gone.select("d1", "d2", "n_lines", kept.alias("kept"), F.size("gone").cast("long").alias("n_dropped"))
 
 
 def _partitions(df: DataFrame) -> int:
@@ -93,11 +91,11 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, counts: bool = True) -> D
     names = docs.columns
     body = F.col("text").cast("string")
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), *doc_key(F.col("doc_id"), body), body.alias("body"))
-    joined = left.join(bitmaps, ["d1", "d2"], "left").select("doc", "words", "n_dropped", split_lines(F.col("body")).alias("lines"))
-    kept = F.expr("array_join(filter(lines, (x, i) -> (shiftright(get(words, i div 64), i % 64) & 1L) = 0L), '\\n')")
-    text = F.when(F.col("words").isNull(), F.coalesce(F.col("doc.text").cast("string"), F.lit(""))).otherwise(kept)
-    joined = joined.select("doc", "n_dropped", "lines", text.alias("kept"))
-    made = {"text": F.col("kept"), "n_chars": F.length("kept")}
+    joined = left.join(bitmaps.select("d1", "d2", "kept", "n_dropped"), ["d1", "d2"], "left").select("doc", "kept", "n_dropped", split_lines(F.col("body")).alias("lines"))
+    kept = F.expr("array_join(flatten(transform(kept, r -> slice(lines, r.start + 1, r.length))), '\n')")
+    text = F.when(F.col("kept").isNull(), F.coalesce(F.col("doc.text").cast("string"), F.lit(""))).otherwise(kept)
+    joined = joined.select("doc", "n_dropped", "lines", text.alias("_left"))
+    made = {"text": F.col("_left"), "n_chars": F.length("_left")}
     if "n_chars" in names:
         made["n_chars"] = made["n_chars"].cast(docs.schema["n_chars"].dataType)
     columns = [(made[c] if c in made else F.col("doc").getField(c)).alias(c) for c in names]
@@ -112,7 +110,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: st
     Null and empty texts are one empty line, which has no key and stays. Rows with equal doc_id and text count
     as one document and are treated alike; null doc_ids are documents too. An empty table gives an empty result.
     """
-    return apply_bitmaps(docs, dropped_bitmaps(docs, min_docs, min_chars, keep), counts)
+    return apply_bitmaps(docs, keep_bitmaps(docs, min_docs, min_chars, keep), counts)
 
 
 def line_digest(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
