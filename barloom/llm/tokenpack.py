@@ -4,7 +4,7 @@ Layout of a ``.blpk`` file (all integers little-endian)::
 
     b"BLPK1\\0" | u8 bits | u8 0
     blocks: each holds BLOCK ids (the last one fewer), every id in ``bits`` bits, padded to a whole byte
-    footer: u64 byte offset of each block | i64 doc_id, u8 null flag, u64 tokens of each document
+    footer: u64 byte offset of each block | u64 tokens of each document | their ids, an Arrow stream of one column
     trailer: u64 blocks | u64 documents | u64 ids | u64 footer offset | b"BLPK1\\0"
 
 The offsets give random access: document ``k`` starts at the sum of the counts before it, which lies in
@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from barloom.llm.common import fresh_path
 from barloom.llm.memory import claim, keep
@@ -57,15 +58,14 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
 
 
 class PackWriter:
-    """Streams documents into one file; memory is a block of ids plus 17 bytes a document."""
+    """Streams documents into one file; memory is a block of ids plus each document's id and length."""
 
-    def __init__(self, out, bits: int):
-        self.out, self.bits, self.at = out, bits, 0
+    def __init__(self, out, bits: int, id_type: pa.DataType | None = None):
+        self.out, self.bits, self.at, self.id_type = out, bits, 0, id_type or pa.int64()
         self.waiting: list[np.ndarray] = []
         self.n_waiting = self.n_ids = 0
         self.offsets: list[int] = []
-        self.doc_ids: list[int] = []
-        self.nulls = bytearray()
+        self.doc_ids: list = []
         self.counts: list[int] = []
         self._put(MAGIC + bytes([bits, 0]))
 
@@ -81,9 +81,8 @@ class PackWriter:
             self._put(pack(ids[k : min(k + BLOCK, end)], self.bits))
         self.waiting, self.n_waiting = [ids[end:]], len(ids) - end
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.doc_ids.append(doc_id or 0)
-        self.nulls.append(doc_id is None)
+    def add(self, doc_id, ids: np.ndarray) -> None:
+        self.doc_ids.append(doc_id)
         self.counts.append(len(ids))
         self.waiting.append(ids)
         self.n_waiting += len(ids)
@@ -95,7 +94,12 @@ class PackWriter:
         self._flush(last=True)
         footer = self.at
         self._put(np.array(self.offsets, "<u8").tobytes())
-        self._put(np.array(self.doc_ids, "<i8").tobytes() + bytes(self.nulls) + np.array(self.counts, "<u8").tobytes())
+        self._put(np.array(self.counts, "<u8").tobytes())
+        sink = pa.BufferOutputStream()
+        column = pa.record_batch([pa.array(self.doc_ids, self.id_type)], names=["doc_id"])
+        with pa.ipc.new_stream(sink, column.schema) as writer:
+            writer.write_batch(column)
+        self._put(sink.getvalue().to_pybytes())
         self._put(struct.pack("<4Q", len(self.offsets), len(self.counts), self.n_ids, footer) + MAGIC)
 
 
@@ -114,9 +118,8 @@ class PackReader:
         self.bits = self.file.read(2)[0]
         self.file.seek(self.footer)
         self.offsets = np.frombuffer(self.file.read(8 * blocks), "<u8")
-        self.doc_ids = np.frombuffer(self.file.read(8 * docs), "<i8")
-        self.nulls = np.frombuffer(self.file.read(docs), np.uint8)
         self.counts = np.frombuffer(self.file.read(8 * docs), "<u8").astype(np.int64)
+        self.doc_ids = pa.ipc.open_stream(self.file.read(size - 38 - self.file.tell())).read_all()["doc_id"].to_pylist()
         self.starts = np.concatenate(([0], np.cumsum(self.counts)))
         self._block, self._ids = -1, np.empty(0, "<u4")
 
@@ -137,7 +140,7 @@ class PackReader:
     def document(self, k: int) -> np.ndarray:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
-    def crcs(self) -> Iterator[tuple[int | None, int, int]]:
+    def crcs(self) -> Iterator[tuple[object, int, int]]:
         """(doc_id, tokens, crc32 of the ids as u32) of every document; one block in memory at a time."""
         for k in range(len(self.counts)):
             crc, at, end = 0, int(self.starts[k]), int(self.starts[k + 1])
@@ -145,7 +148,7 @@ class PackReader:
                 stop = min(end, (at // BLOCK + 1) * BLOCK)
                 crc = zlib.crc32(self.ids(at, stop).tobytes(), crc)
                 at = stop
-            yield None if self.nulls[k] else int(self.doc_ids[k]), int(self.counts[k]), crc
+            yield self.doc_ids[k], int(self.counts[k]), crc
 
 
 class GenerationCache(dict):
@@ -247,7 +250,7 @@ MANIFEST = T.StructType(
         T.StructField("n_ids", T.LongType()),
     ]
 )
-DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
+SHARD_BYTES = 64 << 20  # of the input as stored; a shard holds so much or less
 
 
 def _open(uri: str, mode: str):
@@ -264,10 +267,12 @@ def write_packed(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
     Returns the manifest rows ``(shard, path, n_docs, n_ids)`` in shard order, one for each non-empty
     partition. A retried task writes under its own attempt's name and only the name in the manifest is read,
     so a lost executor costs its shards again and nothing else. Null texts are empty; null doc_ids come
-    first; equal doc_ids are ordered by a hash of their text.
+    first; equal doc_ids are ordered by a hash of their text. Ids can be of any type. Rows with equal or null
+    ids, however many, are dealt to many shards.
     """
     bits = min_bits(max(vocab_size, end_id + 1))
     end = np.array([end_id], "<u4")
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def shard(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = out = encode = None
@@ -276,7 +281,7 @@ def write_packed(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
         for batch in batches:
             if writer is None:
                 encode, out = _encoder(tokenizer_path), _open(path, "w")
-                writer = PackWriter(out, bits)
+                writer = PackWriter(out, bits, id_type)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 writer.add(doc_id, np.concatenate((np.frombuffer(encode(text.as_py() or ""), "<u4"), end)))
         if writer is not None:
@@ -288,19 +293,21 @@ def write_packed(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
             )
 
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .repartitionByRange(shards, "doc_id")
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    )
+    stored = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # of files; beyond a petabyte it isn't known
+    by_size = -(-stored // SHARD_BYTES) if stored < 1 << 50 else 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(by_size, 100_000))
+    keys = ["doc_id", "_mark", "_row"]
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_mark"), F.monotonically_increasing_id().alias("_row"))
+    ordered = rows.repartitionByRange(shards, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     # one row a shard: bounded by the number of partitions, not of documents
     return sorted(ordered.mapInArrow(shard, MANIFEST).collect())
 
 
-def read_packed(spark, manifest: list) -> DataFrame:
+def read_packed(spark, manifest: list, id_type: T.DataType = T.LongType()) -> DataFrame:  # noqa: B008
     """Read packed files back: ``doc_id, start, n_tokens, ids_crc32`` of every document, from the stored ids."""
     start, rows = 0, []
+    kinds = [to_arrow_type(id_type), pa.int64(), pa.int64(), pa.int64()]
     for shard, path, _, n_ids in manifest:
         rows.append((shard, path, start))
         start += n_ids
@@ -320,14 +327,15 @@ def read_packed(spark, manifest: list) -> DataFrame:
 
     def _batch(out):
         cols = list(zip(*out, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # one row a slice: each file is read in its own task
     rdd = spark.sparkContext.parallelize(rows, max(1, len(rows)))
-    return spark.createDataFrame(rdd, "shard int, path string, start long").mapInArrow(digests, DIGEST)
+    return spark.createDataFrame(rdd, "shard int, path string, start long").mapInArrow(digests, f"doc_id {id_type.simpleString()}, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, vocab_size: int = 49408) -> DataFrame:
     """Write the packed files below the shared folder and return what reading them back gives."""
     spark = docs.sparkSession
-    return read_packed(spark, write_packed(docs, fresh_path(spark, "tokens"), tokenizer_path, end_id, vocab_size))
+    written = write_packed(docs, fresh_path(spark, "tokens"), tokenizer_path, end_id, vocab_size)
+    return read_packed(spark, written, docs.schema["doc_id"].dataType)
