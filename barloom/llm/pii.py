@@ -1,15 +1,18 @@
 """Personal data in texts, in DataFrame operations only.
 
-Base kinds come from patterns with checks (Luhn, part and digit limits). Around them runs a bootstrapped
-contextual extraction: base matches are the seed entities; the two words before a match are a lexical pattern;
-patterns and the identifier-shaped strings that follow them form a graph, scored in rounds (a pattern by the
-mean score of its instances, an instance by the patterns it follows); what stands behind a high-confidence
-pattern and overlaps no base match is a discovered identifier.
+Base kinds come from patterns with checks (Luhn, part and digit limits). Around them runs a bootstrapped contextual
+extraction. Seed entities are the base matches and strings of ``SECRET`` shape (long hexadecimal keys). Lexical
+patterns are the two and three tokens before an entity and the two behind it, lower-cased and with digits alike; the
+slot between is any identifier-shaped string. Patterns and instances form a graph that is scored in rounds: a pattern
+by the scores of its instances over *all* places where its tokens occur in the corpus, so that everyday words are no
+evidence; an instance by the patterns around it. What stands in the slot of a high-confidence pattern and touches no
+base match is a discovered identifier.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.llm.common import stash
@@ -24,12 +27,30 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-# identifier-shaped strings: 6 to 64 letters, digits, _ / -, with a digit
-SHAPE = r"(?<![A-Za-z0-9_/-])(?=[A-Za-z_/-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_/-]{4,62}[A-Za-z0-9](?![A-Za-z0-9_/-])"
-CONTEXT_CHARS = 48
+# identifier-shaped strings: runs of letters, digits and _ / + - that hold a digit; LEAST characters without outer marks
+SHAPE = r"(?<![A-Za-z0-9_/+-])[_/+-]*+(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]++"
+MARKS, LEAST = "_/+-", 4
+SECRET = "^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]{32,}$"  # identifier-shaped strings that are seeds by themselves
+TOKEN = r"[\p{L}\p{N}_]++|[^\s\p{L}\p{N}_]"
+BEFORE, BEHIND = 3, 2  # tokens of context
+NEAR = 256  # characters that are looked at first for these tokens; all, if they don't lie there
+BROADCAST_GRAMS = 2_000_000  # hashes of patterns that are sent to every task; more are joined
 NEW = "id"  # kind of discovered identifiers
 
 
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _tokens(text: str) -> str:
+    """SQL: a text's tokens, lower-cased, each digit as 0."""
+    return f"regexp_extract_all(translate(lower({text}), '123456789', '000000000'), {_sql(TOKEN)}, 0)"
+
+
+def _last(tokens: str, n: int) -> str:
+    return f"slice({tokens}, greatest(size({tokens}) - {n - 1}, 1), {n})"
+
+
 def _prefix_sums(lengths: str) -> str:
     """SQL for the sums before each element, in blocks, so that the cost stays linear for long arrays."""
     fold = "aggregate({x}, named_struct('s', {s}, 'a', cast(array() as array<bigint>)), (z, n) -> named_struct('s', z.s + n, 'a', array_append(z.a, z.s)), z -> z.a)"
@@ -41,18 +62,32 @@ def _prefix_sums(lengths: str) -> str:
 
 
 def _spans(df: DataFrame, name: str, pattern: str, when: Column) -> DataFrame:
-    """Adds ``name``: every leftmost non-overlapping match as (start, end, text, context) in code points."""
-    kind = "array<struct<start:bigint,end:bigint,text:string,context:string>>"
-    escaped = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    df = df.withColumn("_hits", F.when(when, F.expr(f"regexp_extract_all(body, '{escaped}', 0)")))
-    df = df.withColumn("_gaps", F.when(F.size("_hits") > 0, F.expr(f"split(body, '{escaped}', -1)")))
+    """Adds ``name``: every leftmost non-overlapping match as (start, end, text, before, behind); places in code points, contexts as tokens.
+
+    A match's context goes on over its neighbours: they are tokens like any other.
+    """
+    kind = "array<struct<start:bigint,end:bigint,text:string,before:array<string>,behind:array<string>>>"
+    df = df.withColumn("_hits", F.when(when, F.expr(f"regexp_extract_all(body, {_sql(pattern)}, 0)")))
+    df = df.withColumn("_gaps", F.when(F.size("_hits") > 0, F.expr(f"split(body, {_sql(pattern)}, -1)")))
     df = df.withColumn("_lengths", F.expr("transform(_hits, (h, i) -> cast(length(h) + length(get(_gaps, i)) as bigint))"))
     df = df.withColumn("_before", F.expr(f"if(_gaps is null, null, {_prefix_sums('_lengths')})"))
-    context = f"lower(regexp_extract(right(get(_gaps, i), {CONTEXT_CHARS}), '(\\\\S+\\\\s+\\\\S+)\\\\s*$', 1))"
+    # the tokens at both ends of a gap: those of its last or first characters, if there are more of them than needed
+    tail = f"if(length(g) > {NEAR} and size({_tokens(f'right(g, {NEAR})')}) > {BEFORE}, {_tokens(f'right(g, {NEAR})')}, {_tokens('g')})"
+    head = f"if(length(g) > {NEAR} and size({_tokens(f'left(g, {NEAR})')}) > {BEHIND}, {_tokens(f'left(g, {NEAR})')}, {_tokens('g')})"
+    df = df.withColumn("_tails", F.expr(f"transform(transform(_gaps, g -> {tail}), t -> {_last('t', BEFORE)})"))
+    df = df.withColumn("_heads", F.expr(f"transform(transform(_gaps, g -> {head}), t -> slice(t, 1, {BEHIND}))"))
+    df = df.withColumn("_own", F.expr(f"transform(_hits, h -> {_tokens('h')})"))
+    none = "cast(array() as array<string>)"
+    of = lambda a, k: f"coalesce(get({a}, {k}), {none})"
+    before = "concat(" + ", ".join([f"{of('_own', f'i - {k}')}, {of('_tails', f'i - {k - 1}')}" for k in range(BEFORE, 0, -1)]) + ")"
+    behind = "concat(" + ", ".join([f"{of('_heads', f'i + {k}')}, {of('_own', f'i + {k}')}" for k in range(1, BEHIND + 1)]) + ")"
+    df = df.withColumn("_left", F.expr(f"transform(transform(_hits, (h, i) -> {before}), t -> {_last('t', BEFORE)})"))
+    df = df.withColumn("_right", F.expr(f"transform(_hits, (h, i) -> slice({behind}, 1, {BEHIND}))"))
     at = "get(_before, i) + length(get(_gaps, i))"
-    spans = F.expr(f"transform(_hits, (h, i) -> named_struct('start', {at}, 'end', {at} + length(h), 'text', h, 'context', {context}))")
+    spans = F.expr(f"transform(_hits, (h, i) -> named_struct('start', {at}, 'end', {at} + length(h), 'text', h, 'before', get(_left, i), 'behind', get(_right, i)))")
     empty = F.expr(f"cast(array() as {kind})")
-    return df.withColumn(name, F.when(F.col("_gaps").isNotNull(), spans.cast(kind)).otherwise(empty)).drop("_hits", "_gaps", "_lengths", "_before")
+    gone = ["_hits", "_gaps", "_lengths", "_before", "_tails", "_heads", "_own", "_left", "_right"]
+    return df.withColumn(name, F.when(F.col("_gaps").isNotNull(), spans.cast(kind)).otherwise(empty)).drop(*gone)
 
 
 def _digits(text: str) -> str:
@@ -76,7 +111,7 @@ CHECKS = {
 
 
 def find_base(docs: DataFrame) -> DataFrame:
-    """``doc_id, d1, d2``, an array of (start, end, text, context) for each base kind, and ``shaped`` candidates."""
+    """``doc_id, d1, d2``, an array of (start, end, text, before, behind) for each base kind, and ``shaped`` candidates."""
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = docs.select("doc_id", *doc_key(F.col("doc_id"), F.col("text").cast("string")), body.alias("body"))
     digit = F.col("body").rlike("[0-9]")
@@ -89,48 +124,77 @@ def find_base(docs: DataFrame) -> DataFrame:
         if CHECKS[kind] != "true":
             df = df.withColumn(kind, F.expr(f"filter({kind}, m -> {CHECKS[kind]})"))
     df = _spans(df, "shaped", SHAPE, F.col("_digit"))
+    bare, first = f"trim(BOTH '{MARKS}' FROM m.text)", f"length(m.text) - length(ltrim('{MARKS}', m.text))"
+    trimmed = f"named_struct('start', m.start + {first}, 'end', m.start + {first} + length({bare}), 'text', {bare}, 'before', m.before, 'behind', m.behind)"
+    df = df.withColumn("shaped", F.expr(f"filter(transform(shaped, m -> {trimmed}), m -> length(m.text) >= {LEAST})"))
     return df.select("doc_id", "d1", "d2", *KINDS, "shaped")
 
 
 def _free_candidates(found: DataFrame) -> DataFrame:
-    """Shaped strings and base matches as rows; shaped strings that touch a base match are left out.
+    """Shaped strings and base matches as rows ``d1, d2, base, start, end, text, before, behind``; shaped strings that touch a base match are left out.
 
     One pass over each document's rows in order of position: memory and time are those of one document.
     """
-    base = F.expr("concat(" + ", ".join(f"transform({k}, m -> named_struct('seed', true, 'm', m))" for k in KINDS) + ", transform(shaped, m -> named_struct('seed', false, 'm', m)))")
+    every = F.expr("concat(" + ", ".join(f"transform({k}, m -> named_struct('base', true, 'm', m))" for k in KINDS) + ", transform(shaped, m -> named_struct('base', false, 'm', m)))")
     rows = found.where("size(shaped) > 0 or " + " or ".join(f"size({k}) > 0" for k in KINDS)).dropDuplicates(["d1", "d2"])
-    rows = rows.select("d1", "d2", F.explode(base).alias("x")).select("d1", "d2", "x.seed", "x.m.start", "x.m.end", "x.m.text", "x.m.context")
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("d1", "d2").orderBy("start", F.col("seed").desc(), "end")
+    rows = rows.select("d1", "d2", F.explode(every).alias("x")).select("d1", "d2", "x.base", "x.m.*")
+    order = W.partitionBy("d1", "d2").orderBy("start", F.col("base").desc(), "end")
     back = order.rowsBetween(W.unboundedPreceding, -1)
-    ahead = W.partitionBy("d1", "d2").orderBy(F.col("start").desc(), "seed", F.col("end").desc()).rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_end", F.max(F.when(F.col("seed"), F.col("end"))).over(back))
-    rows = rows.withColumn("_next", F.min(F.when(F.col("seed"), F.col("start"))).over(ahead))
+    ahead = W.partitionBy("d1", "d2").orderBy(F.col("start").desc(), "base", F.col("end").desc()).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_end", F.max(F.when(F.col("base"), F.col("end"))).over(back))
+    rows = rows.withColumn("_next", F.min(F.when(F.col("base"), F.col("start"))).over(ahead))
     clear = (F.coalesce(F.col("_end"), F.lit(0)) <= F.col("start")) & (F.coalesce(F.col("_next"), F.col("end")) >= F.col("end"))
-    return rows.where(F.col("seed") | clear).drop("_end", "_next")
+    return rows.where(F.col("base") | clear).drop("_end", "_next")
+
+
+def _patterns() -> Column:
+    """The patterns around a row's entity: side and size in the first character, and the hash of the tokens."""
+    said = [f"if(size(before) >= {n}, struct('l{n}' as side, xxhash64({', '.join(f'get(before, size(before) - {k})' for k in range(n, 0, -1))}) as gram), null)" for n in range(2, BEFORE + 1)]
+    said.append(f"if(size(behind) >= {BEHIND}, struct('r{BEHIND}' as side, xxhash64({', '.join(f'get(behind, {k})' for k in range(BEHIND))}) as gram), null)")
+    return F.expr(f"filter(array({', '.join(said)}), x -> x is not null)")
+
+
+def _occurrences(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """``gram, places``: how often each of ``grams`` (hashes of two or three tokens) occurs in all texts."""
+    tokens = docs.select(F.expr(_tokens("coalesce(cast(text as string), '')")).alias("t"))
+    hashes = [f"transform(slice(t, 1, greatest(size(t) - {n - 1}, 0)), (x, i) -> xxhash64(x, {', '.join(f'get(t, i + {k})' for k in range(1, n))}))" for n in range(2, BEFORE + 1)]
+    places = tokens.select(F.explode(F.expr(f"concat({', '.join(hashes)})")).alias("gram"))
+    wanted = stash(grams.select("gram").distinct(), "grams")
+    if wanted.count() <= BROADCAST_GRAMS:
+        places = places.join(F.broadcast(wanted), "gram")
+    else:
+        places = places.groupBy("gram").agg(F.count("*").alias("n")).join(wanted, "gram").select("gram", "n")
+        return places.withColumnRenamed("n", "places")
+    return places.groupBy("gram").agg(F.count("*").alias("places"))
 
 
-def bootstrap(rows: DataFrame, rounds: int = 3, min_support: int = 3, min_score: float = 0.8) -> DataFrame:
-    """High-confidence patterns: ``context`` strings.
+def bootstrap(rows: DataFrame, docs: DataFrame, rounds: int = 3, min_support: int = 3, min_score: float = 0.8) -> DataFrame:
+    """High-confidence patterns ``side, gram``.
 
-    ``rows`` has ``context, text, seed``. A seed scores 1. In each round a pattern scores the mean over its
-    distinct instances and counts if the scores sum to ``min_support`` at least; any other instance scores
-    1 - prod(1 - score) over its patterns of at least ``min_score``, and is a seed from then on if that reaches it.
+    ``rows`` has ``text, seed, pattern``, one a place and pattern. A seed scores 1, any other instance 0 at first. In each
+    round a pattern scores the sum of its places' instance scores over all places of its tokens in ``docs``, and counts
+    if its distinct instances' scores sum to ``min_support`` at least; an instance then scores 1 - prod(1 - score) over
+    its patterns of at least ``min_score``, if that reaches ``min_score`` too.
     """
-    graph = stash(rows.where("context <> ''").groupBy("context", "text").agg(F.max("seed").alias("seed")), "graph")
-    scored = graph.select("context", "text", F.col("seed").cast("double").alias("score"))
+    graph = rows.groupBy("pattern.side", "pattern.gram", "text").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
+    graph = stash(graph, "graph")
+    # a pattern with fewer instances can never count
+    able = stash(graph.groupBy("side", "gram").agg(F.count("*").alias("m")).where(F.col("m") >= min_support).select("side", "gram"), "able")
+    known = stash(able.join(_occurrences(docs, able), "gram"), "known")
+    score = F.col("seed").cast("double")
+    scored = graph.withColumn("score", score)
     for left in range(rounds, 0, -1):
-        patterns = scored.groupBy("context").agg(F.avg("score").alias("p"), F.sum("score").alias("support"))
-        patterns = patterns.where((F.col("support") >= min_support) & (F.col("p") >= min_score)).select("context", "p")
+        patterns = scored.groupBy("side", "gram").agg(F.sum(F.col("n") * F.col("score")).alias("hits"), F.sum("score").alias("support"))
+        patterns = patterns.where(F.col("support") >= min_support).join(known, ["side", "gram"])
+        patterns = patterns.select("side", "gram", F.least(F.col("hits") / F.col("places"), F.lit(1.0)).alias("p")).where(F.col("p") >= min_score)
         if left == 1:
-            return patterns.select("context")
-        joined = graph.join(patterns, "context", "left")
+            return patterns.select("side", "gram")
         # the logarithm of the product; a perfect pattern's factor is kept just above 0
         miss = F.sum(F.when(F.col("p").isNotNull(), F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))))
+        joined = graph.join(patterns, ["side", "gram"], "left")
         instances = joined.groupBy("text").agg((1 - F.exp(F.coalesce(miss, F.lit(0.0)))).alias("s"), F.max("seed").alias("known"))
         instances = instances.select("text", F.when(F.col("known"), F.lit(1.0)).when(F.col("s") >= min_score, F.col("s")).otherwise(F.lit(0.0)).alias("score"))
-        scored = stash(graph.select("context", "text").join(instances, "text"), "scored")
+        scored = stash(graph.join(instances, "text"), "scored")
     raise ValueError("rounds is 1 at least")
 
 
@@ -138,13 +202,15 @@ def find_pii(docs: DataFrame, rounds: int = 3, min_support: int = 3, min_score:
     """``doc_id``, an array of (start, end) for each base kind and one of discovered identifiers, ``id``.
 
     Positions are in code points, ends exclusive. Null texts are empty; rows with equal doc_id and text are one
-    document and get the same result. The text is read once; all else works on matches.
+    document and get the same result. The text is read twice, for matches and for how often patterns occur.
     """
     found = stash(find_base(docs), "pii")
-    rows = stash(_free_candidates(found), "pii-rows")
-    patterns = bootstrap(rows, rounds, min_support, min_score)
+    rows = _free_candidates(found).withColumn("seed", F.col("base") | F.col("text").rlike(SECRET))
+    rows = stash(rows.withColumn("patterns", _patterns()).drop("before", "behind"), "pii-rows")
+    around = rows.withColumn("pattern", F.explode("patterns"))
+    patterns = bootstrap(around, docs, rounds, min_support, min_score)
     extra = (
-        rows.where("not seed and context <> ''").join(patterns, "context", "left_semi")
+        around.where("not base").join(patterns, (F.col("pattern.side") == patterns["side"]) & (F.col("pattern.gram") == patterns["gram"]), "left_semi")
         .groupBy("d1", "d2").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(NEW))
     )
     bare = [F.expr(f"transform({k}, m -> named_struct('start', m.start, 'end', m.end))").alias(k) for k in KINDS]
