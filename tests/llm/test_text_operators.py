@@ -59,6 +59,63 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(not v for k, v in got.items() if k != 10)
 
 
+def discovered(texts, rounds=3, min_support=3, min_score=0.8):
+    """The bootstrap, in plain loops over all tokens."""
+    import regex
+
+    token = regex.compile(r"[\p{L}\p{N}_]++|[^\s\p{L}\p{N}_]")
+    tokens = lambda t: token.findall(re.sub("[0-9]", "0", t.lower()))
+    places, around = collections.Counter(), collections.defaultdict(list)
+    shape = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]*[0-9][A-Za-z0-9_/+-]*")
+    for d, text in texts.items():
+        t = tokens(text)
+        for n in (2, 3):
+            places.update(tuple(t[k : k + n]) for k in range(len(t) - n + 1))
+        base = [m for v in spans(text).values() for m in v]
+        found = [(a, b, True, text[a:b]) for a, b in base]
+        for m in shape.finditer(text):
+            x = m[0].strip("_/+-")
+            a = m.start() + len(m[0]) - len(m[0].lstrip("_/+-"))
+            if len(x) >= 4 and all(b <= a or a + len(x) <= c for c, b in base):
+                found.append((a, a + len(x), False, x))
+        for a, b, is_base, x in found:
+            left, right = tokens(text[:a]), tokens(text[b:])
+            keys = [("l", tuple(left[-n:])) for n in (2, 3) if len(left) >= n] + ([("r", tuple(right[:2]))] if len(right) >= 2 else [])
+            for k in keys:
+                around[k].append((x, is_base or bool(re.fullmatch("(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]{32,}", x)), d, a, b, is_base))
+    around = {k: v for k, v in around.items() if len({x[0] for x in v}) >= min_support}
+    seeds = {x[0] for v in around.values() for x in v if x[1]}
+    score = dict.fromkeys(seeds, 1.0)
+    for left in range(rounds, 0, -1):
+        p = {k: min(1.0, sum(score.get(x[0], 0.0) for x in v) / places[k[1]]) for k, v in around.items() if places[k[1]] and sum(score.get(x, 0.0) for x in {y[0] for y in v}) >= min_support}
+        p = {k: s for k, s in p.items() if s >= min_score}
+        if left > 1:
+            miss = collections.defaultdict(lambda: 1.0)
+            for k, s in p.items():
+                for x in {y[0] for y in around[k]}:
+                    miss[x] *= max(1 - s, 1e-9)
+            score = {x: 1 - m for x, m in miss.items() if 1 - m >= min_score} | dict.fromkeys(seeds, 1.0)
+    out = collections.defaultdict(set)
+    for k in p:
+        for _, _, d, a, b, is_base in around[k]:
+            if not is_base:
+                out[d].add((a, b))
+    return out
+
+
+def test_bootstrap_against_brute_force(spark, docs):
+    from barloom.llm.pii import find_pii
+
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    made = [f"my badge no {i}{'XYZ'[i % 3]}-7 (issued)" for i in range(5)] + [f"my badge no 10.1.{i}.9 (issued) and 4111 1111 1111 1111" for i in range(60)]
+    made += ["the card key : QQ17/5 (issued) x", "a 1234 b", "9x9x9x", "key = '" + "0a" * 20 + "' z", "key = '" + "0b" * 20 + "' z", "key = '" + "0C" * 17 + "' z", "key = '" + "0d" * 17 + "' z", "key = 'short77' z"]
+    texts |= {100_000 + i: t for i, t in enumerate(made)}
+    want = discovered(texts)
+    got = {r["doc_id"]: {tuple(x) for x in r["id"]} for r in find_pii(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {d: v for d, v in got.items() if v} == {d: v for d, v in want.items() if v}
+    assert got[100_000] and got[100_072]
+
+
 def test_many_matches_in_one_text(spark):
     from barloom.llm.pii import find_pii
 
@@ -81,6 +138,16 @@ def test_lines_keep_first(spark):
     assert got == {1: "A\nx", 2: "y", 3: "z"}
 
 
+def test_keep_bitmaps_are_runs(spark, monkeypatch):
+    from barloom.llm import lines
+
+    df = spark.createDataFrame([(1, "a\nx\na\na\ny\nz"), (2, "A\nq\nx"), (3, "own"), (2, "A\nq\nx")], "doc_id long, text string")
+    for bound in (10, 0):
+        monkeypatch.setattr(lines, "BROADCAST_KEYS", bound)
+        got = {r["n_lines"]: ([tuple(x) for x in r["kept"]], r["n_dropped"]) for r in lines.keep_bitmaps(df, min_docs=2).collect()}
+        assert got == {6: ([(4, 2)], 4), 3: ([(1, 1)], 2)}
+
+
 def test_lines_of_odd_rows(odd, none):
     from barloom.llm.lines import line_dedup
 
@@ -176,6 +243,40 @@ def test_leaks_against_brute_force(spark, sf_dir, docs):
     assert left == {r["doc_id"] for r in both.collect()} - {d for d, _ in want}
 
 
+def test_wand_equals_scoring_every_item(docs):
+    from barloom.llm.decontaminate import Index, terms_of
+
+    texts = [" ".join((r["text"] or "").split()[:60]) for r in docs.limit(150).collect()]
+    index = Index.build(list(enumerate(t for t in texts if t)))
+    postings = np.add.reduceat(np.ones(len(index.items)), index.starts[:-1])
+    read = every = found = 0
+    for text in texts[::5]:
+        terms = np.unique([index.vocabulary[w] for w in terms_of(text + " " + texts[3]) if w in index.vocabulary])
+        scores = np.zeros(len(index.ids))
+        for t in terms:
+            at = slice(index.starts[t], index.starts[t + 1])
+            scores[index.items[at]] += index.impacts[at]
+        for threshold in (0.2, 0.6, 0.95):
+            got = dict(index.retrieve(terms, threshold))
+            assert set(got) == set(np.flatnonzero(scores >= threshold).tolist()) and all(abs(scores[i] - s) < 1e-9 for i, s in got.items())
+            if threshold == 0.6:
+                found, every = found + len(got), every + postings[terms].sum()
+        before = index.opened
+        list(index.retrieve(terms, 0.6))
+        read += index.opened - before
+    assert found > 20 and read < 0.5 * every
+
+
+def test_shards_share_their_statistics(spark, sf_dir, docs, monkeypatch):
+    from barloom.llm import decontaminate
+
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").selectExpr("cast(item_id as decimal(20,0)) as item_id", "text")
+    said = lambda: sorted(map(tuple, decontaminate.leaks(docs, bench).collect()))
+    one = said()
+    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 30)
+    assert said() == one
+
+
 def test_leaks_of_odd_rows(odd, none, spark):
     from barloom.llm.decontaminate import keep_clean, leaks
 
