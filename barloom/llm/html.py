@@ -1,19 +1,33 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged into one style tree: a style node is a path of (tag, class) steps. Two figures
-give a node's importance, both between 0 and 1: the entropy of its *presentations* (the child sequences that
-pages show there, to the base of the number of pages) and the *content* of the blocks below it (1 less the mean
-normalised entropy of the pages that show a block; a block that every page repeats tells nothing). They are
-mixed as ``(1 - g**l) * presentation + g**l * content`` for ``l`` presentations. Branches of low importance are
-removed from every page of the host. Presentation also tells by itself what markup declares to be no article
-(navigation, footers, adverts, forms, notices, comments); those branches have no importance on any host.
-
-Statistics are sums by (host, node, feature), so a host with a third of all pages is aggregated like any other.
+The pages of a host are merged into one style tree. An element node has one style node for each *presentation*, the
+sequence of its children as pages show it; its children are told apart by that presentation, their place and their
+step (tag and class), so the tree forks wherever pages differ. Two entropies give the importance of an element node
+on ``m`` pages with ``l`` presentations:
+
+* presentation: the entropy of its presentations over ``log l``; none if there is only one;
+* content: 1 less the mean of ``log n / log m`` over the texts that it holds itself, each on ``n`` pages.
+
+They are combined from the leaves up, ``(1 - G**l) * presentation + G**l * sum(p * mean importance below)``; what fewer
+than ``MIN_PAGES`` pages share is not judged and counts as important. A branch is removed from every page
+
+* if its importance is below ``LOW``: what all pages say alike;
+* if it is a slot of the template: of constant form beside a *region*, a container of varying form that has most of
+  the siblings' informative text (characters weighted by content importance), and with little such text itself.
+  Menus, adverts and footers whose words change on every page go by this. Paragraphs and headings don't.
+
+What markup declares to be no article (navigation, footers, adverts, forms, notices, comments) is removed as well, and
+declared articles and main elements are preferred; hosts with few pages have nothing else.
+
+Statistics are sums by (host, node, feature), so a host with a third of all pages is aggregated like any other. Pages of
+one host with equal html count once.
 """
 
 from __future__ import annotations
 
+import marshal
 import re
+import struct
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from html import unescape
@@ -25,10 +39,11 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import stash
 
-G = 0.9  # weight of content against presentation
-MIN_PAGES, LOW = 5, 0.25  # a node is judged on at least so many pages; below this importance it goes
-DEPTH = 32  # style nodes are told apart down to here; what is deeper belongs to its ancestor
-BROADCAST_PATHS = 500_000  # low nodes that are sent to every task; more are joined by host
+G = 0.9  # weight of what lies below against presentation
+MIN_PAGES, LOW = 3, 0.25  # a node is judged on at least so many pages; below this importance it goes
+REGION, SLOT = 0.5, 0.2  # share of the siblings' text that makes a region; a slot has less than this part of its text
+DEPTH = 64  # style nodes are told apart down to here; what is deeper is judged with its ancestor
+BROADCAST_NODES = 500_000  # nodes that are sent to every task; more are joined by host
 
 # fixed values of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,11 +78,12 @@ NOISE_WORDS = frozenset(
 HEADER_WORDS = frozenset(("header", "head", "topbar", "masthead"))
 ARTICLE_WORDS = frozenset("article entry post story content".split())
 NOT_REALLY = frozenset("no with without has non".split())
-KEEP_TAGS = frozenset("html body main article p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 
+# a "<" outside quotes ends the first form of a tag, so that hostile markup can't make it look ahead again and again
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>?", re.S
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>?", re.S
 )
+KEEP = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -108,40 +124,42 @@ def _noise(tag: str, text: str, in_article: bool) -> bool:
 
 
 class Node:
-    __slots__ = ("tag", "step", "path", "noise", "article", "children", "depth")
+    """An open element; ``at`` is the number of its style node, or of the nearest one above it."""
+
+    __slots__ = ("tag", "noise", "article", "at", "inline")
 
-    def __init__(self, tag: str, step: str, path: tuple[int, ...], noise: bool, article: int, depth: int):
-        self.tag, self.step, self.path, self.noise, self.article, self.depth = tag, step, path, noise, article, depth
-        self.children: list[str] = []
+    def __init__(self, tag: str, noise: bool, article: int, at: int, inline: bool):
+        self.tag, self.noise, self.article, self.at, self.inline = tag, noise, article, at, inline
 
 
-def _hash(*parts: str) -> int:
-    return xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
+def _hash(data: bytes) -> int:
+    return xxhash.xxh64_intdigest(data) - (1 << 63)
 
 
 class Page:
     """Blocks of a page in order, each with its element; parsing is forgiving and linear in the page.
 
-    ``blocks``: (text, path, noise, article, tag); article is 2 inside an article, 1 inside a main element, else 0.
-    ``nodes``: the elements, for their presentations.
+    ``blocks``: (text, number of its style node, noise, article, tag); article is 2 inside an article, 1 inside a main
+    element, else 0. ``nodes``: (number of the parent, depth, step, children's steps) of the block elements, parents first.
     """
 
     def __init__(self, html: str | None):
-        self.blocks: list[tuple[str, tuple[int, ...], bool, int, str]] = []
-        self.nodes: list[Node] = []
-        root = Node("", "", (), False, 0, 0)
-        self.stack = [root]
+        self.blocks: list[tuple[str, int, bool, int, str]] = []
+        self.nodes: list[tuple[int, int, str, list[str]]] = [(-1, 0, "", [])]
+        self.stack = [Node("", False, 0, 0, False)]
+        self.places: dict[str, list[int]] = {}  # where the stack has a tag
+        self.solid = [0]  # where it has block elements
         self.text: list[str] = []
-        self.owner = root
+        self.owner = self.stack[0]
         html = html or ""
-        at = 0
-        steps: dict[tuple[tuple[int, ...], str], tuple[int, ...]] = {}
-        self._steps = steps
+        at, last = 0, html.rfind(">")
         search = TOKEN.search
         while True:
-            m = search(html, at)
+            m = search(html, at) if at <= last else None
             if m is None:
-                self._characters(html[at:])
+                rest = html[at:]
+                cut = rest.find("<!--")
+                self._characters(rest if cut < 0 else rest[:cut])
                 break
             if m.start() > at:
                 self._characters(html[at : m.start()])
@@ -174,18 +192,32 @@ class Page:
             self.text = []
             if text:
                 o = self.owner
-                while o.tag in INLINE and o.tag:
-                    o = self.stack[self.stack.index(o) - 1] if o in self.stack else self._above(o)
-                self.blocks.append((text, self.owner.path, self.owner.noise, self.owner.article, o.tag))
+                seen = self.nodes[o.at][3]
+                if not seen or seen[-1] != "#":
+                    seen.append("#")
+                self.blocks.append((text, o.at, o.noise, o.article, self.nodes[o.at][2].partition(".")[0]))
+
+    def _push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if not node.inline:
+            self.solid.append(len(self.stack))
+        self.stack.append(node)
+
+    def _cut(self, k: int) -> None:
+        for node in self.stack[k:]:
+            self.places[node.tag].pop()
+        del self.stack[k:]
+        while self.solid[-1] >= k:
+            self.solid.pop()
 
-    def _above(self, node: Node) -> Node:
-        return next((n for n in reversed(self.stack) if n.tag not in INLINE), self.stack[0])
+    def _where(self, tags: Iterable[str]) -> int:
+        """The furthest place in the stack that has one of these tags, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
 
     def _start(self, tag: str, text: str) -> None:
-        if tag in ("html", "body") and any(n.tag == tag for n in self.stack):
+        if tag in ("html", "body") and self.places.get(tag):
             return
         inline = tag in INLINE
-        top = self.stack[-1]
         if tag == "br":
             if self.text:
                 self.text.append(" ")
@@ -196,18 +228,12 @@ class Page:
             elif self.text:
                 self.text.append(" ")
             if tag in CLOSES_P:
-                self._close({"p"}, {"button", "table", "td", "th", "article", "section", "div", "li"})
+                self._close(("p",), ("button", "table", "td", "th", "article", "section", "div", "li"))
             elif tag in IMPLIED:
                 self._close(*IMPLIED[tag])
-            top = self.stack[-1]
         if tag in VOID:
-            top.children.append(tag)
             return
-        names = ""
-        if text and "class" in text:
-            names = " ".join(sorted(_attributes(text).get("class", "").split()))
-        step = f"{tag}.{names}" if names else tag
-        top.children.append(step)
+        top = self.stack[-1]
         noise = top.noise or _noise(tag, text, top.article == 2)
         article = top.article
         if not noise:
@@ -215,24 +241,22 @@ class Page:
                 article = 2
             elif article == 0 and (tag == "main" or 'role="main"' in text):
                 article = 1
-        path = top.path
-        if not inline and len(path) < DEPTH:
-            key = (path, step)
-            path = self._steps.get(key) or self._steps.setdefault(key, (*path, _hash(str(path[-1]) if path else "", step)))
-        node = Node(tag, step, path, noise, article, top.depth + 1)
-        if not inline and node.depth <= DEPTH:
-            self.nodes.append(node)
+        at = top.at
+        depth = self.nodes[at][1] + 1
+        if not inline and depth <= DEPTH and tag not in RAW:
+            names = " ".join(sorted(_attributes(text).get("class", "").split())) if text and "class" in text else ""
+            step = f"{tag}.{names}" if names else tag
+            self.nodes[at][3].append(step)
+            self.nodes.append((at, depth, step, []))
+            at = len(self.nodes) - 1
         if inline and noise and not top.noise:  # an inline advert or hidden part is a branch of its own
             self._flush()
-        self.stack.append(node)
+        self._push(Node(tag, noise, article, at, inline))
 
-    def _close(self, tags: set[str], stop: set[str]) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag in tags:
-                del self.stack[k:]
-                return
-            if self.stack[k].tag in stop:
-                return
+    def _close(self, tags: Iterable[str], stop: Iterable[str]) -> None:
+        k = self._where(tags)
+        if k > self._where(stop):
+            self._cut(k)
 
     def _end(self, tag: str) -> None:
         if tag == "br":
@@ -243,28 +267,50 @@ class Page:
                     self.text.append(" ")
             else:
                 self._flush()
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == tag:
-                if tag in INLINE and self.stack[k].noise and not self.stack[k - 1].noise:
-                    self._flush()
-                del self.stack[k:]
-                return
-            if tag in INLINE and self.stack[k].tag not in INLINE:
+        if not self.places.get(tag):
+            return
+        k = self.places[tag][-1]
+        if tag in INLINE:
+            if k < self.solid[-1]:
                 return
+            if self.stack[k].noise and not self.stack[k - 1].noise:
+                self._flush()
+        self._cut(k)
+
+    def tree(self) -> tuple[list[tuple], list[tuple[str, int, bool, int, str]]]:
+        """Style nodes as (parent's number, depth, id, presentation, leaf, kept tag) and the blocks."""
+        out: list[tuple] = []
+        places = [0] * len(self.nodes)
+        for parent, depth, step, children in self.nodes:
+            shape = _hash("\x1f".join(children).encode())
+            if parent < 0:
+                node = 0
+            else:
+                above = out[parent]
+                node = _hash(struct.pack("<qqi", above[2], above[3], places[parent]) + step.encode())
+                places[parent] += 1
+            leaf = not any(c != "#" for c in children)
+            out.append((parent, depth, node, shape, leaf, step.partition(".")[0] in KEEP))
+        return out, self.blocks
 
 
-def main_text(page: Page, low: frozenset[int] = frozenset()) -> str:
-    """The article's blocks without branches of low importance.
+def main_text(nodes: list[tuple], blocks: list[tuple], low: frozenset[int] = frozenset(), markup: bool = True) -> str:
+    """The article's blocks without branches of low importance and, with ``markup``, without what is declared to be no article.
 
-    The region is the page's articles, else its main element, else all of it. Inside an article only
+    The region is the page's articles, else its main element, else all of it. Inside a declared article only
     containers can be of low importance, not paragraphs or headings. If nothing is left, the style tree's
     verdict is dropped for this page.
     """
-    blocks = [b for b in page.blocks if not b[2]]
-    best = max((b[3] for b in blocks), default=0)
-    blocks = [b for b in blocks if b[3] == best] if best == 2 else [b for b in blocks if b[3] >= best]
+    if markup:
+        blocks = [b for b in blocks if not b[2]]
+        best = max((b[3] for b in blocks), default=0)
+        blocks = [b for b in blocks if b[3] == best] if best == 2 else [b for b in blocks if b[3] >= best]
     if low:
-        left = [b for b in blocks if not low.intersection(b[1][:-1] if b[4] in KEEP_TAGS and b[3] == 2 else b[1])]
+        gone = [False] * len(nodes)
+        for k, node in enumerate(nodes):  # parents first
+            gone[k] = node[2] in low or (node[0] >= 0 and gone[node[0]])
+        spared = lambda b: markup and b[3] == 2 and nodes[b[1]][5]
+        left = [b for b in blocks if not gone[nodes[b[1]][0] if spared(b) else b[1]]]
         blocks = left or blocks
     return "\n".join(b[0] for b in blocks)
 
@@ -277,82 +323,177 @@ def _with_host(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", url.alias("url"), F.coalesce(F.regexp_extract(F.lower(url), HOST, 1), F.lit("")).alias("host"), F.col("html").cast("string").alias("html"))
 
 
-STATS = "host string, chain array<long>, kind int, feature long, n long"
+PARSED = "url string, host string, mark binary, tree binary"
 
 
-def style_statistics(pages: DataFrame) -> DataFrame:
-    """``host, chain, kind, feature, n``: on how many pages a style node (kind 0), one of its presentations (1) or one of its blocks (2) is."""
+def parse(pages: DataFrame) -> DataFrame:
+    """``page_id, url, host, mark, tree``: every page's style nodes and blocks (serialized), and a hash of its html."""
 
-    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks, trees = [], []
+            for html in batch.column(3):
+                html = html.as_py() or ""
+                marks.append(xxhash.xxh3_128_digest(html.encode()))
+                trees.append(marshal.dumps(Page(html).tree()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(marks, pa.binary()), pa.array(trees, pa.binary())], names=["page_id", "url", "host", "mark", "tree"])
 
-        def flush() -> pa.RecordBatch:
-            keys = list(counts)
-            out = pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k[0] for k in keys], pa.string()),
-                    pa.array([k[1] for k in keys], pa.list_(pa.int64())),
-                    pa.array([k[2] for k in keys], pa.int32()),
-                    pa.array([k[3] for k in keys], pa.int64()),
-                    pa.array([counts[k] for k in keys], pa.int64()),
-                ],
-                names=["host", "chain", "kind", "feature", "n"],
-            )
-            counts.clear()
-            return out
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return _with_host(pages).mapInArrow(run, f"page_id {kind}, {PARSED}")
 
-        for batch in batches:
-            for host, html in zip(batch.column(0), batch.column(1), strict=True):
-                host, page = host.as_py(), Page(html.as_py())
-                seen = {(host, n.path, 0, 0) for n in page.nodes}
-                seen.update((host, n.path, 1, _hash(*n.children)) for n in page.nodes if n.children)
-                seen.update((host, b[1], 2, _hash(b[0])) for b in page.blocks)
-                counts.update(seen)
-                if len(counts) > 100_000:
-                    yield flush()
-        if counts:
-            yield flush()
-
-    return _with_host(pages).select("host", "html").mapInArrow(emit, STATS).groupBy("host", "chain", "kind", "feature").agg(F.sum("n").alias("n"))
-
-
-def importance(stats: DataFrame) -> DataFrame:
-    """``host, node, m, importance`` of every style node that is on two pages at least."""
-    of = lambda kind, what: F.sum(F.when(F.col("kind") == kind, what).otherwise(0.0))
-    n = F.col("n").cast("double")
-    nodes = stats.groupBy("host", "chain").agg(
-        of(0, n).alias("m"), of(1, n).alias("shown"), of(1, n * F.log(n)).alias("shown_log"), of(1, F.lit(1.0)).alias("l"), of(2, F.lit(1.0)).alias("blocks"), of(2, F.log(n)).alias("block_log")
-    )
-    # a node's content is that of all blocks below it; chains are few a host and at most DEPTH long
-    below = nodes.select("host", "blocks", "block_log", F.explode(F.expr("transform(sequence(1, size(chain)), k -> slice(chain, 1, k))")).alias("chain")).where("size(chain) > 0")
-    below = below.groupBy("host", "chain").agg(F.sum("blocks").alias("all_blocks"), F.sum("block_log").alias("all_log"))
-    both = nodes.where("m >= 2").join(below, ["host", "chain"])
-    base = F.log("m")
-    shown = F.when(F.col("shown") > 0, (F.log("shown") - F.col("shown_log") / F.col("shown")) / base).otherwise(0.0)
-    content = F.when(F.col("all_blocks") > 0, 1 - F.least(F.col("all_log") / F.col("all_blocks") / base, F.lit(1.0))).otherwise(0.0)
-    weight = F.pow(F.lit(G), F.col("l"))
-    return both.select("host", F.element_at("chain", -1).alias("node"), F.col("m").cast("long").alias("m"), ((1 - weight) * shown + weight * content).alias("importance"))
+
+def _counted(schema: str, batches: Iterable[pa.RecordBatch], emit) -> Iterator[pa.RecordBatch]:
+    """Rows ``(*key, n)`` of the keys and numbers that ``emit(batch row)`` yields, summed as far as 100,000 keys go."""
+    fields = [x.split() for x in schema.split(", ")]
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    counts: Counter = Counter()
+
+    def flush() -> pa.RecordBatch:
+        columns = list(zip(*counts, strict=True)) or [()] * (len(fields) - 1)
+        out = [pa.array(c, kinds[k]) for c, (_, k) in zip([*columns, tuple(counts.values())], fields, strict=True)]
+        counts.clear()
+        return pa.RecordBatch.from_arrays(out, names=[n for n, _ in fields])
+
+    for batch in batches:
+        for row in zip(*batch.columns, strict=True):
+            for key, n in emit(*(x.as_py() for x in row)):
+                counts[key] += n
+            if len(counts) > 100_000:
+                yield flush()
+    if counts:
+        yield flush()
+
+
+NODES = "host string, node long, shape long, parent long, parent_shape long, depth int, leaf boolean, kept boolean, n long"
+TEXTS = "host string, node long, feature long, chars long, n long"
+
+
+def structure(parsed: DataFrame) -> DataFrame:
+    """``NODES``: on how many pages each style node, an element node in one presentation, is."""
+
+    def emit(host, tree):
+        nodes, _ = marshal.loads(tree)
+        for parent, depth, node, shape, leaf, kept in nodes:
+            above = nodes[parent] if parent >= 0 else (0, 0, 0, 0)
+            yield (host, node, shape, above[2], above[3], depth, leaf, kept), 1
+
+    rows = parsed.select("host", "tree").mapInArrow(lambda b: _counted(NODES, b, emit), NODES)
+    return rows.groupBy(*[x.split()[0] for x in NODES.split(", ")][:-1]).agg(F.sum("n").alias("n"))
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
-    """``page_id, url, text, n_chars`` of every page.
+def contents(parsed: DataFrame, shared: DataFrame) -> DataFrame:
+    """``TEXTS``: on how many pages each text of a judged node is (``feature``), and the characters of unjudged nodes below it (feature null).
+
+    ``shared`` has ``host, ids``: the judged nodes.
+    """
+
+    def emit(host, tree, ids):
+        nodes, blocks = marshal.loads(tree)
+        judged = frozenset(ids or ())
+        home = []  # the nearest judged node above, by number
+        for parent, _, node, *_ in nodes:
+            home.append(node if node in judged else (home[parent] if parent >= 0 else 0))
+        seen = set()
+        for text, at, *_ in blocks:
+            if nodes[at][2] == home[at]:
+                seen.add((host, home[at], _hash(text.encode()), len(text)))
+            else:
+                yield (host, home[at], None, 0), len(text)
+        for key in seen:
+            yield key, 1
+
+    joined = parsed.join(shared, "host", "left").select("host", "tree", "ids")
+    rows = joined.mapInArrow(lambda b: _counted(TEXTS, b, emit), TEXTS)
+    return rows.groupBy("host", "node", "feature", "chars").agg(F.sum("n").alias("n"))
+
+
+def importance(nodes: DataFrame, shapes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``host, node, parent, parent_shape, presentation, importance, mass, leaf, kept`` of the judged ``nodes``, from the leaves up.
+
+    ``mass`` is the informative text of a page below the node, in characters times content importance.
+    """
+    same = F.when(F.col("m") > 1, F.log("n") / F.log("m")).otherwise(0.0)
+    own = texts.join(nodes.select("host", "node", "m"), ["host", "node"]).withColumn("same", F.when(F.col("feature").isNotNull(), F.least(same, F.lit(1.0))))
+    own = own.groupBy("host", "node").agg(
+        (1 - F.avg("same")).alias("content"),
+        F.sum(F.when(F.col("feature").isNull(), F.col("n")).otherwise(F.col("n") * F.col("chars") * (1 - F.col("same")))).alias("own_mass"),
+    )
+    nodes = stash(nodes.join(own, ["host", "node"], "left").withColumn("own_mass", F.coalesce("own_mass", F.lit(0.0))), "nodes")
+    deepest = nodes.agg(F.coalesce(F.max("depth"), F.lit(-1))).first()[0]
+    weight = F.pow(F.lit(G), F.col("l"))
+    done, below = None, None
+    for depth in range(deepest, -1, -1):
+        here = nodes.where(F.col("depth") == depth).join(shapes, ["host", "node"])
+        if below is None:
+            here = here.withColumn("kids", F.lit(0).cast("long")).withColumn("kid_sum", F.lit(0.0)).withColumn("kid_mass", F.lit(0.0))
+        else:
+            kids = below.groupBy(F.col("host"), F.col("parent").alias("node"), F.col("parent_shape").alias("shape"))
+            kids = kids.agg(F.count("*").alias("kids"), F.sum("importance").alias("kid_sum"), F.sum("mass").alias("kid_mass"))
+            here = here.join(kids, ["host", "node", "shape"], "left").fillna({"kids": 0, "kid_sum": 0.0, "kid_mass": 0.0})
+        # a presentation's importance: the mean over its judged children and the node's own text
+        parts = F.col("kids") + F.when(F.col("content").isNotNull(), 1).otherwise(0)
+        style = F.when(parts > 0, (F.col("kid_sum") + F.coalesce("content", F.lit(0.0))) / parts).otherwise(1.0)
+        keys = ["host", "node", "parent", "parent_shape", "m", "l", "presentation", "leaf", "kept", "own_mass"]
+        level = here.groupBy(*keys).agg(F.sum(F.col("n") * style).alias("styles"), F.sum("kid_mass").alias("kid_mass"))
+        level = level.withColumn("importance", (1 - weight) * F.col("presentation") + weight * F.col("styles") / F.col("m"))
+        below = stash(level.withColumn("mass", F.col("own_mass") + F.col("kid_mass")).drop("own_mass", "kid_mass", "styles", "l"), "level")
+        done = below if done is None else done.unionByName(below)
+    return done
+
+
+def low_nodes(judged: DataFrame, low: float = LOW) -> DataFrame:
+    """``host, node`` of the branches to remove; ``judged`` are the rows of :func:`importance`."""
+    few = judged.where(F.col("importance") < low).select("host", "node")
+    child = F.struct("mass", "node", "presentation", "leaf", "kept")
+    # the children of one style node: as many as an element of a page has
+    siblings = judged.where("parent <> node").groupBy("host", "parent", "parent_shape").agg(F.sum("mass").alias("all"), F.max(child).alias("top"), F.collect_list(child).alias("children"))
+    region = siblings.where(f"not top.leaf and top.presentation > 0 and top.mass >= {REGION} * all")
+    slot = f"c -> c.node <> top.node and not c.kept and c.mass < {SLOT} * top.mass and c.presentation < 0.5 * top.presentation"
+    slots = region.select("host", F.explode(F.expr(f"transform(filter(children, {slot}), c -> c.node)")).alias("node"))
+    return few.unionByName(slots).distinct()
+
+
+def style_verdicts(parsed: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
+    """``host, ids``: the nodes to remove from each host's pages; ``parsed`` as :func:`parse` gives it, stashed."""
+    once = parsed.dropDuplicates(["host", "mark"])
+    styles = stash(structure(once), "structure")
+    entropy = F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")
+    shape = F.when(F.count("*") > 1, entropy / F.log(F.count("*"))).otherwise(0.0)
+    keys = ["host", "node", "parent", "parent_shape", "depth", "kept"]
+    nodes = styles.groupBy(*keys).agg(F.sum("n").alias("m"), F.count("*").alias("l"), shape.alias("presentation"), F.min("leaf").alias("leaf"))
+    nodes = stash(nodes.where(F.col("m") >= min_pages), "judged")
+    shapes = styles.join(nodes.select("host", "node"), ["host", "node"], "left_semi").select("host", "node", "shape", "n")
+    shapes = stash(shapes, "shapes")
+    texts = stash(contents(once, _by_host(nodes)), "texts")
+    judged = importance(nodes, shapes, texts)
+    if judged is None:
+        return _by_host(nodes)
+    return _by_host(stash(low_nodes(judged, low), "low"))
+
+
+def _by_host(nodes: DataFrame) -> DataFrame:
+    """``host, ids``; a bounded list goes to every task, a longer one is joined by host, where large hosts can be split."""
+    ids = stash(nodes.groupBy("host").agg(F.collect_list("node").alias("ids")), "hosts")
+    size = ids.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
+    return F.broadcast(ids) if size <= BROADCAST_NODES else ids
+
+
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW, markup: bool = True) -> DataFrame:
+    """``page_id, url, text, n_chars`` of every page; ``markup=False`` leaves the decision to the style tree alone.
 
     Null or empty html gives an empty text; null urls and urls without a host share one style tree; repeated
     rows stay repeated; other columns are ignored.
     """
-    spark = pages.sparkSession
-    found = importance(style_statistics(pages)).where((F.col("m") >= min_pages) & (F.col("importance") < low))
-    gone = stash(found.groupBy("host").agg(F.collect_set("node").alias("low")), "style")
-    size = gone.agg(F.coalesce(F.sum(F.size("low")), F.lit(0))).first()[0]
+    parsed = stash(parse(pages), "parsed", "zstd")
+    gone = style_verdicts(parsed, min_pages, low)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(Page(h.as_py()), frozenset(g.as_py() or ())) for h, g in zip(batch.column(2), batch.column(3), strict=True)]
+            texts = [main_text(*marshal.loads(t.as_py()), frozenset(g.as_py() or ()), markup) for t, g in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
 
-    # a bounded list goes to every task; a longer one is joined by host, where large hosts can be split
-    joined = _with_host(pages).join(F.broadcast(gone) if size <= BROADCAST_PATHS else gone, "host", "left").select("page_id", "url", "html", "low")
+    joined = parsed.join(gone, "host", "left").select("page_id", "url", "tree", "ids")
     kind = pages.schema["page_id"].dataType.simpleString()
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
