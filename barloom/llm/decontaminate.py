@@ -3,20 +3,19 @@
 The index holds the items; every passage of every training document is a query. A passage is two neighbouring
 stretches of ``reach`` words, ``reach`` being the longest item's length, so an item that a document holds lies
 wholly in one passage. An item's score is divided by what the item itself would score, which gives one threshold
-for all items. Postings are cut into blocks at the same item boundaries in every list. Retrieval is block-max WAND:
-cursors of a passage's terms are kept in order of their item; the pivot is the first item whose terms' maxima can
-reach the threshold together; the maxima of the pivot's block decide whether it is scored or the cursors skip
-beyond the block. A first look at the sums of all block maxima drops passages that no block can satisfy. Whatever is retrieved must then hold the item's question (its five-word shingles) and its
+for all items. Postings are cut into blocks at the same item boundaries in every list. Retrieval is block-max WAND: the
+sum of a block's maxima over a passage's terms decides whether the cursors enter the block or skip it; inside, they are
+kept in order of their item, and the pivot is the first item whose terms' block maxima can reach the threshold together;
+only pivots that all cursors before them reach are scored. Whatever is retrieved must then hold the item's question (its five-word shingles) and its
 answer (its words).
 """
 
 from __future__ import annotations
 
 import dataclasses
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -80,9 +79,9 @@ class Index:
     reach: int
     items: np.ndarray  # postings, by term then item
     impacts: np.ndarray
-    starts: np.ndarray  # (terms + 1): where a term's postings begin
+    starts: np.ndarray  # (terms, blocks + 1): where a term's postings of a block begin
     maxima: np.ndarray  # (terms, blocks)
-    bounds: np.ndarray  # (blocks + 1): the first item of each block
+    opened: int = 0  # postings that were scored
 
     @classmethod
     def build(cls, rows: list[tuple], statistics: Statistics | None = None) -> Index:
@@ -111,57 +110,55 @@ class Index:
         blocks = max(1, min(BLOCKS, -(-n // 8)))
         maxima = np.zeros(v * blocks, np.float32)
         np.maximum.at(maxima, term * blocks + item * blocks // max(1, n), np.nextafter(impact.astype(np.float32), np.float32(2)))
-        bounds = -(-np.arange(blocks + 1) * max(1, n) // blocks)
-        starts = np.searchsorted(term, np.arange(v + 1))
-        return cls([r[0] for r in rows], vocabulary, question, answer, max(8, statistics.longest), item, impact, starts, maxima.reshape(v, blocks), bounds)
-
-    def retrieve(self, terms: np.ndarray, threshold: float) -> Iterator[tuple[int, float]]:
-        """Items that score ``threshold`` at least for a passage's distinct terms, and their scores; ``opened`` counts the postings read."""
-        items, impacts, starts, bounds = self._lists()
-        maxima = self.maxima[terms].tolist()
-        enough = threshold - 1e-6
-        # a cursor: its item, its place, the end of its postings, the greatest impact, the impacts by block
-        cursors = [[items[starts[t]], starts[t], starts[t + 1], max(m), m] for t, m in zip(terms.tolist(), maxima, strict=True)]
-        while True:
-            cursors.sort(key=itemgetter(0))
-            bound, pivot = 0.0, -1
-            for k, c in enumerate(cursors):
-                bound += c[3]
-                if bound >= enough:
-                    pivot = k
+        starts = np.searchsorted(term * blocks + item * blocks // max(1, n), np.arange(v * blocks + 1))
+        starts = np.concatenate((starts[:-1].reshape(v, blocks), starts[blocks::blocks][:, None]), axis=1)
+        return cls([r[0] for r in rows], vocabulary, question, answer, max(8, statistics.longest), item, impact, starts, maxima.reshape(v, blocks))
+
+    def retrieve(self, terms: np.ndarray, threshold: float, bounds: np.ndarray | None = None) -> Iterator[tuple[int, float]]:
+        """Items that score ``threshold`` at least for a passage's distinct terms, and their scores; ``bounds`` are the blocks' sums of maxima."""
+        if bounds is None:
+            bounds = self.maxima[terms].sum(axis=0)
+        if not hasattr(self, "_lists"):  # lists are quicker to step through; made once a worker
+            self._lists = self.items.tolist(), self.impacts.tolist()
+        items, impacts = self._lists
+        enough = threshold - 1e-4
+        for block in np.flatnonzero(bounds >= enough).tolist():
+            top = self.maxima[terms, block]
+            live = terms[top > 0]
+            # a cursor: its item, its place, the end of its postings in the block, their greatest impact
+            begin = self.starts[live, block].tolist()
+            cursors = [[items[a], a, b, m] for a, b, m in zip(begin, self.starts[live, block + 1].tolist(), top[top > 0].tolist(), strict=True)]
+            while cursors:
+                cursors.sort()
+                bound, pivot = 0.0, -1
+                for k, c in enumerate(cursors):
+                    bound += c[3]
+                    if bound >= enough:
+                        pivot = k
+                        break
+                if pivot < 0:
                     break
-            if pivot < 0:
-                return
-            at = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == at:
-                pivot += 1
-            block = bisect_right(bounds, at) - 1
-            if sum([c[4][block] for c in cursors[: pivot + 1]]) < enough:
-                # no item up to the block's end, or to the next cursor's, has more terms than these
-                target = bounds[block + 1]
-                if pivot + 1 < len(cursors):
-                    target = min(target, cursors[pivot + 1][0])
-                moved = range(pivot + 1)
-            elif cursors[0][0] == at:
-                self.opened += pivot + 1
-                score = sum([impacts[c[1]] for c in cursors[: pivot + 1]])
-                if score >= threshold:
-                    yield at, score
-                target, moved = at + 1, range(pivot + 1)
-            else:
-                target, moved = at, [k for k in range(pivot) if cursors[k][0] < at]
-            for k in moved:
-                c = cursors[k]
-                c[1] = bisect_left(items, target, c[1], c[2])
-                c[0] = items[c[1]] if c[1] < c[2] else -1
-            cursors = [c for c in cursors if c[0] >= 0]
-
-    def _lists(self) -> tuple[list[int], list[float], list[int], list[int]]:
-        """Postings, impacts, starts and block bounds as lists, which are quicker to step through; made once a worker."""
-        if not hasattr(self, "_as_lists"):
-            self._as_lists = self.items.tolist(), self.impacts.tolist(), self.starts.tolist(), self.bounds.tolist()
-            self.opened = 0
-        return self._as_lists
+                at = cursors[pivot][0]
+                if cursors[0][0] == at:
+                    while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == at:
+                        pivot += 1
+                    self.opened += pivot + 1
+                    score = sum([impacts[c[1]] for c in cursors[: pivot + 1]])
+                    if score >= threshold:
+                        yield at, score
+                    moved, target = cursors[: pivot + 1], at + 1
+                else:
+                    moved, target = cursors[:pivot], at
+                out = False
+                for c in moved:
+                    if c[0] < target:
+                        c[1] = k = bisect_left(items, target, c[1], c[2])
+                        if k < c[2]:
+                            c[0] = items[k]
+                        else:
+                            c[0], out = -1, True
+                if out:
+                    cursors = [c for c in cursors if c[0] >= 0]
 
     def overlap(self, item: int, passage: np.ndarray) -> tuple[float, float]:
         """Shares of the question's shingles and of the answer's words that the passage has."""
@@ -215,7 +212,7 @@ class Searcher:
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         for k in np.flatnonzero((bounds >= threshold - 1e-4).any(axis=1)):
             w = window[heads[k]]
-            retrieved = list(index.retrieve(term[heads[k] : ends[k]], threshold))
+            retrieved = list(index.retrieve(term[heads[k] : ends[k]], threshold, bounds[k]))
             if not retrieved:
                 continue
             place = int(np.searchsorted(windows, w, side="right")) - 1
