@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import stash
+from barloom.llm.common import hot_keys, spread_join, stash
 from barloom.llm.lines import doc_key
 
 LENGTH, K = 200, 32
@@ -278,12 +278,13 @@ def partial_repeats(dictionary: DataFrame) -> DataFrame:
     while True:
         sizes = nodes.groupBy("g").agg(F.count("*").alias("members"))
         large = stash(sizes.where(F.col("members") > GROUP), "large")
-        here = _sorted_groups(nodes.join(large, "g", "left_anti"))
+        few = F.broadcast(large.select("g")) if large.count() <= BROADCAST_TRIGGERS else large.select("g")
+        here = _sorted_groups(nodes.join(few, "g", "left_anti"))
         out = here if out is None else out.unionByName(here)
         if large.isEmpty():
             return out
         # divide: within a cell of offsets all strings share LENGTH - cell + 1 bytes, which make the new group
-        spread = nodes.join(large.select("g"), "g").withColumn("cell", F.explode(F.expr(f"sequence(lo div {cell}, hi div {cell})"))).withColumn("top", F.col("hi"))
+        spread = nodes.join(few, "g").withColumn("cell", F.explode(F.expr(f"sequence(lo div {cell}, hi div {cell})"))).withColumn("top", F.col("hi"))
         low, high = F.expr(f"greatest(lo, cell * {cell})"), F.expr(f"least(hi, cell * {cell} + {cell - 1})")
         spread = spread.withColumn("lo2", low).withColumn("hi2", high)
         common = F.expr(f"substring(bytes, top - cell * {cell} + 1, {LENGTH - cell + 1})")
@@ -304,8 +305,10 @@ def partial_repeats(dictionary: DataFrame) -> DataFrame:
 def removed_spans(docs: DataFrame) -> DataFrame:
     """``d1, d2, spans``: byte ranges (start, end) to remove from each document that has any; they may overlap."""
     rows = stash(parse(docs), "phrases")
-    counts = rows.groupBy("trigger").agg(F.count("*").alias("n"), (F.min("whole") != F.max("whole")).alias("mixed")).where("n > 1").select("trigger", "mixed")
-    shared = stash(rows.join(counts, "trigger"), "shared")
+    counts = rows.groupBy("trigger").agg(F.count("*").alias("n"), (F.min("whole") != F.max("whole")).alias("mixed")).where("n > 1")
+    counts = stash(counts, "counts")
+    # a trigger of very many phrases, or a phrase of very many places, is dealt to many tasks
+    shared = stash(spread_join(rows, counts.drop("n"), ["trigger"], hot_keys(counts, ["trigger"])), "shared")
     span = F.struct(F.expr("a - hi").alias("start"), F.expr(f"a - lo + {LENGTH}").alias("end")).alias("span")
     mixed = shared.where("mixed")
     wanted = stash(mixed.groupBy("trigger", "whole").agg(F.count("*").alias("n"), F.min(F.struct("d1", "d2", "a", "lo", "hi")).alias("at")), "wanted")
@@ -314,9 +317,11 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     partial = stash(partial_repeats(dictionary), "partial")
     # a phrase that occurs once is in one row, so no key of this join is frequent on both sides
     ranges = partial.join(wanted.where("n = 1").select("trigger", "whole", "at.d1", "at.d2", "at.a"), ["trigger", "whole"]).select("d1", "d2", span)
-    counted = mixed.join(wanted.select("trigger", "whole", "n"), ["trigger", "whole"]).where("n > 1")
+    again = wanted.where("n > 1").select("trigger", "whole", "n")
+    counted = spread_join(mixed, again.select("trigger", "whole"), ["trigger", "whole"], hot_keys(again, ["trigger", "whole"]))
     whole = shared.where("not mixed").select("d1", "d2", span).unionByName(counted.select("d1", "d2", span))
-    return whole.unionByName(ranges).groupBy("d1", "d2").agg(F.collect_list("span").alias("spans"))
+    # rows that repeat a document have its spans again: a set holds them once
+    return whole.unionByName(ranges).groupBy("d1", "d2").agg(F.collect_set("span").alias("spans"))
 
 
 DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
