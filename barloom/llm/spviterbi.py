@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterable, Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ from barloom.llm.memory import claim, keep
 
 SPACE = "▁"
 RUNS = re.compile(f"(?<!{SPACE}){SPACE}")
-CACHE = 150_000
+ONE = (1,)
+CACHE, PARTS = 400_000, 100_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -135,10 +137,14 @@ class PieceModel:
                 if a in self.plain and b in self.plain and scores[p] not in tied and all(len(x) == 1 or self.order[x] < self.order[p] for x in last):
                     self.plain.add(p)
         self.usable = usable
-        # the longest usable piece by its last two characters (by its one, for pieces of one)
-        self.reach: dict[str, int] = {}
+        # the lengths of the usable pieces that end in these three characters (or are these two), longest first
+        lengths: dict[str, set[int]] = {}
         for p in usable:
-            self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 1))
+            lengths.setdefault(p[-3:], {1}).add(len(p))
+        for p in [x for x in lengths if len(x) == 3]:
+            if p[1:] in usable:
+                lengths[p].add(2)
+        self.lengths = {p: tuple(sorted(x, reverse=True)) for p, x in lengths.items()}
         self.fits: dict[tuple[str, str], bool] = {}
 
     def _merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
@@ -177,7 +183,7 @@ class PieceModel:
     def fit(self, a: str, b: str) -> bool:
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) >= 2 * CACHE:
+            if len(self.fits) >= CACHE:
                 self.fits.clear()
             known = self.fits[a, b] = bool(self._fit(a, b))
         return known
@@ -228,54 +234,55 @@ class StreamingViterbi:
         self.model = model
         self.bpe = model.kind == model.BPE
         self.vocabulary = model.usable if self.bpe else model.ids
+        self.step = 4 * model.longest
+        self._advance = self._merges if self.bpe else self._sums
         self.start()
 
     def start(self) -> None:
         self.text = ""  # characters after the last committed boundary
-        self.back = [0]  # by position in text: where its last piece starts
         self.best = [0.0]
-        self.last: list[str] = [""]
+        self.last: list[str] = [""]  # by position in text: the backpointer, as the last piece before it
 
-    def feed(self, chars: str) -> Iterator[int]:
-        step = 4 * self.model.longest
+    def feed(self, chars: str) -> list[int]:
+        step, out = self.step, []
         for k in range(0, len(chars), step):
             self._advance(chars[k : k + step])
-            if len(self.back) > step:
-                yield from self._commit()
+            if len(self.last) > step:
+                out += self._commit()
+        return out
 
     def finish(self) -> list[int]:
         out = self._ids(len(self.text))
         self.start()
         return out
 
-    def _advance(self, chars: str) -> None:
-        done, self.text = len(self.text), self.text + chars
-        if self.bpe:
-            self._merges(done)
-        else:
-            self._sums(done)
-
-    def _merges(self, done: int) -> None:
+    def _merges(self, chars: str) -> None:
         """The one last piece of each new prefix that fits the prefix before it."""
-        text, back, last, vocabulary = self.text, self.back, self.last, self.vocabulary
-        reach, fits, fit = self.model.reach, self.model.fits, self.model.fit
+        done, self.text = len(self.text), self.text + chars
+        text, last, vocabulary = self.text, self.last, self.vocabulary
+        put = last.append
+        lengths, fit, known = self.model.lengths.get, self.model.fit, self.model.fits.get
         for end in range(done + 1, len(text) + 1):
-            at = end - reach.get(text[end - 2 if end > 1 else 0 : end], 1)
-            for at in range(at if at > 0 else 0, end):  # noqa: B020
+            for n in lengths(text[end - 3 : end] if end > 3 else text[:end]) or lengths(text[end - 2 : end], ONE):
+                at = end - n
+                if at < 0:
+                    continue
                 piece = text[at:end]
                 if piece in vocabulary:
                     before = last[at]
-                    if not before or fits.get((before, piece)) or ((before, piece) not in fits and fit(before, piece)):
+                    if not before:
+                        break
+                    good = known((before, piece))
+                    if good or (good is None and fit(before, piece)):
                         break
             else:
-                at = end - 1
-                piece = text[at]
-            back.append(at)
-            last.append(piece)
+                piece = text[end - 1]
+            put(piece)
 
-    def _sums(self, done: int) -> None:
+    def _sums(self, chars: str) -> None:
         """The last piece of each new prefix that gives the greatest sum of scores."""
-        text, back, best, last = self.text, self.back, self.best, self.last
+        done, self.text = len(self.text), self.text + chars
+        text, best, last = self.text, self.best, self.last
         vocabulary, model = self.vocabulary, self.model
         scores, longest = model.scores, model.longest
         for end in range(done + 1, len(text) + 1):
@@ -286,7 +293,6 @@ class StreamingViterbi:
                     top, came = best[at] + scores[i], at
             if text[end - 1] not in vocabulary and (top is None or best[end - 1] + model.unknown_score > top):
                 top, came = best[end - 1] + model.unknown_score, end - 1
-            back.append(came)
             best.append(top)
             last.append(text[came:end])
 
@@ -297,27 +303,32 @@ class StreamingViterbi:
         while len(live) > 1:  # step back from the furthest until the paths meet
             far = max(live)
             live.discard(far)
-            live.add(self.back[far])
+            live.add(far - len(self.last[far]))
         meet = live.pop()
         if meet == 0:
             return []
         out = self._ids(meet)
         self.text = self.text[meet:]
-        self.back = [max(0, b - meet) for b in self.back[meet:]]
         if not self.bpe:
             self.best = [b - self.best[meet] for b in self.best[meet:]]
         self.last = self.last[meet:]
         return out
 
     def _ids(self, end: int) -> list[int]:
-        pieces = []
+        ids, last, out = self.vocabulary, self.last, []
         while end > 0:
-            pieces.append(self.last[end])
-            end = self.back[end]
-        ids, out = self.vocabulary, []
+            piece = last[end]
+            out.append(piece)
+            end -= len(piece)
+        out.reverse()
+        found = [ids.get(p) for p in out]
+        return self._spell(out, found) if None in found else found
+
+    def _spell(self, pieces: list[str], found: list[int | None]) -> list[int]:
+        """Ids where some pieces are characters outside the vocabulary."""
+        out: list[int] = []
         unknown = False
-        for p in reversed(pieces):
-            i = ids.get(p)
+        for p, i in zip(pieces, found, strict=True):
             if i is not None:
                 out.append(i)
                 unknown = False
@@ -342,7 +353,7 @@ class Encoder:
         self.viterbi = StreamingViterbi(self.model)
         self.fed = 0
         self.words = GenerationCache(self._word, CACHE)
-        self.parts = GenerationCache(self._part, CACHE)
+        self.parts = GenerationCache(self._part, PARTS)
         self.id_bytes = [i.to_bytes(4, "little") for i in range(len(self.model.pieces))]
         #: a mark begins a word unless a piece has it elsewhere than at its start, as runs of marks have
         self.splits = all(x == SPACE * 2 or x[1] != SPACE for x in self.model.inside) and self.model.byte_fallback
@@ -355,18 +366,15 @@ class Encoder:
 
     def _part(self, part: str) -> bytes:
         self.fed += len(part)
-        viterbi, known = self.viterbi, self.id_bytes
-        return b"".join([known[i] for i in viterbi.feed(part)] + [known[i] for i in viterbi.finish()])
+        known = self.id_bytes
+        return b"".join([known[i] for i in self.viterbi.feed(part) + self.viterbi.finish()])
 
     def _word(self, word: str) -> bytes:
         text, inside, parts = SPACE + word, self.model.inside, self.parts
-        at, out = 0, []
-        for k in range(1, len(text)):
-            if text[k - 1 : k + 1] not in inside:
-                out.append(parts[text[at:k]])
-                at = k
-        out.append(parts[text[at:]])
-        return b"".join(out)
+        cuts = [k for k, pair in enumerate(map(add, text, text[1:]), 1) if pair not in inside]
+        if not cuts:
+            return self._part(text)  # remembered as a word
+        return b"".join([parts[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)])
 
     def __call__(self, text: str) -> bytes:
         if not text:
