@@ -120,7 +120,7 @@ def test_streaming_viterbi_window_is_bounded(docs):
     ids, most = [], 0
     for k in range(0, len(text), 501):
         ids += viterbi.feed(text[k : k + 501])
-        most = max(most, len(viterbi.back))
+        most = max(most, len(viterbi.last))
     ids += viterbi.finish()
     assert most <= 16 * model.longest
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
