@@ -13,7 +13,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Generator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,22 +40,43 @@ def over(a: Column, b: Column) -> Column:
 
 
 class Stage:
+    """Helper columns in as few projections as their references allow: a column waits with all others of its level, one above those it names."""
+
     def __init__(self, df: DataFrame):
         self.df, self.keep, self.n = df, df.columns, 0
+        self.level: dict[str, int] = {}
+        self.waiting: list[list[Column]] = []
+        self.same: dict[str, str] = {}
 
     def name(self) -> str:
         self.n += 1
         return f"_s{self.n}"
 
     def col(self, expr: Column) -> str:
-        name = self.name()
-        self.df = self.df.withColumn(name, expr)
-        return name
+        text = str(expr)
+        if text not in self.same:
+            name = self.same[text] = self.name()
+            at = max((self.level.get(x, -1) for x in HELPER.findall(text)), default=-1) + 1
+            self.level[name] = at
+            if at == len(self.waiting):
+                self.waiting.append([])
+            self.waiting[at].append(expr.alias(name))
+        return self.same[text]
+
+    def flush(self) -> DataFrame:
+        """All waiting columns in place; those made from here on start at the first level again."""
+        for columns in self.waiting:
+            self.df = self.df.select("*", *columns)
+        self.waiting, self.level = [], {}
+        return self.df
 
     def lag(self, x: str, k: int = 1) -> str:
         return self.col(F.lag(x, k).over(order()))
 
 
+HELPER = re.compile(r"\b_s\d+\b")
+
+
 def ewm(source: str, alpha: float, least: int = 0) -> tuple[str, float, int]:
     return source, alpha, least
 
@@ -65,14 +89,15 @@ def ewm_pass(df: DataFrame, wanted: list[tuple[str, float, int, str]], by: list[
     by = by or ["symbol"]
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, {', '.join(f'{w[3]} double' for w in wanted)}"
 
-    def run(bars: pd.DataFrame) -> pd.DataFrame:
-        bars = bars.sort_values("ts", kind="stable")
+    def run(bars: pa.Table) -> pa.Table:
+        bars = bars.take(pc.sort_indices(bars, [("ts", "ascending")]))
         for source, alpha, least, name in wanted:
-            mean = bars[source].astype("float64").ewm(alpha=alpha, adjust=False, min_periods=least).mean()
-            bars[name] = mean.astype(object).where(mean.notna(), None)
+            x = pd.Series(bars.column(source).cast(pa.float64()).to_numpy())
+            mean = x.ewm(alpha=alpha, adjust=False, min_periods=least).mean().to_numpy()
+            bars = bars.append_column(name, pa.array(mean, pa.float64(), mask=np.isnan(mean)))
         return bars
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    return df.groupBy(*by).applyInArrow(run, schema)
 
 
 Gen = Generator[tuple[str, float, int], str, str]
@@ -388,7 +413,7 @@ def add(df: DataFrame, calls: dict[str, tuple[str, tuple]]) -> DataFrame:
                 asked.pop(name, None)
         if asked:
             unique = {spec: stage.name() for spec in dict.fromkeys(asked.values())}
-            stage.df = ewm_pass(stage.df, [(*spec, name) for spec, name in unique.items()])
+            stage.df = ewm_pass(stage.flush(), [(*spec, name) for spec, name in unique.items()])
             reply = {name: unique[spec] for name, spec in asked.items()}
             asked = {}
-    return stage.df.select(*stage.keep, *[F.col(done[n]).alias(n) for n in calls])
+    return stage.flush().select(*stage.keep, *[F.col(done[n]).alias(n) for n in calls])

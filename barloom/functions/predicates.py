@@ -18,18 +18,25 @@ def compare(left: Column, op: str, right: Column) -> Column:
     return F.coalesce(made[op], F.lit(False))
 
 
-def cross_event(left: str, right: str, above: bool = True) -> Column:
+def cross_of(left: Column, right: Column, above: bool = True) -> Column:
     """The bar on which ``left`` comes to stand above (below) ``right``."""
-    l0, r0 = F.col(left), F.col(right)
     l1, r1 = F.lag(left, 1).over(order()), F.lag(right, 1).over(order())
-    return F.coalesce((l0 > r0) & (l1 <= r1) if above else (l0 < r0) & (l1 >= r1), F.lit(False))
+    return F.coalesce((left > right) & (l1 <= r1) if above else (left < right) & (l1 >= r1), F.lit(False))
+
+
+def cross_event(left: str, right: str, above: bool = True) -> Column:
+    return cross_of(F.col(left), F.col(right), above)
+
+
+def still_crossed(event: Column, left: Column, right: Column, above: bool, persist: int = PERSIST) -> Column:
+    """Whether a crossing (``event`` is 1) lies within the last ``persist`` bars and still holds."""
+    return (F.max(event).over(rows(persist)) == 1) & compare(left, ">" if above else "<", right)
 
 
 def crosses(df: DataFrame, left: str, right: str, above: bool, name: str, persist: int = PERSIST) -> DataFrame:
     """Adds ``name``: a crossing within the last ``persist`` bars that still holds."""
     df = df.withColumn("_event", cross_event(left, right, above).cast("int"))
-    holds = F.coalesce(F.col(left) > F.col(right) if above else F.col(left) < F.col(right), F.lit(False))
-    return df.withColumn(name, (F.max("_event").over(rows(persist)) == 1) & holds).drop("_event")
+    return df.withColumn(name, still_crossed(F.col("_event"), F.col(left), F.col(right), above, persist)).drop("_event")
 
 
 LOGIC = re.compile(r"\(|\)|\bAND\b|\bOR\b|\bNOT\b|c\d+", re.I)

@@ -1,16 +1,16 @@
-"""Back-tests as grouped maps over (strategy, window, symbol): a series is sequential, all series run side by side."""
+"""Back-tests as grouped maps over (window, symbol): a series is sequential and read once for all strategies; all series run side by side."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.operators.kernel import Rules, run
 
-KEYS = ["strategy_id", "window_id", "symbol"]
 TRADE = (
     "strategy_id string, window_id string, symbol string, entry_ts bigint, exit_ts bigint, entry_bar bigint, exit_bar bigint, "
     "entry_price double, exit_price double, pnl double, kind string, bars_held bigint, equity double"
@@ -18,38 +18,84 @@ TRADE = (
 CURVE = "strategy_id string, window_id string, symbol string, ts bigint, equity double"
 
 
-def long_form(signals: DataFrame, names: list[str], window: Column | None = None) -> DataFrame:
-    """One row a bar and strategy; ``signals`` has a boolean column for each name and ``atr``."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("strategy_id"), F.col(n).alias("signal")) for n in names])).alias("x")
+BARS = ["ts", "high", "low", "close", "atr"]
+CHUNK = 250  # strategies of a population that one task runs over a series
+
+
+def bar_form(signals: DataFrame, names: list[str], window: Column | None = None) -> DataFrame:
+    """One row a bar: its window and symbol, prices, and a boolean column for each strategy; bars aren't repeated for strategies."""
     at = (window if window is not None else F.lit("all")).alias("window_id")
-    return signals.select(pairs, at, "symbol", "ts", "high", "low", "close", "atr").select("x.strategy_id", "window_id", "symbol", "ts", "high", "low", "close", "atr", "x.signal")
+    return signals.select(at, "symbol", "ts", *[F.col(c).cast("double").alias(c) for c in BARS[1:]], *[F.coalesce(F.col(n), F.lit(False)).alias(n) for n in names])
+
+
+def _series(table: pa.Table) -> tuple[pa.Table, list[np.ndarray]]:
+    table = table.take(pc.sort_indices(table, [("ts", "ascending")]))
+    return table, [table.column(c).to_numpy() for c in BARS]
+
+
+def _trade_rows(key: tuple[str, str], names: list[str], rules: dict[str, Rules], arrays: list[np.ndarray], signal) -> list[tuple]:
+    ts, high, low, close, atr = arrays
+    rows = []
+    for name in names:
+        _, done = run(high, low, close, atr, signal(name), rules[name])
+        rows += [(name, *key, int(ts[t.entry]), int(ts[t.exit]), t.entry, t.exit, t.entry_price, t.exit_price, t.pnl, t.kind, t.exit - t.entry, t.equity) for t in done]
+    return rows
+
+
+_KINDS = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}
 
 
-def _arrays(bars: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    bars = bars.sort_values("ts", kind="stable")
-    f = [bars[c].to_numpy(dtype=float, na_value=np.nan) for c in ("high", "low", "close", "atr")]
-    return bars["ts"].to_numpy(), *f, bars["signal"].fillna(False).to_numpy(dtype=bool)
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    fields = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.table([pa.array(c, _KINDS[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
 def trades(rows: DataFrame, rules: dict[str, Rules]) -> DataFrame:
-    def one(key: tuple, bars: pd.DataFrame) -> pd.DataFrame:
-        ts, high, low, close, atr, signal = _arrays(bars)
-        _, done = run(high, low, close, atr, signal, rules[key[0]])
-        return pd.DataFrame(
-            [(*key, int(ts[t.entry]), int(ts[t.exit]), t.entry, t.exit, t.entry_price, t.exit_price, t.pnl, t.kind, t.exit - t.entry, t.equity) for t in done],
-            columns=[c.split()[0] for c in TRADE.split(", ")],
-        )
+    """The trades of each strategy of ``rules`` on each (window, symbol) of :func:`bar_form` rows."""
 
-    return rows.groupBy(*KEYS).applyInPandas(one, TRADE)
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        table, arrays = _series(table)
+        signal = lambda name: table.column(name).to_numpy()
+        return _table(_trade_rows((key[0].as_py(), key[1].as_py()), list(rules), rules, arrays, signal), TRADE)
+
+    return rows.groupBy("window_id", "symbol").applyInArrow(one, TRADE)
 
 
 def curves(rows: DataFrame, rules: dict[str, Rules]) -> DataFrame:
-    def one(key: tuple, bars: pd.DataFrame) -> pd.DataFrame:
-        ts, high, low, close, atr, signal = _arrays(bars)
-        equity, _ = run(high, low, close, atr, signal, rules[key[0]])
-        return pd.DataFrame({"strategy_id": key[0], "window_id": key[1], "symbol": key[2], "ts": ts, "equity": equity})
+    """Equity after each bar of each strategy of ``rules``."""
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        table, (ts, high, low, close, atr) = _series(table)
+        names = [k for k in rules for _ in range(len(ts))]
+        equity = [run(high, low, close, atr, table.column(name).to_numpy(), rules[name])[0] for name in rules]
+        columns = [pa.array(names, pa.string()), *[pa.array([x.as_py()] * len(names), pa.string()) for x in key], pa.array(np.tile(ts, len(rules))), pa.array(np.concatenate(equity))]
+        return pa.table(columns, names=[c.split()[0] for c in CURVE.split(", ")])
+
+    return rows.groupBy("window_id", "symbol").applyInArrow(one, CURVE)
+
+
+def population_trades(bars: DataFrame, strategies: dict, rules: dict[str, Rules], seconds: int) -> DataFrame:
+    """The trades of many strategies on all symbols of ``bars``.
+
+    Indicators are Spark columns, each computed once for all strategies that name it; conditions, signals and
+    positions are array operations inside one grouped pass. A series goes to a task once for each ``CHUNK`` strategies.
+    """
+    from barloom.plans.strategy import array_signals, indicator_columns
+
+    df, sides = indicator_columns(bars, strategies, seconds, {"atr": ("ATR", (14,))})
+    used = sorted({c for c in sides.values() if isinstance(c, str)})
+    names = list(strategies)
+    chunks = [names[k : k + CHUNK] for k in range(0, len(names), CHUNK)]
+    part = F.explode(F.sequence(F.lit(0), F.lit(len(chunks) - 1)))
+    rows = df.select("symbol", "ts", *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*BARS[1:], *used])]).withColumn("part", part)
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        table, arrays = _series(table)
+        signal = array_signals(strategies, sides, lambda c: table.column(c).to_numpy())
+        return _table(_trade_rows(("all", key[0].as_py()), chunks[key[1].as_py()], rules, arrays, signal), TRADE)
 
-    return rows.groupBy(*KEYS).applyInPandas(one, CURVE)
+    return rows.groupBy("symbol", "part").applyInArrow(one, TRADE)
 
 
 # stateless pieces of the machine, as columns

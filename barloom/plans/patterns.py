@@ -95,32 +95,32 @@ def basic_features(df: DataFrame) -> DataFrame:
 def indicator_pack(df: DataFrame) -> DataFrame:
     """The basic features and the fifteen indicator columns that tokens read; one window partitioning, two recursive passes."""
     s = Stage(basic_features(df))
-    change = s.col(F.col("close") - F.lag("close", 1).over(order()))
-    gain = s.col(F.when(F.col(change) > 0, F.col(change)).otherwise(0.0))
-    loss = s.col(F.when(F.col(change) < 0, -F.col(change)).otherwise(0.0))
-    put = lambda name, e: setattr(s, "df", s.df.withColumn(name, e))
-    put("rsi_14", 100 - 100 / (1 + over(guarded(F.avg, gain, 14), guarded(F.avg, loss, 14))))
-    put("sma_20", guarded(F.avg, "close", 20))
-    put("sma_50", guarded(F.avg, "close", 50))
-    put("sma_v_20", guarded(F.avg, "volume", 20))
-    sd = s.col(guarded(F.stddev_samp, "close", 20))
-    put("bb_upper", F.col("sma_20") + 2 * F.col(sd))
-    put("bb_lower", F.col("sma_20") - 2 * F.col(sd))
-    put("bb_width", F.col("bb_upper") - F.col("bb_lower"))
-    put("bb_width_sma_20", guarded(F.avg, "bb_width", 20))
+    col = s.col
+    of: dict[str, str] = {}
+    change = col(F.col("close") - F.lag("close", 1).over(order()))
+    gain = col(F.when(F.col(change) > 0, F.col(change)).otherwise(0.0))
+    loss = col(F.when(F.col(change) < 0, -F.col(change)).otherwise(0.0))
+    of["rsi_14"] = col(100 - 100 / (1 + over(guarded(F.avg, gain, 14), guarded(F.avg, loss, 14))))
+    of["sma_20"], of["sma_50"] = col(guarded(F.avg, "close", 20)), col(guarded(F.avg, "close", 50))
+    of["sma_v_20"] = col(guarded(F.avg, "volume", 20))
+    sd = col(guarded(F.stddev_samp, "close", 20))
+    of["bb_upper"], of["bb_lower"] = col(F.col(of["sma_20"]) + 2 * F.col(sd)), col(F.col(of["sma_20"]) - 2 * F.col(sd))
+    of["bb_width"] = col(F.col(of["bb_upper"]) - F.col(of["bb_lower"]))
+    of["bb_width_sma_20"] = col(guarded(F.avg, of["bb_width"], 20))
     before = F.lag("close", 1).over(order())
-    tr = s.col(F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
-    put("atr_14", guarded(F.avg, tr, 14))
-    put("atr_sma_20", guarded(F.avg, "atr_14", 20))
-    low, high = s.col(guarded(F.min, "low", 14)), s.col(guarded(F.max, "high", 14))
-    fast = s.col(100 * over(F.col("close") - F.col(low), F.col(high) - F.col(low)))
-    put("stoch_k", guarded(F.avg, fast, 3))
-    put("stoch_d", guarded(F.avg, "stoch_k", 3))
-    s.df = ewm_pass(s.df, [("close", 2 / 13, 0, "_fast"), ("close", 2 / 27, 0, "_slow")])
-    put("macd", F.col("_fast") - F.col("_slow"))
-    s.df = ewm_pass(s.df, [("macd", 2 / 10, 0, "macd_signal")])
-    put("macd_hist", F.col("macd") - F.col("macd_signal"))
-    return s.df.select(*s.keep, *PACK)
+    tr = col(F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
+    of["atr_14"] = col(guarded(F.avg, tr, 14))
+    of["atr_sma_20"] = col(guarded(F.avg, of["atr_14"], 20))
+    low, high = col(guarded(F.min, "low", 14)), col(guarded(F.max, "high", 14))
+    fast = col(100 * over(F.col("close") - F.col(low), F.col(high) - F.col(low)))
+    of["stoch_k"] = col(guarded(F.avg, fast, 3))
+    of["stoch_d"] = col(guarded(F.avg, of["stoch_k"], 3))
+    short, long, signal = s.name(), s.name(), s.name()
+    s.df = ewm_pass(s.flush(), [("close", 2 / 13, 0, short), ("close", 2 / 27, 0, long)])
+    of["macd"] = col(F.col(short) - F.col(long))
+    s.df = ewm_pass(s.flush(), [(of["macd"], 2 / 10, 0, signal)])
+    of["macd_signal"], of["macd_hist"] = signal, col(F.col(of["macd"]) - F.col(signal))
+    return s.flush().select(*s.keep, *[F.col(of[n]).alias(n) for n in PACK])
 
 
 def token(m: re.Match) -> tuple[str, int]:

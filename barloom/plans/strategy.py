@@ -10,11 +10,12 @@ from __future__ import annotations
 import dataclasses
 import re
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.indicators import add, parse_call
-from barloom.functions.predicates import compare, crosses, logic
+from barloom.functions.predicates import PERSIST, compare, cross_of, logic, still_crossed
 from barloom.sources.bars import TIMEFRAMES, align, bucket, resample
 
 OPERATORS = {"_GT_": ">", "_LT_": "<", "_CA_": "above", "_CB_": "below", "CROSSES_ABOVE": "above", "CROSSES_BELOW": "below", ">": ">", "<": "<"}
@@ -89,55 +90,137 @@ def parse(text: str) -> Strategy:
     return Strategy(m[1], tuple(conditions), " ".join(shape).replace("( ", "(").replace(" )", ")"), exits.get("TP", 0.0), exits.get("SL", 0.0), exits.get("TRAIL", 0.0))
 
 
+def _tree(text: str) -> tuple:
+    """A logic string as nested tuples (operator, parts...), or a condition's number."""
+    tokens = re.findall(r"\(|\)|AND|OR|c\d+", text)
+
+    def unit(at: int) -> tuple:
+        if tokens[at] == "(":
+            inner, at = chain(at + 1, "OR")
+            return inner, at + 1
+        return int(tokens[at][1:]), at + 1
+
+    def chain(at: int, op: str) -> tuple:
+        below = unit if op == "AND" else lambda k: chain(k, "AND")
+        first, at = below(at)
+        parts = [first]
+        while at < len(tokens) and tokens[at] == op:
+            part, at = below(at + 1)
+            parts.append(part)
+        return (parts[0] if len(parts) == 1 else (op, *parts)), at
+
+    return chain(0, "OR")[0]
+
+
 def simplify(s: Strategy) -> Strategy:
-    """Without conditions that compare a side with itself in conjunctions, conditions numbered anew in order of use."""
-    parts = s.logic.split(" ")
-    if "OR" not in parts and "(" not in s.logic:
-        kept = list(dict.fromkeys(c for c in s.conditions if c.left != c.right))
-        if kept:
-            return dataclasses.replace(s, conditions=tuple(kept), logic=" AND ".join(f"c{k}" for k in range(len(kept))))
-    return s
+    """Without conditions that compare a side with itself and without repeats under one operator; conditions are numbered anew in
+    order of use. A strategy that would lose all its conditions stays as it is."""
+
+    def lean(node) -> object:
+        if isinstance(node, int):
+            return None if s.conditions[node].left == s.conditions[node].right else node
+        parts: list = []
+        for part in map(lean, node[1:]):
+            for x in part[1:] if isinstance(part, tuple) and part[0] == node[0] else [part]:
+                if x is not None and x not in parts:
+                    parts.append(x)
+        return None if not parts else parts[0] if len(parts) == 1 else (node[0], *parts)
+
+    used: list[int] = []
+
+    def text(node, above: str = "") -> str:
+        if isinstance(node, int):
+            if node not in used:
+                used.append(node)
+            return f"c{used.index(node)}"
+        said = f" {node[0]} ".join(text(x, node[0]) for x in node[1:])
+        return f"({said})" if above else said
+
+    tree = lean(_tree(s.logic))
+    if tree is None:
+        return s
+    logic_ = text(tree)
+    return dataclasses.replace(s, conditions=tuple(s.conditions[k] for k in used), logic=logic_)
 
 
 def _sides(strategies: dict[str, Strategy]) -> list[str]:
     return list(dict.fromkeys(side for s in strategies.values() for c in s.conditions for side in (c.left, c.right)))
 
 
-def with_signals(bars: DataFrame, strategies: dict[str, Strategy], base_seconds: int, extra: dict | None = None) -> DataFrame:
-    """``bars`` with a boolean column for each strategy, never NULL, and a column for each ``extra`` indicator call."""
-    columns: dict[str, Column] = {}
+def indicator_columns(bars: DataFrame, strategies: dict[str, Strategy], base_seconds: int, extra: dict | None = None) -> tuple[DataFrame, dict[str, str | float]]:
+    """``bars`` with a column for each ``extra`` call and each distinct indicator of the strategies, and what each side of a condition is: a column or a number."""
+    sides: dict[str, str | float] = {}
     by_frame: dict[int, dict[str, tuple]] = {}
-    for k, side in enumerate(_sides(strategies)):
+    known: dict[tuple, str] = {}
+    for side in _sides(strategies):
         if NUMBER.match(side):
-            columns[side] = F.lit(float(side))
+            sides[side] = float(side)
         elif side.lower() in bars.columns:
-            columns[side] = F.col(side.lower())
+            sides[side] = side.lower()
         else:
             name, args, frame = parse_call(side)
-            seconds = TIMEFRAMES[frame] if frame else base_seconds
-            by_frame.setdefault(seconds, {})[f"_i{k}"] = (name, args)
-            columns[side] = F.col(f"_i{k}")
-    keep = bars.columns
-    base = dict(extra or {})
-    base |= by_frame.pop(base_seconds, {})
+            seconds = max(TIMEFRAMES[frame], base_seconds) if frame else base_seconds
+            key = (seconds, name, args)
+            if key not in known:
+                known[key] = f"_i{len(known)}"
+                by_frame.setdefault(seconds, {})[known[key]] = (name, args)
+            sides[side] = known[key]
+    base = dict(extra or {}) | by_frame.pop(base_seconds, {})
     df = add(bars, base) if base else bars
     for seconds, calls in sorted(by_frame.items()):
         higher = add(resample(bars, seconds), calls)
         df = align(df, higher, seconds, list(calls))
-    made = {}
-    for name, s in strategies.items():
-        found = []
-        for k, c in enumerate(s.conditions):
-            op = OPERATORS[c.op]
-            at = f"_c_{len(made)}_{k}"
-            if op in (">", "<"):
-                df = df.withColumn(at, compare(columns[c.left], op, columns[c.right]))
-            else:
-                df = df.withColumn("_l", columns[c.left]).withColumn("_r", columns[c.right])
-                df = crosses(df, "_l", "_r", op == "above", at).drop("_l", "_r")
-            found.append(F.col(at))
-        made[name] = logic(s.logic, found)
-    return df.select(*keep, *[F.col(n) for n in extra or {}], *[e.alias(n) for n, e in made.items()])
+    return df, sides
+
+
+def with_signals(bars: DataFrame, strategies: dict[str, Strategy], base_seconds: int, extra: dict | None = None) -> DataFrame:
+    """``bars`` with a boolean column for each strategy, never NULL, and a column for each ``extra`` indicator call.
+
+    Equal conditions are computed once; all comparisons, crossings and strategies take one projection each.
+    """
+    df, sides = indicator_columns(bars, strategies, base_seconds, extra)
+    side = lambda x: F.col(sides[x]) if isinstance(sides[x], str) else F.lit(sides[x])
+    distinct = {c: f"_c{k}" for k, c in enumerate(dict.fromkeys(c for s in strategies.values() for c in s.conditions))}
+    plain = {n: compare(side(c.left), OPERATORS[c.op], side(c.right)) for c, n in distinct.items() if OPERATORS[c.op] in (">", "<")}
+    turns = {n: (side(c.left), side(c.right), OPERATORS[c.op] == "above") for c, n in distinct.items() if n not in plain}
+    keep = df.columns
+    if turns:
+        df = df.select(*keep, *[cross_of(a, b, up).cast("int").alias(f"{n}_event") for n, (a, b, up) in turns.items()])
+        plain |= {n: still_crossed(F.col(f"{n}_event"), a, b, up) for n, (a, b, up) in turns.items()}
+    df = df.select(*keep, *[e.alias(n) for n, e in plain.items()])
+    made = {name: logic(s.logic, [F.col(distinct[c]) for c in s.conditions]) for name, s in strategies.items()}
+    return df.select(*bars.columns, *[F.col(n) for n in extra or {}], *[e.alias(n) for n, e in made.items()])
+
+
+def array_signals(strategies: dict[str, Strategy], sides: dict[str, str | float], column):
+    """A function from a strategy's name to its signals on one ordered series; ``column`` gives a column's array, with NaN for NULL."""
+    arrays: dict[str, np.ndarray | float] = {}
+    conditions: dict[Condition, np.ndarray] = {}
+
+    def side(text: str) -> np.ndarray | float:
+        of = sides[text]
+        if not isinstance(of, str):
+            return of
+        if of not in arrays:
+            arrays[of] = column(of)
+        return arrays[of]
+
+    def holds(c: Condition) -> np.ndarray:
+        if c not in conditions:
+            a, b = np.broadcast_arrays(np.atleast_1d(side(c.left)), np.atleast_1d(side(c.right)))
+            with np.errstate(invalid="ignore"):
+                op = OPERATORS[c.op]
+                now = a > b if op in (">", "above") else a < b
+                if op in ("above", "below"):
+                    event = np.zeros(len(a), bool)
+                    event[1:] = now[1:] & (a[:-1] <= b[:-1] if op == "above" else a[:-1] >= b[:-1])
+                    recent = np.cumsum(event)
+                    recent[PERSIST:] -= recent[:-PERSIST].copy()
+                    now = now & (recent > 0)
+            conditions[c] = now
+        return conditions[c]
+
+    return lambda name: logic(strategies[name].logic, [holds(c) for c in strategies[name].conditions])
 
 
 #: eight strategies that cover comparison, both crossings, logic, timeframes, exits and directions
@@ -157,4 +240,4 @@ def small_strategies() -> dict[str, Strategy]:
     return {k: parse(v) for k, v in SMALL.items()}
 
 
-__all__ = ["Condition", "Strategy", "parse", "simplify", "with_signals", "small_strategies", "SMALL", "bucket"]
+__all__ = ["Condition", "Strategy", "parse", "simplify", "indicator_columns", "array_signals", "with_signals", "small_strategies", "SMALL", "bucket"]

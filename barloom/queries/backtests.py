@@ -90,7 +90,7 @@ def sig_generate(spark, sf_dir):
 def _bt(name: str, signal: str, column: str, rules: Rules) -> None:
     @register(name, recursive(S.BARS, SIGNAL, machine(column, rules), select=f"SELECT {TRADES_OUT} FROM t"))
     def run(spark, sf_dir):
-        rows = BT.long_form(signals(spark, sf_dir), [signal])
+        rows = BT.bar_form(signals(spark, sf_dir), [signal])
         return BT.trades(rows, {signal: rules}).select("symbol", "entry_bar", "exit_bar", "kind", rnd("pnl").alias("pnl"))
 
 
@@ -115,7 +115,7 @@ def _shuffled(name: str, rules: Rules) -> None:
         by = W.partitionBy("symbol")
         df = df.withColumn("place", F.row_number().over(by.orderBy(hashed(1, 0, F.col("ts").cast("string")), "ts")))
         df = df.withColumn("total", F.count(F.when(F.col("s1"), 1)).over(by)).withColumn("sh", F.col("place") <= F.col("total"))
-        return BT.trades(BT.long_form(df, ["sh"]), {"sh": rules}).select("symbol", "entry_bar", "exit_bar", "kind", rnd("pnl").alias("pnl"))
+        return BT.trades(BT.bar_form(df, ["sh"]), {"sh": rules}).select("symbol", "entry_bar", "exit_bar", "kind", rnd("pnl").alias("pnl"))
 
 
 _shuffled("bt_shuffled", Rules("LONG", 3.0, 1.5, 0.0, COST))
@@ -128,7 +128,7 @@ def small_rules() -> dict[str, Rules]:
 
 def small_rows(spark, sf_dir) -> DataFrame:
     made = small_strategies()
-    return BT.long_form(with_signals(B.event_bars(spark, sf_dir), made, B.HOUR, {"atr": ("ATR", (14,))}), list(made))
+    return BT.bar_form(with_signals(B.event_bars(spark, sf_dir), made, B.HOUR, {"atr": ("ATR", (14,))}), list(made))
 
 
 @register("bt_strategies_small")
@@ -178,7 +178,7 @@ _TRADES = [S.BARS, SIGNAL, machine("sig", Rules("LONG", 3.0, 1.5, 0.0, COST))]
 
 
 def base_trades(spark, sf_dir) -> DataFrame:
-    return BT.trades(BT.long_form(signals(spark, sf_dir), ["s1"]), {"s1": Rules("LONG", 3.0, 1.5, 0.0, COST)})
+    return BT.trades(BT.bar_form(signals(spark, sf_dir), ["s1"]), {"s1": Rules("LONG", 3.0, 1.5, 0.0, COST)})
 
 
 @register("bt_futures", recursive(*_TRADES, select=f"SELECT symbol, exit_bar, kind, {S.rnd('500*pnl')} AS usd, {S.rnd('5000*pnl')} AS on_margin FROM t"))

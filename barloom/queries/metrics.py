@@ -304,17 +304,6 @@ def rep_first_last(spark, sf_dir):
     return best.select("first", "last", rnd(100 * (F.col("last") - F.col("first")) / F.nullif(F.abs("first"), F.lit(0.0))).alias("pct"))
 
 
-@register("rep_explain_like", "SELECT p_partkey, concat_ws(', ', CASE WHEN p_name LIKE '%a%' THEN 'has a' END, CASE WHEN p_name LIKE '%e%' THEN 'has e' END) AS said FROM part")
-def rep_explain_like(spark, sf_dir):
-    name = F.col("p_name")
-    return B.table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(", ", F.when(name.like("%a%"), "has a"), F.when(name.like("%e%"), "has e")).alias("said"))
-
-
-@register("rep_explain", "SELECT p_partkey, 'Part ' || upper(p_name) || ' (' || length(p_name) || ')' AS said FROM part")
-def rep_explain(spark, sf_dir):
-    return B.table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("Part "), F.upper("p_name"), F.lit(" ("), F.length("p_name"), F.lit(")")).alias("said"))
-
-
 @register("rep_format", "SELECT o_orderkey, replace(replace(o_orderpriority, '&', '\\&'), '-', '\\-') AS tex, printf('%.2f', o_totalprice) AS price FROM orders")
 def rep_format(spark, sf_dir):
     return B.table(spark, sf_dir, "orders").select("o_orderkey", F.replace(F.replace("o_orderpriority", F.lit("&"), F.lit("\\&")), F.lit("-"), F.lit("\\-")).alias("tex"), F.format_string("%.2f", "o_totalprice").alias("price"))

@@ -113,49 +113,3 @@ def sel_greedy_decorr(spark, sf_dir):
 def sel_dedup_corr(spark, sf_dir):
     fit = M.returns(curve(spark, sf_dir), ["symbol"]).groupBy(F.col("symbol").alias("id")).agg(F.sum("r").alias("fitness"))
     return X.greedy_decorrelated(fit, corr_rows(spark, sf_dir), 0.04, X.CANDIDATES).select("id")
-
-
-# the strategy language and evolution
-
-@register("ge_parse")
-def ge_parse(spark, sf_dir):
-    from barloom.plans.strategy import SMALL, parse
-
-    made = [(k, s.direction, len(s.conditions), s.logic, s.tp, s.sl, s.trail, s.expression) for k, s in ((k, parse(v)) for k, v in SMALL.items())]
-    return spark.createDataFrame(made, "strategy_id string, direction string, n_conditions bigint, logic string, tp double, sl double, trail double, expression string")
-
-
-@register("ge_simplify")
-def ge_simplify(spark, sf_dir):
-    from barloom.plans.strategy import SMALL, parse, simplify
-
-    return spark.createDataFrame([(k, simplify(parse(v)).expression) for k, v in SMALL.items()], "strategy_id string, expression string")
-
-
-@register("ge_decode")
-def ge_decode(spark, sf_dir):
-    from barloom.plans.grammar import decoded
-
-    genomes = B.table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("event_id", F.floor("value").alias("v")))), 1, 50), lambda x: F.pmod(x["v"] * 37 + x["event_id"], F.lit(256)).cast("int")).alias("genome"))
-    return decoded(genomes.select(F.col("user_id").alias("id"), "genome"))
-
-
-for _name in ("ge_random", "ge_crossover", "ge_mutate", "ge_params", "ge_rebuild", "ge_tighten", "ge_v1_ops"):
-
-    def _ge(spark, sf_dir, name=_name):
-        from barloom.plans import evolve
-
-        return evolve.demonstrate(spark, name)
-
-    register(_name)(_ge)
-
-
-for _name in ("ge_islands", "ge_nsga_niched", "ge_cmaes"):
-
-    def _loop(spark, sf_dir, name=_name):
-        from barloom.plans import evolve
-        from barloom.sources.bars import event_bars
-
-        return evolve.search(spark, event_bars(spark, sf_dir), name)
-
-    register(_name)(_loop)

@@ -101,7 +101,7 @@ RULES = Rules("LONG", 3.0, 1.5, 0.0, COST)
 
 def cpcv_trades(spark, sf_dir):
     rows = splits.purged(splits.groups(signals(spark, sf_dir), 6), splits.combinations(spark, 6, 3), 4, 2).where("role = 'test'")
-    return BT.trades(BT.long_form(rows, ["s1"], F.col("split_id").cast("string")), {"s1": RULES})
+    return BT.trades(BT.bar_form(rows, ["s1"], F.col("split_id").cast("string")), {"s1": RULES})
 
 
 def cpcv_scores(spark, sf_dir):
@@ -156,7 +156,7 @@ def permuted(spark, sf_dir, rules):
     by = W.partitionBy("symbol", "iter")
     df = df.withColumn("place", F.row_number().over(by.orderBy(splits.hashed(21, F.col("iter").cast("string"), F.col("ts").cast("string")), "ts")))
     df = df.withColumn("sh", F.col("place") <= F.count(F.when(F.col("s1"), 1)).over(by))
-    t = BT.trades(BT.long_form(df, ["sh"], F.col("iter").cast("string")), {"sh": rules})
+    t = BT.trades(BT.bar_form(df, ["sh"], F.col("iter").cast("string")), {"sh": rules})
     return t.groupBy("symbol", F.col("window_id").cast("bigint").alias("iter")).agg(F.count("*").alias("n"), rnd(F.sum("pnl"), 5).alias("v"))
 
 
@@ -221,7 +221,7 @@ def st_wf_aggregate(spark, sf_dir):
 def st_wf_stability(spark, sf_dir):
     windows = splits.walk_forward(spark, 1704067200, 4, 864000, 86400, 432000, 432000)
     rows = splits.in_windows(signals(spark, sf_dir), windows).where("role = 'test'")
-    t = BT.trades(BT.long_form(rows, ["s1", "s2"], F.col("window_id").cast("string")), {"s1": RULES, "s2": Rules("SHORT", 3.0, 1.5, 0.0, COST)})
+    t = BT.trades(BT.bar_form(rows, ["s1", "s2"], F.col("window_id").cast("string")), {"s1": RULES, "s2": Rules("SHORT", 3.0, 1.5, 0.0, COST)})
     return t.groupBy("strategy_id", "window_id").agg(F.count("*").alias("n"), rnd(F.sum("pnl"), 5).alias("pnl"))
 
 

@@ -151,7 +151,7 @@ def test_empty_inputs(spark):
 
     empty = spark.createDataFrame([], BARS)
     assert add(empty, {"v": ("RSI", ("close", 5))}).count() == 0
-    rows = BT.long_form(with_signals(empty, {"s": parse("LONG WHEN ROC(3) _GT_ 0 EXIT SL=1")}, 3600, {"atr": ("ATR", (14,))}), ["s"])
+    rows = BT.bar_form(with_signals(empty, {"s": parse("LONG WHEN ROC(3) _GT_ 0 EXIT SL=1")}, 3600, {"atr": ("ATR", (14,))}), ["s"])
     assert BT.trades(rows, {"s": Rules()}).count() == 0
 
 
