@@ -9,7 +9,7 @@ on ``m`` pages with ``l`` presentations:
 * content: 1 less the mean of ``log n / log m`` over the texts that it holds itself, each on ``n`` pages.
 
 They are combined from the leaves up, ``(1 - G**l) * presentation + G**l * sum(p * mean importance below)``; what fewer
-than ``MIN_PAGES`` pages share is not judged and counts as important. A branch is removed from every page
+than ``MIN_PAGES`` pages share, or less than a hundredth of the host's, is not judged and counts as important. A branch is removed from every page
 
 * if its importance is below ``LOW``: what all pages say alike;
 * if it is a slot of the template: of constant form beside a *region*, a container of varying form that has most of
@@ -28,10 +28,12 @@ from __future__ import annotations
 import marshal
 import re
 import struct
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -40,7 +42,8 @@ from pyspark.sql import functions as F
 from barloom.llm.common import stash
 
 G = 0.9  # weight of what lies below against presentation
-MIN_PAGES, LOW = 3, 0.25  # a node is judged on at least so many pages; below this importance it goes
+MIN_PAGES, SHARE = 3, 0.01  # a node is judged on at least so many pages, and on this share of the host's
+LOW = 0.25  # below this importance a node goes
 REGION, SLOT = 0.5, 0.2  # share of the siblings' text that makes a region; a slot has less than this part of its text
 DEPTH = 64  # style nodes are told apart down to here; what is deeper is judged with its ancestor
 BROADCAST_NODES = 500_000  # nodes that are sent to every task; more are joined by host
@@ -323,11 +326,11 @@ def _with_host(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", url.alias("url"), F.coalesce(F.regexp_extract(F.lower(url), HOST, 1), F.lit("")).alias("host"), F.col("html").cast("string").alias("html"))
 
 
-PARSED = "url string, host string, mark binary, tree binary"
+PARSED = "url string, host string, mark binary, tree binary, row long"
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """``page_id, url, host, mark, tree``: every page's style nodes and blocks (serialized), and a hash of its html."""
+    """``page_id, url, host, mark, tree, row``: every page's style nodes and blocks (serialized), a hash of its html, and a number."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,10 +339,11 @@ def parse(pages: DataFrame) -> DataFrame:
                 html = html.as_py() or ""
                 marks.append(xxhash.xxh3_128_digest(html.encode()))
                 trees.append(marshal.dumps(Page(html).tree()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(marks, pa.binary()), pa.array(trees, pa.binary())], names=["page_id", "url", "host", "mark", "tree"])
+            columns = [*batch.columns[:3], pa.array(marks, pa.binary()), pa.array(trees, pa.binary()), batch.column(4)]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "mark", "tree", "row"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return _with_host(pages).mapInArrow(run, f"page_id {kind}, {PARSED}")
+    return _with_host(pages).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, f"page_id {kind}, {PARSED}")
 
 
 def _counted(schema: str, batches: Iterable[pa.RecordBatch], emit) -> Iterator[pa.RecordBatch]:
@@ -356,7 +360,7 @@ def _counted(schema: str, batches: Iterable[pa.RecordBatch], emit) -> Iterator[p
 
     for batch in batches:
         for row in zip(*batch.columns, strict=True):
-            for key, n in emit(*(x.as_py() for x in row)):
+            for key, n in emit(*row):
                 counts[key] += n
             if len(counts) > 100_000:
                 yield flush()
@@ -372,7 +376,8 @@ def structure(parsed: DataFrame) -> DataFrame:
     """``NODES``: on how many pages each style node, an element node in one presentation, is."""
 
     def emit(host, tree):
-        nodes, _ = marshal.loads(tree)
+        nodes, _ = marshal.loads(tree.as_py())
+        host = host.as_py()
         for parent, depth, node, shape, leaf, kept in nodes:
             above = nodes[parent] if parent >= 0 else (0, 0, 0, 0)
             yield (host, node, shape, above[2], above[3], depth, leaf, kept), 1
@@ -381,15 +386,56 @@ def structure(parsed: DataFrame) -> DataFrame:
     return rows.groupBy(*[x.split()[0] for x in NODES.split(", ")][:-1]).agg(F.sum("n").alias("n"))
 
 
-def contents(parsed: DataFrame, shared: DataFrame) -> DataFrame:
+class _Nodes:
+    """A set of nodes for each host. A bounded number of nodes goes to every task; more are joined by host, where large hosts can be split."""
+
+    def __init__(self, nodes: DataFrame):
+        spark = nodes.sparkSession
+        self.name = uuid.uuid4().hex
+        self.table = stash(nodes.groupBy("host").agg(F.collect_list("node").alias("ids")), "hosts")
+        self.shared = None
+        if self.table.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0] <= BROADCAST_NODES:
+            self.shared = spark.sparkContext.broadcast({r["host"]: np.array(r["ids"], np.int64) for r in self.table.collect()})
+
+    def attach(self, rows: DataFrame) -> DataFrame:
+        if self.shared is not None:
+            return rows.withColumn("ids", F.lit(None).cast("array<bigint>"))
+        return rows.join(self.table, "host", "left")
+
+    def reader(self):
+        """A function of a host and its ``ids`` (an Arrow scalar) that gives the host's set; for use in tasks."""
+        shared, name = self.shared, self.name
+
+        def of(host: str, ids) -> frozenset[int]:
+            known = _SETS.setdefault(name, {})
+            if len(_SETS) > 1:  # sets of an earlier step
+                for other in [k for k in _SETS if k != name]:
+                    del _SETS[other]
+            found = known.get(host)
+            if found is None:
+                if len(known) > 10_000:
+                    known.clear()
+                found = known[host] = frozenset(shared.value.get(host, _NONE).tolist() if shared is not None else ids.as_py() or ())
+            return found
+
+        return of
+
+
+_SETS: dict[str, dict[str, frozenset[int]]] = {}  # one a Python worker
+_NONE = np.empty(0, np.int64)
+
+
+def contents(parsed: DataFrame, shared: _Nodes) -> DataFrame:
     """``TEXTS``: on how many pages each text of a judged node is (``feature``), and the characters of unjudged nodes below it (feature null).
 
-    ``shared`` has ``host, ids``: the judged nodes.
+    ``shared`` holds the judged nodes.
     """
+    judged_of = shared.reader()
 
     def emit(host, tree, ids):
-        nodes, blocks = marshal.loads(tree)
-        judged = frozenset(ids or ())
+        nodes, blocks = marshal.loads(tree.as_py())
+        host = host.as_py()
+        judged = judged_of(host, ids)
         home = []  # the nearest judged node above, by number
         for parent, _, node, *_ in nodes:
             home.append(node if node in judged else (home[parent] if parent >= 0 else 0))
@@ -402,8 +448,7 @@ def contents(parsed: DataFrame, shared: DataFrame) -> DataFrame:
         for key in seen:
             yield key, 1
 
-    joined = parsed.join(shared, "host", "left").select("host", "tree", "ids")
-    rows = joined.mapInArrow(lambda b: _counted(TEXTS, b, emit), TEXTS)
+    rows = shared.attach(parsed.select("host", "tree")).select("host", "tree", "ids").mapInArrow(lambda b: _counted(TEXTS, b, emit), TEXTS)
     return rows.groupBy("host", "node", "feature", "chars").agg(F.sum("n").alias("n"))
 
 
@@ -453,29 +498,29 @@ def low_nodes(judged: DataFrame, low: float = LOW) -> DataFrame:
     return few.unionByName(slots).distinct()
 
 
-def style_verdicts(parsed: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
-    """``host, ids``: the nodes to remove from each host's pages; ``parsed`` as :func:`parse` gives it, stashed."""
-    once = parsed.dropDuplicates(["host", "mark"])
+def _once(parsed: DataFrame) -> DataFrame:
+    """One row of those with equal host and html: the copies' keys are joined to the rows, trees aren't moved."""
+    copies = parsed.groupBy("host", "mark").agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1").select("host", "mark", "first")
+    copies = stash(copies, "copies")
+    marked = parsed.join(F.broadcast(copies) if copies.count() <= BROADCAST_NODES else copies, ["host", "mark"], "left")
+    return marked.where(F.col("first").isNull() | (F.col("first") == F.col("row"))).drop("first")
+
+
+def style_verdicts(parsed: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> _Nodes:
+    """The nodes to remove from each host's pages; ``parsed`` as :func:`parse` gives it, stashed."""
+    once = _once(parsed)
     styles = stash(structure(once), "structure")
     entropy = F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")
     shape = F.when(F.count("*") > 1, entropy / F.log(F.count("*"))).otherwise(0.0)
     keys = ["host", "node", "parent", "parent_shape", "depth", "kept"]
     nodes = styles.groupBy(*keys).agg(F.sum("n").alias("m"), F.count("*").alias("l"), shape.alias("presentation"), F.min("leaf").alias("leaf"))
-    nodes = stash(nodes.where(F.col("m") >= min_pages), "judged")
-    shapes = styles.join(nodes.select("host", "node"), ["host", "node"], "left_semi").select("host", "node", "shape", "n")
-    shapes = stash(shapes, "shapes")
-    texts = stash(contents(once, _by_host(nodes)), "texts")
+    sizes = styles.where("depth = 0").groupBy("host").agg(F.sum("n").alias("pages"))  # every page has one root
+    nodes = nodes.where(F.col("m") >= min_pages).join(sizes, "host").where(F.col("m") >= F.col("pages") * SHARE).drop("pages")
+    nodes = stash(nodes, "judged")
+    shapes = stash(styles.join(nodes.select("host", "node"), ["host", "node"], "left_semi").select("host", "node", "shape", "n"), "shapes")
+    texts = stash(contents(once, _Nodes(nodes)), "texts")
     judged = importance(nodes, shapes, texts)
-    if judged is None:
-        return _by_host(nodes)
-    return _by_host(stash(low_nodes(judged, low), "low"))
-
-
-def _by_host(nodes: DataFrame) -> DataFrame:
-    """``host, ids``; a bounded list goes to every task, a longer one is joined by host, where large hosts can be split."""
-    ids = stash(nodes.groupBy("host").agg(F.collect_list("node").alias("ids")), "hosts")
-    size = ids.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
-    return F.broadcast(ids) if size <= BROADCAST_NODES else ids
+    return _Nodes(nodes.where("false") if judged is None else stash(low_nodes(judged, low), "low"))
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW, markup: bool = True) -> DataFrame:
@@ -486,14 +531,15 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW, mark
     """
     parsed = stash(parse(pages), "parsed", "zstd")
     gone = style_verdicts(parsed, min_pages, low)
+    low_of = gone.reader()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(*marshal.loads(t.as_py()), frozenset(g.as_py() or ()), markup) for t, g in zip(batch.column(2), batch.column(3), strict=True)]
+            texts = [main_text(*marshal.loads(t.as_py()), low_of(h.as_py(), g), markup) for h, t, g in zip(*batch.columns[2:5], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
 
-    joined = parsed.join(gone, "host", "left").select("page_id", "url", "tree", "ids")
+    joined = gone.attach(parsed.select("page_id", "url", "host", "tree")).select("page_id", "url", "host", "tree", "ids")
     kind = pages.schema["page_id"].dataType.simpleString()
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
