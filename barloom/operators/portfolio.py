@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barloom.operators import metrics as M
+
 MEMBERS = 500  # members whose covariance the driver optimises at most
 
 
@@ -35,34 +41,61 @@ def weighted(rows: DataFrame, weights: DataFrame) -> DataFrame:
     return rows.join(weights, "symbol").groupBy("ts").agg((F.round(F.sum(F.col("w") * F.coalesce("r", F.lit(0.0))), 8) + F.lit(0.0)).alias("v"))
 
 
-def quality(rows: DataFrame, least: float) -> DataFrame:
-    r = F.col("r")
-    out = rows.groupBy("symbol").agg(F.sum(F.when(r > 0, r).otherwise(0.0)).alias("g"), F.sum(F.when(r < 0, -r).otherwise(0.0)).alias("l"))
-    return out.where(F.col("g") > least * F.col("l")).select("symbol")
+def quality(strategies: DataFrame, growth: float, factor: float) -> DataFrame:
+    """The keys of strategies that grow by more than ``growth`` a year with a profit factor above ``factor``."""
+    return strategies.where((F.col("cagr") > growth) & (F.col("profit_factor") > factor)).select("symbol", "week")
+
+
+def balanced(strategies: DataFrame, n: int) -> DataFrame:
+    """The ``n`` strategies of greatest growth of each direction."""
+    place = F.row_number().over(W.partitionBy("direction").orderBy(F.desc(F.round("cagr", 9)), "symbol", "week"))
+    return strategies.withColumn("_k", place).where(F.col("_k") <= n).select("direction", "symbol", "week")
+
 
+COMBINATIONS = 50_000  # of members that are tried at most
 
-def pairs_scored(rows: DataFrame) -> DataFrame:
-    """``a, b, s``: every pair of members with the mean over deviation of its equal mix. Pairs of members, not of rows."""
-    names = rows.select("symbol").distinct()
-    combos = names.select(F.col("symbol").alias("a")).join(names.select(F.col("symbol").alias("b")), F.expr("a < b"))
-    member = combos.withColumn("symbol", F.explode(F.array("a", "b")))
-    mixed = rows.join(F.broadcast(member), "symbol").groupBy("a", "b", "ts").agg(F.avg(F.coalesce("r", F.lit(0.0))).alias("v"))
-    return mixed.groupBy("a", "b").agg((F.avg("v") / F.stddev_samp("v")).alias("s"))
+
+def exhaustive(rows: DataFrame, periods: float, largest: int = 8, worst: float = -0.15) -> DataFrame:
+    """``members, sortino, max_dd, allowed``: every combination of 2 to ``largest`` members, equally weighted, and whether its
+    drawdown stays above ``worst``; the number of combinations is checked first."""
+    n = rows.select("symbol").distinct().count()
+    if sum(math.comb(n, k) for k in range(2, min(largest, n) + 1)) > COMBINATIONS:
+        raise ValueError(f"{n} members have more than {COMBINATIONS} combinations: choose among them first")
+    names = rows.select("symbol").distinct().withColumn("k", F.row_number().over(W.orderBy("symbol")) - 1)  # one row a member
+    combos = rows.sparkSession.range(1 << n).where(F.bit_count("id").between(2, largest))
+    member = combos.join(F.broadcast(names), F.expr("(shiftright(id, k) & 1) = 1")).select("id", "symbol")
+    mixed = rows.join(F.broadcast(member), "symbol").groupBy("id", "ts").agg(F.avg(F.coalesce("r", F.lit(0.0))).alias("r"))
+    w = W.partitionBy("id").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
+    path = mixed.withColumn("eq", F.exp(F.sum(F.log(1 + F.col("r"))).over(w)))
+    path = path.withColumn("dd", F.col("eq") / F.max("eq").over(w) - 1)
+    scored = path.groupBy("id").agg(M.sortino_rms(periods).alias("sortino"), F.min("dd").alias("max_dd"))
+    said = member.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("symbol")), ",").alias("members"))
+    return scored.join(said, "id").select("members", "sortino", "max_dd", (F.col("max_dd") > worst).alias("allowed"))
 
 
 def _moments(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Member names, means and covariances over shared times: a matrix of members, checked to be small."""
-    filled = rows.select("symbol", "ts", F.coalesce("r", F.lit(0.0)).alias("r"))
-    mean = {x["symbol"]: x["m"] for x in filled.groupBy("symbol").agg(F.avg("r").alias("m")).limit(MEMBERS + 1).collect()}
-    if len(mean) > MEMBERS:
+    """Member names, means and covariances over shared times. The number of members is checked first; each time is one row of
+    an array of members, and products are summed by member pair within partitions, so no join by time is made."""
+    names = sorted(x["symbol"] for x in rows.select("symbol").distinct().limit(MEMBERS + 1).collect())
+    if len(names) > MEMBERS:
         raise ValueError(f"more than {MEMBERS} members: choose among them first")
-    names = sorted(mean)
-    a, b = filled.select(F.col("symbol").alias("a"), "ts", F.col("r").alias("x")), filled.select(F.col("symbol").alias("b"), "ts", F.col("r").alias("y"))
-    cov = np.zeros((len(names), len(names)))
-    for row in a.join(b, "ts").where("a <= b").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("c")).collect():
-        i, j = names.index(row["a"]), names.index(row["b"])
-        cov[i, j] = cov[j, i] = row["c"] or 0.0
-    return names, np.array([mean[n] for n in names]), cov
+    n = len(names)
+    wide = rows.groupBy("ts").pivot("symbol", names).agg(F.first("r")).select(*[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).cast("double").alias(f"m{k}") for k, c in enumerate(names)])
+
+    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram, total, count = np.zeros((n, n)), np.zeros(n), 0
+        for batch in batches:
+            x = np.column_stack([c.to_numpy() for c in batch.columns]) if n else np.zeros((batch.num_rows, 0))
+            gram, total, count = gram + x.T @ x, total + x.sum(axis=0), count + len(x)
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate((gram.ravel(), total, [float(count)])).tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    parts = wide.mapInArrow(sums, "sums array<double>").select(F.posexplode("sums").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v"))
+    found = np.zeros(n * n + n + 1)
+    for r in parts.collect():  # members squared
+        found[r["k"]] = r["v"]
+    gram, total, count = found[: n * n].reshape(n, n), found[n * n : -1], max(found[-1], 2.0)
+    mean = total / count
+    return names, mean, (gram - count * np.outer(mean, mean)) / (count - 1)
 
 
 def _simplex(w: np.ndarray) -> np.ndarray:
@@ -120,15 +153,25 @@ def soft_fitness() -> Column:
 
 
 def tuning(windows: DataFrame) -> DataFrame:
-    """Each window against the one before: ``status`` and whether to ``revert``."""
+    """Each window against the one before: ``status``."""
     before = F.lag("composite", 1).over(W.partitionBy("strategy_id").orderBy("window_id"))
     out = windows.withColumn("before", before).where("before is not null").withColumn("d", F.col("composite") - F.col("before"))
     status = F.when(F.col("d") > 0.001, "BETTER").when(F.col("d") < -0.001, "WORSE").otherwise("SAME")
-    return out.withColumn("status", status).withColumn("revert", (F.col("d") < -0.1) | ((F.col("before") > 0) & (F.col("composite") <= 0)))
+    return out.withColumn("status", status)
+
+
+def reverts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``strategy_id, pbo, revert`` from ``strategy_id, pbo, cpcv, passed`` of an original and its tuned strategy."""
+    a = before.select("strategy_id", F.col("pbo").alias("pbo0"), F.col("cpcv").alias("cpcv0"), F.col("passed").alias("passed0"))
+    b = after.select("strategy_id", "pbo", "cpcv", "passed")
+    worse = (F.col("pbo") > F.col("pbo0") + 0.15) | (F.col("cpcv") < F.col("cpcv0") - 0.1) | (F.col("passed0") & ~F.col("passed"))
+    return a.join(b, "strategy_id").select("strategy_id", "pbo", worse.alias("revert"))
 
 
-def managed(population: DataFrame, key: list[str], quota: list[str], k: int) -> DataFrame:
-    """The best of each key, then the best ``k`` of each quota group."""
-    best = F.row_number().over(W.partitionBy(*key).orderBy(F.desc("fitness"), "id"))
-    place = F.row_number().over(W.partitionBy(*quota).orderBy(F.desc("fitness"), "id"))
-    return population.withColumn("_d", best).where("_d = 1").withColumn("_r", place).where(F.col("_r") <= k).drop("_d", "_r")
+def managed(population: DataFrame, group: list[str], same: list[str], quota: str, size: int, share: float) -> DataFrame:
+    """Adds ``chosen, place`` to the members that stay: of equal ones (``same``) the best, ``share`` of the places for the best of each
+    ``quota`` group, the places left for the best of the rest."""
+    order = [F.desc("fitness"), F.col("id")]
+    one = population.withColumn("_d", F.row_number().over(W.partitionBy(*group, *same).orderBy(*order))).where("_d = 1").drop("_d")
+    one = one.withColumn("chosen", F.row_number().over(W.partitionBy(*group, quota).orderBy(*order)) <= int(size * share))
+    return one.withColumn("place", F.row_number().over(W.partitionBy(*group).orderBy(F.desc("chosen"), *order))).where(F.col("place") <= size)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,10 +82,15 @@ def tournament(df: DataFrame, rounds: int, k: int, order: list[str], seed: int)
     return won.select("round", F.col("b.id").alias("id"))
 
 
+def shuffled_names(names: list[str], seed: int) -> list[str]:
+    """Names in an order drawn by the seed."""
+    return sorted(names, key=lambda n: hashlib.md5(f"{seed}:{n}".encode()).hexdigest())  # noqa: S324
+
+
 def lexicase(df: DataFrame, criteria: list[str]) -> DataFrame:
     """Rows that survive the criteria in turn: each keeps rows at or above the upper median of those left."""
     for c in criteria:
-        cut = df.agg(F.expr(f"get(sort_array(collect_list({c})), count({c}) div 2)").alias("_cut"))  # a population's values
+        cut = df.agg(F.expr(f"percentile_disc(0.5) within group (order by {c} desc)").alias("_cut"))  # the upper median; one row
         df = df.crossJoin(F.broadcast(cut)).where(F.col(c) >= F.col("_cut")).drop("_cut")
     return df
 
@@ -93,7 +100,9 @@ def greedy_decorrelated(ranked: DataFrame, corr: DataFrame, limit: float, k: int
     rows = [(r["id"], r["fitness"]) for r in ranked.orderBy(F.desc("fitness"), "id").limit(CANDIDATES + 1).collect()]
     if len(rows) > CANDIDATES:
         raise ValueError(f"more than {CANDIDATES} candidates: filter them first")
-    near = {frozenset((r["a"], r["b"])) for r in corr.where(F.abs("corr") >= limit).collect()}
+    ids = F.broadcast(ranked.sparkSession.createDataFrame([(i,) for i, _ in rows], f"id {ranked.schema['id'].dataType.simpleString()}"))
+    close = corr.where(F.abs("corr") >= limit).join(ids, F.col("a") == F.col("id"), "left_semi").join(ids, F.col("b") == F.col("id"), "left_semi")
+    near = {frozenset((r["a"], r["b"])) for r in close.select("a", "b").collect()}  # pairs of candidates only
     kept: list = []
     for i, _ in rows:
         if len(kept) < k and not any(frozenset((i, j)) in near for j in kept):

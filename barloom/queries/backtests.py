@@ -25,8 +25,8 @@ SIGNAL = S.staged(
 )
 
 
-def machine(signal: str, rules: Rules, source: str = "z") -> str:
-    """CTEs ``r`` (the state after each bar) and ``t`` (trades) of the position machine over ``source``."""
+def machine(signal: str, rules: Rules, source: str = "z", tag: str = "") -> str:
+    """CTEs ``r`` (the state after each bar) and ``t`` (trades) of the position machine over ``source``; ``tag`` is put behind their names."""
     s = 1 if rules.direction == "LONG" else -1
     bad, good = ("low", "high") if s > 0 else ("high", "low")
     better = "greatest" if s > 0 else "least"
@@ -37,8 +37,9 @@ def machine(signal: str, rules: Rules, source: str = "z") -> str:
     stop = f"{s}*(b.{bad} - y.stop2) <= 0"
     first = f"WHEN {target} THEN 'target' WHEN {stop} THEN" if rules.target_first else f"WHEN {stop} THEN"
     go = f"b.{signal} AND coalesce(b.atr > 0, false)"
+    state, last, out = f"r{tag}", f"last_bar{tag}", f"t{tag}"
     return f"""
-r AS (
+{state} AS (
   SELECT symbol, n, {signal} AND coalesce(atr > 0, false) AS held, close*{enter} AS entry, close*{enter} - {s}*{sl}*atr AS stop, close*{enter} + {s}*{tp}*atr AS target, {tp} AS tp,
     close*{enter} AS best, atr AS size, n AS since, false AS moved, 100.0::DOUBLE AS eq, NULL::VARCHAR AS kind, NULL::DOUBLE AS pnl, NULL::DOUBLE AS px, 0::BIGINT AS t_entry, 0.0::DOUBLE AS t_price
   FROM {source} WHERE n = 1
@@ -53,19 +54,19 @@ r AS (
     CASE WHEN p.held THEN y.moved2 ELSE false END,
     CASE WHEN w.kind IS NULL THEN p.eq ELSE p.eq*(1 + {s}*(v.raw*{leave} - p.entry)/p.entry) END,
     w.kind, CASE WHEN w.kind IS NOT NULL THEN {s}*(v.raw*{leave} - p.entry)/p.entry END, CASE WHEN w.kind IS NOT NULL THEN v.raw*{leave} END, p.since, p.entry
-  FROM r p JOIN {source} b ON b.symbol = p.symbol AND b.n = p.n + 1,
+  FROM {state} p JOIN {source} b ON b.symbol = p.symbol AND b.n = p.n + 1,
   LATERAL (SELECT {better}(p.best, b.{good}) AS best2) x,
   LATERAL (SELECT CASE WHEN {trail} > 0 AND {s}*((x.best2 - {s}*{trail}*p.size) - p.stop) > 0 THEN x.best2 - {s}*{trail}*p.size ELSE p.stop END AS stop2,
     p.moved OR ({trail} > 0 AND {s}*((x.best2 - {s}*{trail}*p.size) - p.stop) > 0) AS moved2) y,
   LATERAL (SELECT CASE WHEN NOT p.held THEN NULL {first} (CASE WHEN {trail} > 0 AND y.moved2 THEN 'trail' ELSE 'stop' END) {'' if rules.target_first else f"WHEN {target} THEN 'target'"} WHEN b.n - p.since >= {rules.hold} THEN 'time' END AS kind) w,
   LATERAL (SELECT CASE w.kind WHEN 'target' THEN p.target WHEN 'time' THEN b.close ELSE y.stop2 END AS raw) v
 ),
-last_bar AS (SELECT symbol, max(n) AS n FROM {source} GROUP BY 1),
-t AS (
-  SELECT symbol, t_entry - 1 AS entry_bar, n - 1 AS exit_bar, kind, pnl, t_price AS entry_price, px AS exit_price FROM r WHERE kind IS NOT NULL
+{last} AS (SELECT symbol, max(n) AS n FROM {source} GROUP BY 1),
+{out} AS (
+  SELECT symbol, t_entry - 1 AS entry_bar, n - 1 AS exit_bar, kind, pnl, t_price AS entry_price, px AS exit_price FROM {state} WHERE kind IS NOT NULL
   UNION ALL
-  SELECT r.symbol, since - 1, r.n - 1, 'eod', {s}*(b.close*{leave} - entry)/entry, entry, b.close*{leave}
-  FROM r JOIN last_bar USING (symbol, n) JOIN {source} b ON b.symbol = r.symbol AND b.n = r.n WHERE held
+  SELECT {state}.symbol, since - 1, {state}.n - 1, 'eod', {s}*(b.close*{leave} - entry)/entry, entry, b.close*{leave}
+  FROM {state} JOIN {last} USING (symbol, n) JOIN {source} b ON b.symbol = {state}.symbol AND b.n = {state}.n WHERE held
 )"""
 
 

@@ -6,11 +6,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.indicators import order
+from barloom.operators import backtest as BT
+from barloom.operators import distributions as D
 from barloom.operators import metrics as M
 from barloom.operators import portfolio as P
 from barloom.queries import register
 from barloom.queries import sql as S
-from barloom.queries.backtests import _TRADES, base_trades, recursive
+from barloom.queries.backtests import COST, SIGNAL, _TRADES, base_trades, machine, recursive, signals
+from barloom.operators.kernel import Rules
+from barloom.plans import explain as E
 from barloom.queries.indicators import rnd
 from barloom.sources import bars as B
 
@@ -209,14 +213,28 @@ def fit_v1(spark, sf_dir):
     return weeks(spark, sf_dir).select("strategy_id", "window_id", rnd(P.fitness_v1()).alias("fitness"))
 
 
-@register("fit_v1_bidir", q(f"SELECT strategy_id, window_id, CASE WHEN sortino >= 0 THEN 'LONG' ELSE 'SHORT' END AS direction, {S.rnd('abs(sortino)')} AS fitness FROM wk", RET, WEEK))
+_LONG, _SHORT = Rules("LONG", 3.0, 1.5, 0.0, COST), Rules("SHORT", 3.0, 1.5, 0.0, COST)
+_SIDES = """td AS (SELECT 'LONG' AS direction, * FROM tl UNION ALL SELECT 'SHORT', * FROM ts),
+te AS (SELECT *, exp(sum(ln(1 + pnl)) OVER (PARTITION BY symbol, direction ORDER BY exit_bar)) AS eq FROM td),
+tp AS (SELECT *, eq/greatest(max(eq) OVER (PARTITION BY symbol, direction ORDER BY exit_bar), 1.0) - 1 AS dd FROM te),
+tf AS (SELECT symbol, direction, count(*) AS n_trades, avg(pnl)/nullif(stddev_samp(pnl), 0)*10 AS sortino, 100*(arg_max(eq, exit_bar) - 1) AS return_pct, min(dd) AS max_dd, avg((pnl > 0)::INT::DOUBLE) AS win_rate FROM tp GROUP BY 1, 2),
+fd AS (SELECT *, coalesce(CASE WHEN n_trades < 20 THEN -999.0 ELSE """ + _V1 + """ END, -999.0) AS fitness FROM tf)"""
+
+
+@register("fit_v1_bidir", recursive(S.BARS, SIGNAL, machine("sig", _LONG, "z", "l"), machine("sig", _SHORT, "z", "s"), _SIDES, select=f"SELECT symbol, direction, n_trades, {S.rnd('fitness')} AS fitness FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(fitness, 9) DESC, direction) AS k FROM fd) WHERE k = 1"))
 def fit_v1_bidir(spark, sf_dir):
-    w = weeks(spark, sf_dir)
-    both = w.select("strategy_id", "window_id", F.lit("LONG").alias("direction"), F.col("sortino").alias("fitness"), F.lit(1).alias("first")).unionByName(
-        w.select("strategy_id", "window_id", F.lit("SHORT").alias("direction"), (-F.col("sortino")).alias("fitness"), F.lit(0).alias("first"))
-    )
-    best = both.groupBy("strategy_id", "window_id").agg(F.max(F.struct("fitness", "first", "direction")).alias("b"))
-    return best.select("strategy_id", "window_id", "b.direction", rnd("b.fitness").alias("fitness"))
+    """The signal back-tested as a long and as a short entry; the better fitness, the long one on a tie."""
+    rows = BT.bar_form(signals(spark, sf_dir).withColumn("LONG", F.col("s1")).withColumn("SHORT", F.col("s1")), ["LONG", "SHORT"])
+    t = BT.trades(rows, {"LONG": _LONG, "SHORT": _SHORT}).withColumnRenamed("strategy_id", "direction")
+    w = W.partitionBy("symbol", "direction").orderBy("exit_bar").rowsBetween(W.unboundedPreceding, 0)
+    t = t.withColumn("eq", F.exp(F.sum(F.log(1 + F.col("pnl"))).over(w)))
+    t = t.withColumn("dd", F.col("eq") / F.greatest(F.max("eq").over(w), F.lit(1.0)) - 1)
+    each = t.groupBy("symbol", "direction").agg(
+        F.count("*").alias("n_trades"), (F.avg("pnl") / F.nullif(F.stddev_samp("pnl"), F.lit(0.0)) * 10).alias("sortino"), (100 * (F.max_by("eq", "exit_bar") - 1)).alias("return_pct"),
+        F.min("dd").alias("max_dd"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"),
+    ).withColumn("fitness", F.coalesce(P.fitness_v1(), F.lit(-999.0)))
+    best = F.row_number().over(W.partitionBy("symbol").orderBy(F.desc(F.round("fitness", 9)), "direction"))
+    return each.withColumn("k", best).where("k = 1").select("symbol", "direction", "n_trades", rnd("fitness").alias("fitness"))
 
 
 @register("fit_soft", q(f"SELECT strategy_id, window_id, {S.rnd('composite - 2*greatest(abs(max_dd) - 0.1, 0.0) - 0.05*greatest(30 - n_trades, 0)')} AS fitness FROM wc", RET, WEEK))
@@ -247,11 +265,14 @@ def rep_moments(spark, sf_dir):
     return out.select("symbol", rnd("mean", 8).alias("mean"), rnd("sd", 8).alias("sd"), rnd("skew").alias("skew"), rnd("kurt").alias("kurt"))
 
 
-@register("rep_qq", q("SELECT symbol, i, round(r, 8) + 0.0 AS observed, round((i - 0.5)/n, 8) AS p FROM (SELECT symbol, r, ts, row_number() OVER (PARTITION BY symbol ORDER BY r, ts) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM z WHERE r IS NOT NULL)", RET))
+@register("rep_qq", q(f"SELECT symbol, i, round(r, 8) + 0.0 AS observed, round(m + sd*({D.normal_quantile_sql('p')}), 7) + 0.0 AS expected FROM (SELECT *, (i - 0.5)/n AS p FROM (SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY r, ts) AS i, count(*) OVER (PARTITION BY symbol) AS n, avg(r) OVER (PARTITION BY symbol) AS m, stddev_samp(r) OVER (PARTITION BY symbol) AS sd FROM z WHERE r IS NOT NULL))", RET))
 def rep_qq(spark, sf_dir):
+    """Ordered returns beside the quantiles of a normal distribution of their mean and deviation."""
+    by = W.partitionBy("symbol")
     df = M.returns(curve(spark, sf_dir), ["symbol"]).where("r is not null")
-    df = df.withColumn("i", F.row_number().over(W.partitionBy("symbol").orderBy("r", "ts")).cast("bigint")).withColumn("n", F.count("*").over(W.partitionBy("symbol")))
-    return df.select("symbol", "i", rnd("r", 8).alias("observed"), F.round((F.col("i") - 0.5) / F.col("n"), 8).alias("p"))
+    df = df.select("symbol", "r", F.row_number().over(by.orderBy("r", "ts")).cast("bigint").alias("i"), F.count("*").over(by).alias("n"), F.avg("r").over(by).alias("m"), F.stddev_samp("r").over(by).alias("sd"))
+    z = D.normal_quantile((F.col("i") - 0.5) / F.col("n"))
+    return df.select("symbol", "i", rnd("r", 8).alias("observed"), rnd(F.col("m") + F.col("sd") * z, 7).alias("expected"))
 
 
 @register("rep_compare", q(f"SELECT f.symbol, {S.rnd('100*(f.total_return - m.v)')} AS diff_pp FROM f, (SELECT avg(total_return) AS v FROM f) m", RET, _AGG))
@@ -275,9 +296,21 @@ def rep_tuning_status(spark, sf_dir):
     return P.tuning(weeks(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@register("rep_tuning_revert", q("SELECT strategy_id, window_id, composite - before < -0.1 OR (before > 0 AND composite <= 0) AS revert FROM wp WHERE before IS NOT NULL", RET, WEEK, _PREV))
+_HALVES = """hv AS (SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY window_id)*2 > count(*) OVER (PARTITION BY strategy_id) AS late FROM wc),
+vd AS (SELECT strategy_id, late, avg((coalesce(sortino, 0) <= 0)::INT::DOUBLE) AS pbo, avg(coalesce(sortino, 0)) AS cpcv FROM hv GROUP BY 1, 2),
+vp AS (SELECT *, pbo < 0.5 AND cpcv > 0 AS pass FROM vd)"""
+
+
+@register("rep_tuning_revert", q("SELECT a.strategy_id, round(b.pbo, 6) AS pbo, b.pbo > a.pbo + 0.15 OR b.cpcv < a.cpcv - 0.1 OR (a.pass AND NOT b.pass) AS revert FROM vp a JOIN vp b USING (strategy_id) WHERE NOT a.late AND b.late", RET, WEEK, _HALVES))
 def rep_tuning_revert(spark, sf_dir):
-    return P.tuning(weeks(spark, sf_dir)).select("strategy_id", "window_id", "revert")
+    """A tuned strategy goes back if its overfitting probability rises by 0.15, its score falls by 0.1, or it no longer passes; the
+    windows' first half stands for the original, the second for the tuned one."""
+    by = W.partitionBy("strategy_id")
+    late = F.row_number().over(by.orderBy("window_id")) * 2 > F.count("*").over(by)
+    s = F.coalesce("sortino", F.lit(0.0))
+    v = weeks(spark, sf_dir).withColumn("late", late).groupBy("strategy_id", "late").agg(F.avg((s <= 0).cast("double")).alias("pbo"), F.avg(s).alias("cpcv"))
+    v = v.withColumn("passed", (F.col("pbo") < 0.5) & (F.col("cpcv") > 0))
+    return P.reverts(v.where("not late"), v.where("late")).select("strategy_id", F.round("pbo", 6).alias("pbo"), "revert")
 
 
 @register("rep_ots_summary", q("SELECT count(*) AS n, count(*) FILTER (WHERE return_pct > 0) AS positive, count(*) FILTER (WHERE return_pct > 0 AND abs(max_dd) < 0.3 AND n_trades >= 5) AS passed, round(min(return_pct), 6) AS lo, round(max(return_pct), 6) AS hi, round(avg(return_pct), 6) AS mean, round(median(return_pct), 6) AS med FROM wk", RET, WEEK))
@@ -292,10 +325,18 @@ def rep_multi_asset(spark, sf_dir):
     return weeks(spark, sf_dir).groupBy("strategy_id").agg(F.count("*").alias("windows"), F.sum("n_trades").alias("trades"), F.max_by("window_id", "composite").alias("best"))
 
 
-@register("rep_top_per_direction", S.query(GEN, select="SELECT g, module, id FROM (SELECT *, row_number() OVER (PARTITION BY g, module ORDER BY fitness DESC, id) AS rn FROM gen WHERE module IN ('click', 'view')) WHERE rn <= 5"))
+_DIRECTION = "CASE WHEN user_id % 2 = 0 THEN 'LONG' ELSE 'SHORT' END"
+
+
+def direction():
+    return F.when(F.pmod("user_id", F.lit(2)) == 0, "LONG").otherwise("SHORT")
+
+
+@register("rep_top_per_direction", S.query(GEN, select=f"SELECT g, direction, rn AS place, id FROM (SELECT *, row_number() OVER (PARTITION BY g, direction ORDER BY fitness DESC, id) AS rn FROM (SELECT *, {_DIRECTION} AS direction FROM gen WHERE fitness > 0)) WHERE rn <= 5"))
 def rep_top_per_direction(spark, sf_dir):
-    rn = F.row_number().over(W.partitionBy("g", "module").orderBy(F.desc("fitness"), "id"))
-    return generations(spark, sf_dir).where(F.col("module").isin("click", "view")).withColumn("rn", rn).where("rn <= 5").select("g", "module", "id")
+    rn = F.row_number().over(W.partitionBy("g", "direction").orderBy(F.desc("fitness"), "id"))
+    valid = generations(spark, sf_dir).where("fitness > 0").withColumn("direction", direction())
+    return valid.withColumn("place", rn.cast("bigint")).where("place <= 5").select("g", "direction", "place", "id")
 
 
 @register("rep_first_last", S.query(GEN, _BEST, select="SELECT arg_min(m, g) AS first, arg_max(m, g) AS last, round(100*(arg_max(m, g) - arg_min(m, g))/nullif(abs(arg_min(m, g)), 0), 6) + 0.0 AS pct FROM best"))
@@ -304,14 +345,37 @@ def rep_first_last(spark, sf_dir):
     return best.select("first", "last", rnd(100 * (F.col("last") - F.col("first")) / F.nullif(F.abs("first"), F.lit(0.0))).alias("pct"))
 
 
-@register("rep_format", "SELECT o_orderkey, replace(replace(o_orderpriority, '&', '\\&'), '-', '\\-') AS tex, printf('%.2f', o_totalprice) AS price FROM orders")
+_SHOWN = [*FIG, *DERIVED]
+
+
+def _latex_sql(text: str) -> str:
+    for char, escaped in E.LATEX:
+        text = f"replace({text}, '{char}', '{escaped}')"
+    return text
+
+
+@register("rep_format", q(
+    "SELECT symbol, name, " + _latex_sql("symbol || ' & ' || name") + " AS latex, CASE WHEN name IN ('cagr', 'total_return', 'max_dd') THEN printf('%.2f%%', value*100) WHEN name IN ('profit_factor', 'win_rate') THEN printf('%.2f', value) ELSE printf('%.4f', value) END AS shown "
+    "FROM (" + " UNION ALL ".join(f"SELECT symbol, '{c}' AS name, {DERIVED.get(c, c)} AS value FROM f" for c in _SHOWN) + ")", RET, _AGG))
 def rep_format(spark, sf_dir):
-    return B.table(spark, sf_dir, "orders").select("o_orderkey", F.replace(F.replace("o_orderpriority", F.lit("&"), F.lit("\\&")), F.lit("-"), F.lit("\\-")).alias("tex"), F.format_string("%.2f", "o_totalprice").alias("price"))
+    """Each figure as reports show it, and its name escaped for a LaTeX table."""
+    df = M.bundle(curve(spark, sf_dir), ["symbol"], YEAR)
+    df = df.select("symbol", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in _SHOWN])).alias("x")).select("symbol", "x.*")
+    return df.select("symbol", "name", E.latex(F.concat_ws(" & ", "symbol", "name")).alias("latex"), E.figure(F.col("name"), F.col("value")).alias("shown"))
+
 
+_POPULATION = f"""ch AS (SELECT g, user_id AS id, list_sort(list_distinct(list(module))) AS modules, max(fitness) AS fitness, {_DIRECTION} AS direction FROM gen GROUP BY g, user_id),
+dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g, direction, modules ORDER BY fitness DESC, id) AS dn FROM ch) WHERE dn = 1),
+qd AS (SELECT *, row_number() OVER (PARTITION BY g, direction ORDER BY fitness DESC, id) <= 8 AS chosen FROM dd),
+rf AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY chosen DESC, fitness DESC, id) AS place FROM qd)"""
 
-@register("pop_manage", S.query(GEN, select="SELECT g, module, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY g, module ORDER BY fitness DESC, id) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY g, module, user_id ORDER BY fitness DESC, id) AS dn FROM gen) WHERE dn = 1) WHERE rn <= 8 GROUP BY 1, 2"))
+
+@register("pop_manage", S.query(GEN, _POPULATION, select="SELECT g, id, direction, chosen, place FROM rf WHERE place <= 20"))
 def pop_manage(spark, sf_dir):
-    return P.managed(generations(spark, sf_dir), key=["g", "module", "user_id"], quota=["g", "module"], k=8).groupBy("g", "module").agg(F.count("*").alias("n"))
+    """Each generation: one member a direction and module set, the best 40 % of the places for either direction, the rest by fitness."""
+    members = generations(spark, sf_dir).groupBy("g", F.col("user_id").alias("id")).agg(F.array_sort(F.collect_set("module")).alias("modules"), F.max("fitness").alias("fitness"))
+    members = members.withColumn("direction", F.when(F.pmod("id", F.lit(2)) == 0, "LONG").otherwise("SHORT"))
+    return P.managed(members, ["g"], ["direction", "modules"], "direction", 20, 0.4).select("g", "id", "direction", "chosen", F.col("place").cast("bigint").alias("place"))
 
 
 # portfolios of the symbols' curves
@@ -324,6 +388,13 @@ def member_returns(spark, sf_dir):
     return M.returns(curve(spark, sf_dir), ["symbol"]).withColumn("eq", F.col("close") / first * 100)
 
 
+def _weekly(d):
+    """A strategy a symbol and week, with its figures."""
+    r, direction_ = F.col("r"), F.when(F.col("symbol") < "q", "LONG").otherwise("SHORT")
+    out = d.groupBy("symbol", F.expr("ts div 604800").alias("week"), direction_.alias("direction")).agg(M.cagr("close", YEAR).alias("cagr"), F.sum(F.when(r > 0, r).otherwise(0.0)).alias("gain"), F.sum(F.when(r < 0, -r).otherwise(0.0)).alias("loss"))
+    return out.withColumn("profit_factor", M.profit_factor(F.col("gain"), F.col("loss")))
+
+
 def _portfolio(name: str, sql_select: str, build, *more: str) -> None:
     @register(name, q(sql_select, RET, _PR, *more))
     def run(spark, sf_dir):
@@ -334,16 +405,37 @@ _portfolio("ens_equal_returns", f"SELECT ts, {S.rnd('avg(coalesce(r, 0.0))', 8)}
 _portfolio("ens_equal_equity", f"SELECT ts, {S.rnd('avg(eq)')} AS v FROM pr GROUP BY 1", lambda d: P.mean_of(d, F.col("eq"), 6))
 _portfolio("ens_bh", f"SELECT symbol, ts, {S.rnd('eq')} AS v FROM pr", lambda d: d.select("symbol", "ts", rnd("eq").alias("v")))
 _portfolio("ens_subportfolio", f"SELECT symbol, ts//86400 AS day, {S.rnd('avg(r)', 8)} AS v FROM pr GROUP BY 1, 2", lambda d: d.groupBy("symbol", F.expr("ts div 86400").alias("day")).agg(rnd(F.avg("r"), 8).alias("v")))
-_portfolio("ens_regime_filter", f"SELECT ts, {S.rnd('coalesce(avg(CASE WHEN r > 0 THEN r END), avg(coalesce(r, 0.0)))', 8)} AS v FROM pr GROUP BY 1", lambda d: P.filtered_mean(d, F.col("r") > 0))
+# members: the symbols of the alphabet's first half held long, the others short; the market's week before tells the regime
+_REGIME = """mb AS (SELECT symbol, ts, ts//604800 AS week, CASE WHEN symbol < 'q' THEN 'LONG' ELSE 'SHORT' END AS direction, coalesce(CASE WHEN symbol < 'q' THEN r ELSE -r END, 0.0) AS x FROM pr),
+wr AS (SELECT week, avg(ret) AS ret FROM (SELECT symbol, ts//604800 AS week, arg_max(close, ts)/arg_min(close, ts) - 1 AS ret FROM pr GROUP BY 1, 2) GROUP BY 1),
+wl AS (SELECT week, CASE WHEN lag(ret) OVER (ORDER BY week) > 0.03 THEN 'LONG' WHEN lag(ret) OVER (ORDER BY week) < -0.03 THEN 'SHORT' END AS wanted FROM wr)"""
+
+
+def _regime_filter(d):
+    long = F.col("symbol") < "q"
+    member = d.select("symbol", "ts", F.expr("ts div 604800").alias("week"), F.when(long, "LONG").otherwise("SHORT").alias("direction"), F.coalesce(F.when(long, F.col("r")).otherwise(-F.col("r")), F.lit(0.0)).alias("r"))
+    ret = d.groupBy("symbol", F.expr("ts div 604800").alias("week")).agg((F.max_by("close", "ts") / F.min_by("close", "ts") - 1).alias("ret")).groupBy("week").agg(F.avg("ret").alias("ret"))
+    before = F.lag("ret", 1).over(W.orderBy("week"))  # one row a week
+    wanted = ret.select("week", F.when(before > 0.03, "LONG").when(before < -0.03, "SHORT").alias("wanted"))
+    return P.filtered_mean(member.join(F.broadcast(wanted), "week"), F.col("wanted").isNull() | (F.col("direction") == F.col("wanted")))
+
+
+_portfolio("ens_regime_filter", f"SELECT ts, {S.rnd('coalesce(avg(CASE WHEN wanted IS NULL OR wanted = direction THEN x END), avg(x))', 8)} AS v FROM mb JOIN wl USING (week) GROUP BY 1", _regime_filter, _REGIME)
 _WT = "wt AS (SELECT symbol, (1/stddev_samp(r))/sum(1/stddev_samp(r)) OVER () AS w FROM pr GROUP BY 1)"
 _portfolio("ens_inverse_vol", f"SELECT symbol, {S.rnd('w')} AS w FROM wt", lambda d: P.inverse_vol(d).select("symbol", rnd("w").alias("w")), _WT)
 _portfolio("ens_weighted", f"SELECT ts, {S.rnd('sum(w*coalesce(r, 0.0))', 8)} AS v FROM pr JOIN wt USING (symbol) GROUP BY 1", lambda d: P.weighted(d, P.inverse_vol(d)), _WT)
-_portfolio("ens_balanced", "SELECT symbol FROM (SELECT symbol, row_number() OVER (ORDER BY sum(r) DESC, symbol) AS rn FROM pr GROUP BY 1) WHERE rn <= 3", lambda d: d.groupBy("symbol").agg(F.sum("r").alias("t")).orderBy(F.desc("t"), "symbol").limit(3).select("symbol"))
-_portfolio("ens_quality", "SELECT symbol FROM pr GROUP BY 1 HAVING sum(CASE WHEN r > 0 THEN r ELSE 0 END) > 1.0*sum(CASE WHEN r < 0 THEN -r ELSE 0 END)", lambda d: P.quality(d, 1.0))
+_portfolio("ens_balanced", "SELECT direction, symbol, week FROM (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY cagr DESC, symbol, week) AS rn FROM mw) WHERE rn <= 3", lambda d: P.balanced(_weekly(d), 3), "mw AS (SELECT symbol, ts//604800 AS week, CASE WHEN symbol < 'q' THEN 'LONG' ELSE 'SHORT' END AS direction, round(pow(arg_max(close, ts)/arg_min(close, ts), 8760.0/count(*)) - 1, 9) AS cagr FROM pr GROUP BY 1, 2, 3)")
+_portfolio("ens_quality", "SELECT symbol, week FROM (SELECT symbol, ts//604800 AS week, pow(arg_max(close, ts)/arg_min(close, ts), 8760.0/count(*)) - 1 AS cagr, sum(CASE WHEN r > 0 THEN r ELSE 0 END)/nullif(sum(CASE WHEN r < 0 THEN -r ELSE 0 END), 0) AS pf FROM pr GROUP BY 1, 2) WHERE cagr > 0.05 AND coalesce(pf, 999.0) > 1.2", lambda d: P.quality(_weekly(d), 0.05, 1.2))
 _portfolio("met_portfolio", f"SELECT {S.rnd('avg(v)*8760/(stddev_samp(v)*sqrt(8760))')} AS sharpe, {S.rnd('CASE WHEN sqrt(avg(CASE WHEN v < 0 THEN v*v END)) > 0 THEN avg(v)/sqrt(avg(CASE WHEN v < 0 THEN v*v END))*sqrt(8760) ELSE 0.0 END')} AS sortino FROM (SELECT ts, avg(coalesce(r, 0.0)) AS v FROM pr GROUP BY 1)",
     lambda d: d.groupBy("ts").agg(F.avg(F.coalesce("r", F.lit(0.0))).alias("r")).agg(rnd(M.sharpe(YEAR)).alias("sharpe"), rnd(M.sortino_rms(YEAR)).alias("sortino")))
-_COMBO = "cb AS (SELECT a.symbol AS a, b.symbol AS b FROM (SELECT DISTINCT symbol FROM pr) a, (SELECT DISTINCT symbol FROM pr) b WHERE a.symbol < b.symbol), sc AS (SELECT a, b, avg(v)/stddev_samp(v) AS s FROM (SELECT a, b, ts, avg(coalesce(r, 0.0)) AS v FROM cb JOIN pr ON symbol IN (a, b) GROUP BY 1, 2, 3) GROUP BY 1, 2)"
-_portfolio("ens_exhaustive", f"SELECT a, b, {S.rnd('s')} AS s FROM sc", lambda d: P.pairs_scored(d).select("a", "b", rnd("s").alias("s")), _COMBO)
+_COMBO = """sy AS (SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS k FROM (SELECT DISTINCT symbol FROM pr)),
+cb AS (SELECT m, symbol FROM range((SELECT 1 << count(*) FROM sy)) c(m), sy WHERE (m >> k) & 1 = 1 AND bit_count(m) BETWEEN 2 AND 8),
+cv AS (SELECT m, ts, avg(coalesce(r, 0.0)) AS v FROM cb JOIN pr USING (symbol) GROUP BY 1, 2),
+ce AS (SELECT *, exp(sum(ln(1 + v)) OVER (PARTITION BY m ORDER BY ts)) AS eq FROM cv),
+cd AS (SELECT *, eq/max(eq) OVER (PARTITION BY m ORDER BY ts) - 1 AS dd FROM ce),
+sc AS (SELECT m, min(dd) AS max_dd, CASE WHEN sqrt(avg(CASE WHEN v < 0 THEN v*v END)) > 0 THEN avg(v)/sqrt(avg(CASE WHEN v < 0 THEN v*v END))*sqrt(8760) ELSE 0.0 END AS sortino FROM cd GROUP BY 1),
+nm AS (SELECT m, string_agg(symbol, ',' ORDER BY symbol) AS members FROM cb GROUP BY 1)"""
+_portfolio("ens_exhaustive", f"SELECT members, {S.rnd('sortino')} AS sortino, {S.rnd('max_dd')} AS max_dd, max_dd > -0.15 AS allowed FROM sc JOIN nm USING (m)", lambda d: P.exhaustive(d, YEAR).select("members", rnd("sortino").alias("sortino"), rnd("max_dd").alias("max_dd"), "allowed"), _COMBO)
 
 
 @register("ens_greedy_forward")

@@ -14,7 +14,7 @@ from barloom.operators import metrics as M
 from barloom.sources import bars as B
 
 POP = """pop AS (SELECT row_number() OVER (ORDER BY user_id, event_type) - 1 AS id, user_id, event_type AS direction, count(*) AS n, avg(value) AS f1, max(value) AS f2, min(value) AS f3,
-  list_sort(list_distinct(list(CAST(props->>'$.k' AS BIGINT) % 5))) AS modules FROM events WHERE user_id < 40 GROUP BY user_id, event_type),
+  list_sort(list_distinct(list(CAST(props->>'$.k' AS BIGINT) % 5))) AS modules FROM events GROUP BY user_id, event_type),
 p AS (SELECT *, round(f1, 6) AS o1, round(f2, 6) AS o2, CASE WHEN n < 3 THEN 3 - n ELSE 0 END AS viol FROM pop)"""
 
 
@@ -77,10 +77,29 @@ def _tournament(k: int, by: str) -> str:
     )
 
 
-_sel("sel_tournament_bin", _tournament(2, "viol, -o1"), lambda d: X.tournament(d.withColumn("neg", -F.col("o1")), 50, 2, ["viol", "neg"], 9))
+_CROWD = f"cw AS (SELECT p.*, rank, -least(CASE WHEN cnt <= 2 THEN 999999.0 ELSE c_o1 + c_o2 END, 999999.0) AS far FROM (SELECT id, rank, count(*) OVER (PARTITION BY rank) AS cnt, {_CW} FROM p JOIN rk USING (id)) JOIN p USING (id))"
+
+
+@register("sel_tournament_bin", q(_tournament(2, "rank, round(far, 6)").replace("JOIN p ON p.id", "JOIN cw p ON p.id"), _RANKS, _CROWD).replace("WITH ", "WITH RECURSIVE ", 1))
+def sel_tournament_bin(spark, sf_dir):
+    """Of two drawn members the one of the lower front, then the less crowded one."""
+    d = X.crowding(ranked(population(spark, sf_dir)), ["o1", "o2"])
+    return X.tournament(d.withColumn("far", -F.round(F.least("crowding", F.lit(999999.0)), 6)), 50, 2, ["rank", "far"], 9)
+
+
 _sel("sel_tournament_k", _tournament(5, "-o1"), lambda d: X.tournament(d.withColumn("neg", -F.col("o1")), 50, 5, ["neg"], 9))
-_MED = "(SELECT list_sort(list({c}))[count({c})//2 + 1] FROM {t})"
-_sel("sel_lexicase", "SELECT id FROM l2", lambda d: X.lexicase(d, ["f2", "f1"]).select("id"), f"l1 AS (SELECT * FROM p WHERE f2 >= {_MED.format(c='f2', t='p')}), l2 AS (SELECT * FROM l1 WHERE f1 >= {_MED.format(c='f1', t='l1')})")
+CRITERIA = X.shuffled_names(["f1", "f2", "f3", "n"], 17)
+
+
+def _lexicase_sql() -> list[str]:
+    out, before = [], "p"
+    for k, c in enumerate(CRITERIA):
+        out.append(f"l{k} AS (SELECT * FROM {before} WHERE {c} >= (SELECT list_sort(list({c}))[count({c})//2 + 1] FROM {before}))")
+        before = f"l{k}"
+    return out
+
+
+_sel("sel_lexicase", f"SELECT id FROM l{len(CRITERIA) - 1}", lambda d: X.lexicase(d, CRITERIA).select("id"), *_lexicase_sql())
 _sel("sel_topk", "SELECT id FROM p ORDER BY f1 DESC, id LIMIT 25", lambda d: d.orderBy(F.desc("f1"), "id").limit(25).select("id"))
 _sel("sel_dedup_key", "SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY direction, modules ORDER BY f1 DESC, id) AS rn FROM p) WHERE rn = 1", lambda d: X.best_by(d, ["direction", "modules"], [F.desc("f1"), F.col("id")]).select("id"))
 _sel("sel_dedup_modules", "SELECT modules::VARCHAR AS m, arg_max(id, (f1, -id)) AS id FROM p GROUP BY 1", lambda d: X.best_by(d, ["modules"], [F.desc("f1"), F.col("id")]).select(F.concat(F.lit("["), F.array_join(F.col("modules").cast("array<string>"), ", "), F.lit("]")).alias("m"), "id"))
