@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.indicators import guarded, order, over
-from barloom.operators.hmm import fit_hmm
+from barloom.operators.hmm import Model, fit_hmm
 
 LABELS = ("bull", "bear", "sideways")
 
@@ -60,32 +59,69 @@ def affinity(labelled: DataFrame, signal: str) -> DataFrame:
     return out.withColumn("share", over(F.col("n").cast("double"), F.sum("n").over(W.partitionBy("symbol")).cast("double")))
 
 
+FEATURES = ("ret", "vol", "vr", "slope", "vov")
+VOL_STATES = ("calm", "normal", "volatile")
+
+
 def features(bars: DataFrame, causal: bool = False) -> DataFrame:
-    """``ret, vol, vr`` of bars, each cut to five deviations around its mean."""
-    df = bars.withColumn("ret", F.log(F.col("close") / F.lag("close", 1).over(order())))
+    """Log return, its deviation over 20 bars, volume to its mean over 20, the strength of the 50-bar average's slope over five bars,
+    and the deviation of the deviation over 40; each cut to five deviations around its mean."""
+    df = bars.withColumn("ret", F.log(F.col("close") / F.lag("close", 1).over(order()))).withColumn("_a", guarded(F.avg, "close", 50))
     df = df.withColumn("vol", guarded(F.stddev_samp, "ret", 20)).withColumn("vr", over(F.col("volume"), guarded(F.avg, "volume", 20)))
+    df = df.withColumn("slope", F.abs(over(F.col("_a") - F.lag("_a", 5).over(order()), F.col("_a")))).withColumn("vov", guarded(F.stddev_samp, "vol", 40)).drop("_a")
     span = order().rowsBetween(W.unboundedPreceding, 0) if causal else W.partitionBy("symbol")
-    for c in ("ret", "vol", "vr"):
-        df = df.withColumn("_m", F.avg(c).over(span)).withColumn("_s", F.stddev_samp(c).over(span))
-        df = df.withColumn(c, F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col("_m") - 5 * F.col("_s")), F.col("_m") + 5 * F.col("_s")))).drop("_m", "_s")
-    return df
+    sums = [f(c).over(span).alias(f"_{n}_{c}") for c in FEATURES for n, f in (("m", F.avg), ("s", F.stddev_samp))]
+    df = df.select("*", *sums)
+    cut = lambda c: F.least(F.greatest(F.col(c), F.col(f"_m_{c}") - 5 * F.col(f"_s_{c}")), F.col(f"_m_{c}") + 5 * F.col(f"_s_{c}"))
+    return df.select(*bars.columns, *[F.when(F.col(c).isNotNull(), cut(c)).alias(c) for c in FEATURES])
 
 
-def hmm(feats: DataFrame, states: int = 3) -> DataFrame:
-    """``symbol, ts, vol, state, confidence``: state 0 is the calmest. A symbol's bars are one group: a series is a sequence."""
+def _rows(bars: pd.DataFrame) -> pd.DataFrame:
+    bars = bars.sort_values("ts")
+    return bars[bars[list(FEATURES)].notna().all(axis=1)]
+
+
+def fit_models(feats: DataFrame, states: int = 3) -> DataFrame:
+    """``symbol, states, parameters``: a model a symbol, null where bars are few; plain numbers, so any table format keeps them. A
+    symbol's bars are one group: a series is a sequence."""
 
     def run(bars: pd.DataFrame) -> pd.DataFrame:
-        bars = bars.sort_values("ts")
-        bars = bars[bars[["ret", "vol", "vr"]].notna().all(axis=1)]
-        out = bars[["symbol", "ts", "vol"]].copy()
-        if len(bars) < 10 * states:
-            out["state"], out["confidence"] = 0, 0.0
+        known = _rows(bars)
+        made = fit_hmm(known[list(FEATURES)].to_numpy(float), states).flat() if len(known) >= 10 * states else None
+        return pd.DataFrame({"symbol": [bars["symbol"].iloc[0]], "states": [states], "parameters": [made]})
+
+    return feats.select("symbol", "ts", *FEATURES).groupBy("symbol").applyInPandas(run, "symbol string, states int, parameters array<double>")
+
+
+def predict(feats: DataFrame, models: DataFrame) -> DataFrame:
+    """``symbol, ts, vol, state, confidence, probabilities`` of the bars with all features; state 0 is the calmest."""
+
+    def run(key: tuple, bars: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        known = _rows(bars)
+        out = known[["symbol", "ts", "vol"]].copy()
+        values = model["parameters"].iloc[0] if len(model) else None
+        if values is None or not len(known):
+            out["state"], out["confidence"], out["probabilities"] = 1, 0.0, None
             return out
-        x = bars[["ret", "vol", "vr"]].to_numpy(float)
-        out["state"], out["confidence"] = fit_hmm((x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-12), states)
+        p = Model.of(list(values), int(model["states"].iloc[0]), len(FEATURES)).posterior(known[list(FEATURES)].to_numpy(float))
+        out["state"], out["confidence"], out["probabilities"] = p.argmax(axis=1), p.max(axis=1), p.tolist()
         return out
 
-    return feats.select("symbol", "ts", "ret", "vol", "vr").groupBy("symbol").applyInPandas(run, "symbol string, ts bigint, vol double, state bigint, confidence double")
+    schema = "symbol string, ts bigint, vol double, state bigint, confidence double, probabilities array<double>"
+    return feats.select("symbol", "ts", *FEATURES).groupBy("symbol").cogroup(models.groupBy("symbol")).applyInPandas(run, schema)
+
+
+def hmm(feats: DataFrame, states: int = 3) -> DataFrame:
+    """Fit and predict on the same bars."""
+    return predict(feats, fit_models(feats, states))
+
+
+def stability(predicted: DataFrame) -> DataFrame:
+    """``symbol, vol_state, stability, transition_risk`` of each symbol's last bar."""
+    names = F.array(*[F.lit(x) for x in VOL_STATES])
+    last = predicted.groupBy("symbol").agg(F.max_by(F.struct("state", "confidence"), "ts").alias("l"))
+    name = F.coalesce(F.get(names, F.col("l.state").cast("int")), F.lit("normal"))
+    return last.select("symbol", name.alias("vol_state"), F.round("l.confidence", 3).alias("stability"), F.round(1 - F.col("l.confidence"), 3).alias("transition_risk"))
 
 
 def sizing(a: Column, b: Column, against: Column) -> Column:
@@ -93,6 +129,12 @@ def sizing(a: Column, b: Column, against: Column) -> Column:
     return F.least(F.greatest((a + b) / 2 * F.when(against, 0.7).otherwise(1.1), F.lit(0.3)), F.lit(1.0))
 
 
-def combined(labelled: DataFrame, states: DataFrame) -> DataFrame:
-    """``symbol, regime, state, n``: both labels on the bars that have them."""
-    return labelled.join(states.select("symbol", "ts", "state"), ["symbol", "ts"]).groupBy("symbol", "regime", "state").agg(F.count("*").alias("n"))
+def combined(bars: DataFrame, labelled: DataFrame, states: DataFrame, scales: tuple[int, ...] = (10, 30, 60)) -> DataFrame:
+    """``symbol, regime, confidence, vol_state, stability, transition_risk, sizing``: both detectors on each symbol's last bar, and
+    the position size they allow: less when volatile, more when calm."""
+    said = vote(bars, scales)
+    now = labelled.groupBy("symbol").agg(F.max_by("regime", "ts").alias("label"))
+    out = said.join(stability(states), "symbol").join(now, "symbol")
+    base = (F.col("confidence") + F.col("stability")) / 2
+    size = base * F.when(F.col("vol_state") == "volatile", 0.7).when(F.col("vol_state") == "calm", 1.1).otherwise(1.0)
+    return out.withColumn("sizing", F.round(F.least(F.greatest(size, F.lit(0.3)), F.lit(1.0)), 2))

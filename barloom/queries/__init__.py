@@ -24,6 +24,6 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from barloom.queries import backtests, indicators, language, metrics, relational, selection, statistics, streams  # noqa: F401
+    from barloom.queries import backtests, indicators, language, metrics, relational, reports, selection, statistics, streams  # noqa: F401
 
     return QUERIES, SQL

@@ -52,10 +52,10 @@ def src_ohlcv_api(spark, sf_dir):
 
 def _side(name: str, spark_value: str, sql_value: str) -> None:
     @register(name, f"WITH s AS (SELECT event_type AS symbol, epoch_us(ts)//1000000 AS ts, event_id, {sql_value} AS v FROM events), "
-              "d AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY event_id) AS rn FROM s) SELECT symbol, ts, round(v, 6) + 0.0 AS v FROM d WHERE rn = 1 AND ts >= 1704153600")
+              "d AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY event_id) AS rn FROM s) SELECT symbol, ts, floor(v*1000000 + 0.5000001)/1000000 AS v FROM d WHERE rn = 1 AND ts >= 1704153600")
     def run(spark, sf_dir):
         ev = B.table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.floor(B.epoch_micros("ts") / 1_000_000).alias("ts"), "event_id", F.expr(spark_value).alias("v"))
-        return B.dedup_first(ev, ["symbol", "ts"], "event_id").where("ts >= 1704153600").select("symbol", "ts", rnd("v").alias("v"))
+        return B.dedup_first(ev, ["symbol", "ts"], "event_id").where("ts >= 1704153600").select("symbol", "ts", (F.floor(F.col("v") * 1000000 + 0.5000001) / 1000000).alias("v"))
 
 
 _side("src_funding", "try_cast(cast(value as string) as double) / 1000", "TRY_CAST(value::VARCHAR AS DOUBLE) / 1000")
@@ -64,25 +64,85 @@ _side("src_lsratio", "try_cast(get_json_object(props, '$.k') as double) / 50", "
 _side("src_taker", "value / (1 + try_cast(get_json_object(props, '$.k') as double))", "value / (1 + TRY_CAST(props->>'$.k' AS DOUBLE))")
 
 
-@register("src_json_results", "SELECT event_id, event_type, CAST(props->>'$.k' AS BIGINT) AS k FROM events WHERE CAST(props->>'$.k' AS BIGINT) >= 50 AND value > 20")
+_WEEKS = "ws AS (SELECT row_number() OVER (ORDER BY symbol, ts//604800) - 1 AS strategy_index, symbol, ts//604800 AS week, 100*(arg_max(close, ts)/arg_min(close, ts) - 1) AS cagr, count(*) AS n_trades FROM bars GROUP BY symbol, ts//604800)"
+
+
+def _week_strategies(spark, sf_dir):
+    w = B.event_bars(spark, sf_dir).groupBy("symbol", F.expr("ts div 604800").alias("week")).agg((100 * (F.max_by("close", "ts") / F.min_by("close", "ts") - 1)).alias("cagr"), F.count("*").alias("n_trades"))
+    return w.withColumn("strategy_index", (F.row_number().over(W.orderBy("symbol", "week")) - 1).cast("bigint"))  # one row a symbol and week
+
+
+@register("src_json_results", q("SELECT strategy_index, symbol, round(cagr, 6) AS cagr, n_trades FROM ws WHERE strategy_index % 3 <> 1 AND cagr > 0 AND n_trades >= 5", _WEEKS))
 def src_json_results(spark, sf_dir):
-    ev = B.table(spark, sf_dir, "events")
-    parsed = ev.select("event_id", "event_type", "value", F.from_json("props", "k bigint").alias("p")).select("event_id", "event_type", "value", "p.k")
-    return parsed.where("k >= 50 and value > 20").select("event_id", "event_type", "k")
+    """Strategies and their validations as documents of many lines, a file a symbol, read back and joined by their index."""
+    w = _week_strategies(spark, sf_dir).persist()
+    try:
+        paths = {}
+        for name, columns in (("strategies", ["strategy_index", "symbol"]), ("validation", ["strategy_index", "cagr", "n_trades", (F.col("strategy_index") % 3 != 1).alias("passes_all")])):
+            paths[name] = cache.fresh(spark, name)
+            docs = w.groupBy(F.col("symbol").alias("_s")).agg(F.collect_list(F.struct(*columns)).alias("results")).select(F.to_json(F.struct("results"), {"pretty": "true"}).alias("value"))
+            docs.write.option("maxRecordsPerFile", 1).text(paths[name])
+    finally:
+        w.unpersist()
+    read = lambda name, fields: spark.read.schema(f"results array<struct<{fields}>>").json(paths[name], multiLine=True).select(F.inline("results"))
+    found = read("strategies", "strategy_index:bigint,symbol:string").join(read("validation", "strategy_index:bigint,cagr:double,n_trades:bigint,passes_all:boolean"), "strategy_index")
+    return found.where("passes_all and cagr > 0 and n_trades >= 5").select("strategy_index", "symbol", F.round("cagr", 6).alias("cagr"), "n_trades")
 
 
-@register("src_snapshots", "SELECT event_type AS generation, count(*) AS n, sum(coalesce(CAST(props->>'$.k' AS BIGINT), CAST(props->>'$.best' AS BIGINT), 0))::BIGINT AS total FROM events GROUP BY 1")
+_SNAP = "sn AS (SELECT epoch_us(ts)//86400000000 AS generation, max(value) AS best, count(*) AS n, CASE WHEN (epoch_us(ts)//86400000000) % 3 = 0 THEN NULL ELSE avg(value) END AS mean FROM events GROUP BY 1, (epoch_us(ts)//86400000000) % 3)"
+
+
+@register("src_snapshots", f"WITH {_SNAP} SELECT generation, best, n, round(mean, 6) AS mean FROM sn")
 def src_snapshots(spark, sf_dir):
-    k = F.coalesce(F.get_json_object("props", "$.k").cast("bigint"), F.get_json_object("props", "$.best").cast("bigint"), F.lit(0))
-    return B.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("generation")).agg(F.count("*").alias("n"), F.sum(k).alias("total"))
+    """A document a generation, in two formats, one of which may lack a figure."""
+    ev = B.table(spark, sf_dir, "events").groupBy(F.floor(B.epoch_micros("ts") / 86_400_000_000).alias("g")).agg(F.max("value").alias("best"), F.count("*").alias("n"), F.avg("value").alias("mean"))
+    mean = F.when(F.col("g") % 3 != 0, F.col("mean"))
+    old = F.to_json(F.struct(F.col("g").alias("generation"), F.col("best").alias("best_fitness"), F.col("n").alias("population"), mean.alias("mean_fitness")))
+    new = F.to_json(F.struct(F.struct(F.col("g").alias("number")).alias("generation_info"), F.struct("best", "n", mean.alias("mean")).alias("statistics")))
+    path = cache.fresh(spark, "snapshots")
+    ev.select(F.when(F.col("g") % 2 == 0, old).otherwise(new).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    schema = "generation bigint, best_fitness double, population bigint, mean_fitness double, generation_info struct<number:bigint>, statistics struct<best:double,n:bigint,mean:double>"
+    d = spark.read.schema(schema).json(path, multiLine=True)
+    return d.select(F.coalesce("generation", "generation_info.number").alias("generation"), F.coalesce("best_fitness", "statistics.best").alias("best"), F.coalesce("population", "statistics.n").alias("n"), F.round(F.coalesce("mean_fitness", "statistics.mean"), 6).alias("mean"))
 
 
-@register("src_live_candles", q(f"SELECT {_SEL} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn, max(ts) OVER () AS now FROM bars WHERE ts + 3600 <= (SELECT max(ts) FROM bars)) WHERE rn <= 50"))
-def src_live_candles(spark, sf_dir):
-    bars = B.event_bars(spark, sf_dir)
-    now = bars.agg(F.max("ts").alias("now"))
-    closed = bars.crossJoin(F.broadcast(now)).where("ts + 3600 <= now")  # one row: the clock
-    return bars_out(closed.withColumn("rn", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("ts")))).where("rn <= 50"))
+_PAGED = "WITH p AS (SELECT unnest(range(2500)) AS i), x AS (SELECT i, 100.0::DOUBLE + (i*7919 % 1000)/100 AS o, 100.0::DOUBLE + ((i+1)*7919 % 1000)/100 AS c FROM p) "
+
+
+@register("src_ohlcv_api_v2", _PAGED + "SELECT 'ETH' AS symbol, i*900 AS ts, round(o,6) AS open, round(greatest(o,c)+0.5,6) AS high, round(least(o,c)-0.5,6) AS low, round(c,6) AS close, (i % 17)::DOUBLE AS volume FROM x WHERE i*900 >= 90000 AND i*900 < 1800000")
+def src_ohlcv_api_v2(spark, sf_dir):
+    """The second version of the interface: times in milliseconds, prices as text; pages that fail at first are asked for again."""
+    spark.dataSource.register(cache.PagedBars)
+    raw = spark.read.format("paged_bars").options(version="2", symbol="ETH", bars=2500, page=1000, seconds=900, fail="2", backoff="0.01", rate="50").load()
+    df = raw.select("symbol", (F.col("open_time") / 1000).cast("bigint").alias("ts"), *[F.expr(f"try_cast({c} as double)").alias(c) for c in OHLCV])
+    return bars_out(B.dedup_first(df, ["symbol", "ts"], "open").where("ts >= 90000 and ts < 1800000"))
+
+
+CONFIG = """
+data:
+  symbols: [BTC, ETH]
+  timeframe: 15m
+  start: 2024-01-01
+search:
+  population: 200
+  rates:
+    mutation: 0.1
+    crossover: 0.8
+  elitist: true
+paths:
+  - results
+  - cache
+"""
+
+
+@register("src_config", "SELECT * FROM (VALUES ('data.start', '2024-01-01'), ('data.symbols.0', 'BTC'), ('data.symbols.1', 'ETH'), ('data.timeframe', '15m'), ('paths.0', 'results'), ('paths.1', 'cache'), ('search.elitist', 'true'), ('search.population', '200'), ('search.rates.crossover', '0.8'), ('search.rates.mutation', '0.1')) t(name, value)")
+def src_config(spark, sf_dir):
+    """A settings file, read from where Spark reads and given as names and values."""
+    from barloom.sources.config import load_config
+
+    path = cache.fresh(spark, "config")
+    spark.createDataFrame([(CONFIG,)], "value string").coalesce(1).write.text(path)
+    return spark.createDataFrame(sorted(load_config(spark, path).items()), "name string, value string")
 
 
 def _sink(name: str, kind: str) -> None:
@@ -98,7 +158,32 @@ def _sink(name: str, kind: str) -> None:
 
 _sink("snk_csv", "csv")
 _sink("snk_json", "json")
-_sink("snk_snapshot", "parquet")
+
+
+@register("snk_snapshot", "SELECT epoch_us(ts)//86400000000 AS g, count(*) AS n, max(value) AS best FROM events GROUP BY 1")
+def snk_snapshot(spark, sf_dir):
+    """Generations appended one after another to a table by generation; a generation that is written again replaces itself."""
+    ev = B.table(spark, sf_dir, "events").select(F.floor(B.epoch_micros("ts") / 86_400_000_000).alias("g"), "event_id", "value").persist()
+    path = cache.fresh(spark, "generations")
+    try:
+        for part in (F.col("g") % 2 == 0, F.col("g") % 2 == 1, F.col("g") % 2 == 1):  # the last one again
+            cache.write_generations(ev.where(part), path, "g")
+    finally:
+        ev.unpersist()
+    back = spark.read.schema("g bigint, event_id bigint, value double").parquet(path)
+    return back.groupBy("g").agg(F.count("*").alias("n"), F.max("value").alias("best"))
+
+
+@register("snk_state_atomic", q("SELECT symbol, count(*) AS bars, max(ts) AS last FROM bars GROUP BY 1"))
+def snk_state_atomic(spark, sf_dir):
+    """A state file written beside its place and renamed onto it, twice; readers see one state or the other."""
+    import json
+
+    rows = B.event_bars(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("bars"), F.max("ts").alias("last")).collect()  # one row a symbol
+    path = cache.fresh(spark, "state") + "/state.json"
+    cache.write_atomic(spark, path, json.dumps({"symbols": []}))
+    cache.write_atomic(spark, path, json.dumps({"symbols": [r.asDict() for r in rows]}))
+    return spark.read.schema("symbols array<struct<symbol:string,bars:bigint,last:bigint>>").json(path, multiLine=True).select(F.inline("symbols"))
 
 
 # cleaning
@@ -527,23 +612,57 @@ def rg_signal_affinity(spark, sf_dir):
     return regimes.affinity(df, "sg").select("symbol", "regime", "n", F.round("share", 6).alias("share"))
 
 
-@register("rg_hmm_features", q("SELECT symbol, ts, " + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN {S.rnd(f'least(greatest({c}, m_{c} - 5*s_{c}), m_{c} + 5*s_{c})')} END AS {c}" for c in ("ret", "vol", "vr")) + " FROM zz",
-    S.staged("bars", {"ret": f"ln(close/{S.lag('close')})"}, {"vol": S.g("stddev_samp", "ret", 20), "vr": f"volume/nullif({S.g('avg', 'volume', 20)}, 0)"}),
-    "zz AS (SELECT *, " + ", ".join(f"avg({c}) OVER (PARTITION BY symbol) AS m_{c}, stddev_samp({c}) OVER (PARTITION BY symbol) AS s_{c}" for c in ("ret", "vol", "vr")) + " FROM z)"))
+_FEAT = regimes.FEATURES
+
+
+@register("rg_hmm_features", q("SELECT symbol, ts, " + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN {S.rnd(f'least(greatest({c}, m_{c} - 5*s_{c}), m_{c} + 5*s_{c})')} END AS {c}" for c in _FEAT) + " FROM zz",
+    S.staged("bars", {"ret": f"ln(close/{S.lag('close')})", "av": S.g("avg", "close", 50)}, {"vol": S.g("stddev_samp", "ret", 20), "vr": f"volume/nullif({S.g('avg', 'volume', 20)}, 0)", "slope": f"abs((av - {S.lag('av', 5)})/nullif(av, 0))"}, {"vov": S.g("stddev_samp", "vol", 40)}),
+    "zz AS (SELECT *, " + ", ".join(f"avg({c}) OVER (PARTITION BY symbol) AS m_{c}, stddev_samp({c}) OVER (PARTITION BY symbol) AS s_{c}" for c in _FEAT) + " FROM z)"))
 def rg_hmm_features(spark, sf_dir):
     df = regimes.features(B.event_bars(spark, sf_dir))
-    return df.select("symbol", "ts", *[rnd(c).alias(c) for c in ("ret", "vol", "vr")])
+    return df.select("symbol", "ts", *[rnd(c).alias(c) for c in _FEAT])
+
+
+def _features(spark, sf_dir):
+    return regimes.features(B.event_bars(spark, sf_dir))
 
 
 @register("rg_hmm_fit")
 def rg_hmm_fit(spark, sf_dir):
-    return regimes.hmm(regimes.features(B.event_bars(spark, sf_dir))).groupBy("symbol", "state").agg(F.count("*").alias("n"), F.round(F.avg("vol"), 8).alias("vol"))
+    return regimes.fit_models(_features(spark, sf_dir)).select("symbol", "states", F.transform("parameters", lambda x: F.round(x, 6)).alias("parameters"))
+
+
+@register("rg_predict")
+def rg_predict(spark, sf_dir):
+    return regimes.hmm(_features(spark, sf_dir)).groupBy("symbol", "state").agg(F.count("*").alias("n"), F.round(F.avg("vol"), 8).alias("vol"))
+
+
+@register("rg_stability")
+def rg_stability(spark, sf_dir):
+    return regimes.stability(regimes.hmm(_features(spark, sf_dir)))
+
+
+@register("src_model_load", q("SELECT DISTINCT symbol, true AS same FROM bars"))
+def src_model_load(spark, sf_dir):
+    """Models saved as a table and read back give the same states as the ones that were fitted."""
+    feats = _features(spark, sf_dir)
+    models = regimes.fit_models(feats).persist()
+    try:
+        path = cache.fresh(spark, "models")
+        models.write.parquet(path)
+        back = spark.read.schema(models.schema).parquet(path)
+        a, b = (regimes.predict(feats, m).select("symbol", "ts", "state") for m in (models, back))
+        both = a.join(b.withColumnRenamed("state", "again"), ["symbol", "ts"], "full").groupBy("symbol").agg(F.bool_and(F.col("state").eqNullSafe(F.col("again"))).alias("same"))
+        every = feats.select("symbol").distinct()
+        return every.join(both, "symbol", "left").select("symbol", F.coalesce("same", F.lit(True)).alias("same"))
+    finally:
+        models.unpersist()
 
 
 @register("rg_combined")
 def rg_combined(spark, sf_dir):
     bars = B.event_bars(spark, sf_dir)
-    return regimes.combined(regimes.by_average(bars), regimes.hmm(regimes.features(bars)))
+    return regimes.combined(bars, regimes.by_average(bars), regimes.hmm(regimes.features(bars)))
 
 
 @register("rg_sizing_mult", q("SELECT symbol, ts, round(least(greatest((least(volume/10, 1.0) + 0.5)/2*CASE WHEN close < open THEN 0.7 ELSE 1.1 END, 0.3), 1.0), 6) AS v FROM bars"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -53,11 +54,36 @@ def with_enough(bars: DataFrame, least: int) -> DataFrame:
     return bars.join(enough, "symbol", "left_semi")
 
 
+def write_generations(rows: DataFrame, path: str, key: str) -> None:
+    """Write the generations in ``rows``; others that are there stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
+def write_atomic(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file beside its place, then rename it onto it, on whatever file system the path is on."""
+    jvm = spark.sparkContext._jvm
+    place, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), conf)
+    files = place.getFileSystem(conf)
+    out = files.create(beside, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context.rename(beside, place, options)
+
+
 class PagedBars(DataSource):
     """Bars in pages, a partition each: the shape of an exchange's paginated API, served offline from a formula.
 
-    Options: ``symbol``, ``start`` (epoch seconds), ``bars``, ``seconds``, ``page`` (rows a page). A page is tried
-    ``retries`` times; a page that keeps failing fails its task, which Spark runs again.
+    Options: ``symbol``, ``start`` (epoch seconds), ``bars``, ``seconds``, ``page`` (rows a page), ``version`` (2 gives times in
+    milliseconds and prices as text). Pages are asked for at ``rate`` a second at most in a task; one that fails is asked for
+    ``retries`` times, each time after twice the wait, ``backoff`` seconds first; one that keeps failing fails its task, which
+    Spark runs again. ``fail`` makes the first so many requests of each page fail.
     """
 
     @classmethod
@@ -65,6 +91,8 @@ class PagedBars(DataSource):
         return "paged_bars"
 
     def schema(self) -> str:
+        if self.options.get("version") == "2":
+            return "symbol string, open_time bigint, open string, high string, low string, close string, volume string"
         return "symbol string, ts bigint, open double, high double, low double, close double, volume double"
 
     def reader(self, schema) -> DataSourceReader:
@@ -73,26 +101,35 @@ class PagedBars(DataSource):
 
 class _PageReader(DataSourceReader):
     def __init__(self, options):
-        self.symbol = options.get("symbol", "X")
-        self.start, self.bars = int(options.get("start", 0)), int(options.get("bars", 1000))
-        self.seconds, self.page, self.retries = int(options.get("seconds", 900)), int(options.get("page", 1000)), int(options.get("retries", 3))
+        of = options.get
+        self.symbol, self.version = of("symbol", "X"), of("version", "1")
+        self.start, self.bars = int(of("start", 0)), int(of("bars", 1000))
+        self.seconds, self.page, self.retries = int(of("seconds", 900)), int(of("page", 1000)), int(of("retries", 3))
+        self.rate, self.backoff, self.fail = float(of("rate", 10.0)), float(of("backoff", 1.0)), int(of("fail", 0))
+        self.asked = 0
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(k) for k in range(0, self.bars, self.page)]
 
     def fetch(self, first: int) -> list[tuple]:
+        self.asked += 1
+        if self.asked <= self.fail:
+            raise OSError("the page is not there yet")
         out = []
         for i in range(first, min(first + self.page, self.bars)):
             o = 100.0 + (i * 7919 % 1000) / 100
             c = 100.0 + ((i + 1) * 7919 % 1000) / 100
-            out.append((self.symbol, self.start + i * self.seconds, o, max(o, c) + 0.5, min(o, c) - 0.5, c, float(i % 17)))
+            row = (self.start + i * self.seconds, o, max(o, c) + 0.5, min(o, c) - 0.5, c, float(i % 17))
+            out.append((self.symbol, row[0] * 1000, *map(repr, row[1:])) if self.version == "2" else (self.symbol, *row))
         return out
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         for attempt in range(self.retries):
+            time.sleep(1 / self.rate)
             try:
                 return iter(self.fetch(partition.value))
             except OSError:
                 if attempt == self.retries - 1:
                     raise
+                time.sleep(self.backoff * 2**attempt)
         return iter(())
