@@ -13,7 +13,8 @@ PERIODS = {
     "MACD_NORM": {0: "fast", 1: "slow", 2: "signal"}, "PRICE_POS": {0: "period"}, "ROC": {0: "period"}, "VOL_RATIO": {0: "period"}, "BBWIDTH": {0: "period", 1: "std_dev"}, "ATR_PCT": {0: "period"},
 }
 BOUNDS = {"period": (2.0, 100.0), "std": (0.5, 5.0), "osc_threshold": (0.0, 100.0), "norm_threshold": (-5.0, 5.0), "tp": (0.5, 15.0), "sl": (0.2, 5.0), "trail": (0.5, 10.0)}
-OSCILLATORS = ("RSI", "STOCH_K", "STOCH_D", "ADX", "MFI")
+#: indicators from 0 to 100, with thresholds of that scale
+OSCILLATORS = ("RSI", "STOCH_K", "STOCH_D", "ADX", "MFI", "BREAKOUT_UP", "BREAKOUT_DOWN", "SQUEEZE", "DIVERGENCE_BULL", "DIVERGENCE_BEAR")
 #: how far a parameter may move from its value: a share of it, and at least so much
 REACH = {"period": (0.6, 2.0), "std": (0.4, 0.3), "osc_threshold": (0.0, 25.0), "norm_threshold": (0.0, 2.0), "tp": (0.5, 0.3), "sl": (0.5, 0.3), "trail": (0.5, 0.3)}
 EXITS = ("tp", "sl", "trail")
