@@ -78,22 +78,35 @@ def curves(rows: DataFrame, rules: dict[str, Rules]) -> DataFrame:
 def population_trades(bars: DataFrame, strategies: dict, rules: dict[str, Rules], seconds: int) -> DataFrame:
     """The trades of many strategies on all symbols of ``bars``.
 
-    Indicators are Spark columns, each computed once for all strategies that name it; conditions, signals and
-    positions are array operations inside one grouped pass. A series goes to a task once for each ``CHUNK`` strategies.
+    Bars go to their group once for each ``CHUNK`` strategies; longer timeframes, indicators, conditions, signals and positions are
+    array operations there, each computed once for all strategies that name it. Indicators without an array form
+    (those registered from outside) come as Spark columns.
     """
-    from barloom.plans.strategy import array_signals, indicator_columns
-
-    df, sides = indicator_columns(bars, strategies, seconds, {"atr": ("ATR", (14,))})
-    used = sorted({c for c in sides.values() if isinstance(c, str)})
+    from barloom.functions.arrays import ARRAYS, PRICES, Frames
+    from barloom.plans.strategy import array_signals, calls, indicator_columns
+
+    sides, wanted = calls(strategies, bars.columns, seconds)
+    arrays = all(name in ARRAYS for name, _, _ in wanted.values())
+    if arrays:
+        df = bars
+    else:
+        df, sides = indicator_columns(bars, strategies, seconds, {"atr": ("ATR", (14,))})
+        wanted = {}
+    used = sorted({c for c in sides.values() if isinstance(c, str)} - set(wanted))
+    columns = [*(PRICES if arrays else BARS[1:]), *used]
     names = list(strategies)
     chunks = [names[k : k + CHUNK] for k in range(0, len(names), CHUNK)]
     part = F.explode(F.sequence(F.lit(0), F.lit(len(chunks) - 1)))
-    rows = df.select("symbol", "ts", *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*BARS[1:], *used])]).withColumn("part", part)
+    rows = df.select("symbol", "ts", *[F.col(c).cast("double").alias(c) for c in dict.fromkeys(columns)]).withColumn("part", part)
 
     def one(key: tuple, table: pa.Table) -> pa.Table:
-        table, arrays = _series(table)
-        signal = array_signals(strategies, sides, lambda c: table.column(c).to_numpy())
-        return _table(_trade_rows(("all", key[0].as_py()), chunks[key[1].as_py()], rules, arrays, signal), TRADE)
+        table = table.take(pc.sort_indices(table, [("ts", "ascending")]))
+        got = {c: table.column(c).to_numpy() for c in table.column_names if c not in ("symbol", "part")}
+        frames = Frames(got["ts"], got)
+        column = lambda c: frames.value(*wanted[c]) if c in wanted else got[c]
+        series = [got[c] if c in got else frames.value("ATR", (14,), None) for c in BARS]
+        rows_ = _trade_rows(("all", key[0].as_py()), chunks[key[1].as_py()], rules, series, array_signals(strategies, sides, column))
+        return _table(rows_, TRADE)
 
     return rows.groupBy("symbol", "part").applyInArrow(one, TRADE)
 

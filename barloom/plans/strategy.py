@@ -147,29 +147,34 @@ def _sides(strategies: dict[str, Strategy]) -> list[str]:
     return list(dict.fromkeys(side for s in strategies.values() for c in s.conditions for side in (c.left, c.right)))
 
 
-def indicator_columns(bars: DataFrame, strategies: dict[str, Strategy], base_seconds: int, extra: dict | None = None) -> tuple[DataFrame, dict[str, str | float]]:
-    """``bars`` with a column for each ``extra`` call and each distinct indicator of the strategies, and what each side of a condition is: a column or a number."""
+def calls(strategies: dict[str, Strategy], columns: list[str], base_seconds: int) -> tuple[dict[str, str | float], dict[str, tuple[str, tuple, int | None]]]:
+    """What each side of a condition is, a column or a number, and the distinct indicator calls by column: name, arguments, and the
+    timeframe's seconds if it is longer than the bars'."""
     sides: dict[str, str | float] = {}
-    by_frame: dict[int, dict[str, tuple]] = {}
     known: dict[tuple, str] = {}
     for side in _sides(strategies):
         if NUMBER.match(side):
             sides[side] = float(side)
-        elif side.lower() in bars.columns:
+        elif side.lower() in columns:
             sides[side] = side.lower()
         else:
             name, args, frame = parse_call(side)
-            seconds = max(TIMEFRAMES[frame], base_seconds) if frame else base_seconds
-            key = (seconds, name, args)
-            if key not in known:
-                known[key] = f"_i{len(known)}"
-                by_frame.setdefault(seconds, {})[known[key]] = (name, args)
-            sides[side] = known[key]
-    base = dict(extra or {}) | by_frame.pop(base_seconds, {})
+            seconds = TIMEFRAMES[frame] if frame and TIMEFRAMES[frame] > base_seconds else None
+            sides[side] = known.setdefault((name, args, seconds), f"_i{len(known)}")
+    return sides, {column: key for key, column in known.items()}
+
+
+def indicator_columns(bars: DataFrame, strategies: dict[str, Strategy], base_seconds: int, extra: dict | None = None) -> tuple[DataFrame, dict[str, str | float]]:
+    """``bars`` with a column for each ``extra`` call and each distinct indicator of the strategies, and what each side of a condition is: a column or a number."""
+    sides, wanted = calls(strategies, bars.columns, base_seconds)
+    by_frame: dict[int | None, dict[str, tuple]] = {}
+    for column, (name, args, seconds) in wanted.items():
+        by_frame.setdefault(seconds, {})[column] = (name, args)
+    base = dict(extra or {}) | by_frame.pop(None, {})
     df = add(bars, base) if base else bars
-    for seconds, calls in sorted(by_frame.items()):
-        higher = add(resample(bars, seconds), calls)
-        df = align(df, higher, seconds, list(calls))
+    for seconds, asked in sorted(by_frame.items()):
+        higher = add(resample(bars, seconds), asked)
+        df = align(df, higher, seconds, list(asked))
     return df, sides
 
 

@@ -76,6 +76,36 @@ def test_population_trades_equal_single_back_tests(spark, sf_dir):
         BT.CHUNK = before
 
 
+def test_array_indicators_equal_their_columns(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from barloom.functions.arrays import ARRAYS, Frames
+    from barloom.plans.strategy import indicator_columns, parse
+    from barloom.sources import bars as B
+
+    said = ["SMA(close,5)", "EMA(high,9)", "RSI(close,14)", "RSI(low,7)", "ATR(10)", "STOCH_K(9)", "STOCH_D(14)", "PCT_B(20,2.0)", "MACD_NORM(8,21,5)", "PRICE_POS(8)", "ROC(5)", "VOL_RATIO(10)", "BBWIDTH(14,1.5)",
+            "ATR_PCT(7)", "ADX(10)", "MFI(7)", "BREAKOUT_UP(20)", "BREAKOUT_DOWN(10)", "SQUEEZE(10,2.0)", "TRENDING(RSI,7,5)", "TRENDING(MFI,7,8)", "TRENDING(STOCH_K,9,13)", "DIVERGENCE_BULL(RSI,7,10)",
+            "DIVERGENCE_BEAR(RSI,9,14)", "MACD_LINE(8,21,5)", "MACD_SIGNAL(8,21,5)", "MACD_HIST(8,21,5)", "BBAND_UPPER(20,2.0)", "BBAND_LOWER(20,2.0)", "VOLUME_SMA(10)", "ATR_SMA(14)"]
+    frames = ["RSI(close,7,4h)", "STOCH_K(5,4h)", "SQUEEZE(10,2.0,4h)", "MFI(7,1d)", "BREAKOUT_UP(10,4h)", "ADX(7,4h)"]
+    assert {x.split("(")[0] for x in said} == set(ARRAYS)
+    made = {f"s{k}": parse(f"LONG WHEN {x} _GT_ 0 EXIT SL=1") for k, x in enumerate(said + frames)}
+    # a gap of a day and a half, and bars without trades
+    bars = B.event_bars(spark, sf_dir).where("not (ts between 1705000000 and 1705130000)").withColumn("volume", F.when(F.col("ts") % 18000 == 0, 0.0).otherwise(F.col("volume"))).persist()
+    df, sides = indicator_columns(bars, made, B.HOUR)
+    every = df.toPandas()
+    for symbol, rows in every.groupby("symbol"):
+        rows = rows.sort_values("ts")
+        f = Frames(rows["ts"].to_numpy(), {c: rows[c].to_numpy(float) for c in ("open", "high", "low", "close", "volume")})
+        from barloom.functions.indicators import parse_call
+
+        for text in said + frames:
+            name, args, frame = parse_call(text)
+            got, want = f.value(name, args, {None: None, "4h": 14400, "1d": 86400}[frame]), rows[sides[text.strip()]].to_numpy(float)
+            assert np.array_equal(np.isnan(got), np.isnan(want)), (text, symbol)
+            assert np.allclose(got, want, rtol=1e-7, atol=1e-7, equal_nan=True), (text, symbol)
+    bars.unpersist()
+
+
 def slow_decode(genome, wraps=2):
     from barloom.plans.grammar import RULES
 
