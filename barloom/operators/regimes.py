@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +16,18 @@ from barloom.operators.hmm import Model, fit_hmm
 LABELS = ("bull", "bear", "sideways")
 
 
+def _running_median(df: DataFrame, of: str, name: str) -> DataFrame:
+    """Adds the median of what a symbol has shown so far, in one pass that keeps the values ordered."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{name}` double"
+
+    def run(bars: pa.Table) -> pa.Table:
+        bars = bars.take(pc.sort_indices(bars, [("ts", "ascending")]))
+        median = pd.Series(bars.column(of).to_numpy()).expanding().median().to_numpy()
+        return bars.append_column(name, pa.array(median, pa.float64(), mask=np.isnan(median)))
+
+    return df.groupBy("symbol").applyInArrow(run, schema)
+
+
 def by_average(bars: DataFrame, n: int = 50, vol_n: int = 20, slope: float = 0.005, calm: float = 1.5, warm: int = 100, causal: bool = False) -> DataFrame:
     """``regime`` from the average's slope over five bars; wild bars are sideways, as are the first ``warm``.
 
@@ -20,8 +35,8 @@ def by_average(bars: DataFrame, n: int = 50, vol_n: int = 20, slope: float = 0.0
     """
     df = bars.withColumn("_m", guarded(F.avg, "close", n)).withColumn("_r", F.log(F.col("close") / F.lag("close", 1).over(order())))
     df = df.withColumn("_s", over(F.col("_m") - F.lag("_m", 5).over(order()), F.col("_m"))).withColumn("_v", guarded(F.stddev_samp, "_r", vol_n))
-    span = order().rowsBetween(W.unboundedPreceding, 0) if causal else W.partitionBy("symbol")
-    df = df.withColumn("_d", F.percentile("_v", F.lit(0.5)).over(span)).withColumn("_n", F.row_number().over(order()))
+    df = _running_median(df, "_v", "_d") if causal else df.withColumn("_d", F.percentile("_v", F.lit(0.5)).over(W.partitionBy("symbol")))
+    df = df.withColumn("_n", F.row_number().over(order()))
     aside = (F.col("_n") <= warm) | F.col("_s").isNull() | F.col("_v").isNull() | (F.col("_v") > calm * F.col("_d"))
     label = F.when(aside, "sideways").when(F.col("_s") > slope, "bull").when(F.col("_s") < -slope, "bear").otherwise("sideways")
     return df.withColumn("regime", label).drop("_m", "_r", "_s", "_v", "_d", "_n")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.splits import hashed
 
+POPULATION = 50_000  # strategies whose pairs are compared at most
 CANDIDATES = 2000  # candidates of a greedy choice; its pairs reach the driver only within this bound
 
 
@@ -21,8 +22,11 @@ def best_by(df: DataFrame, keys: list[str], order: list[Column], k: int = 1) ->
 def dominated_pairs(df: DataFrame, objectives: list[str], violation: str | None = None) -> DataFrame:
     """``id, by``: rows that another row dominates: no objective worse and one better; with ``violation``, the smaller one wins first.
 
-    A population is one generation's strategies, hundreds to thousands: a theta join of that is what the operator is.
+    A population is one generation's strategies, hundreds to thousands: a theta join of that is what the operator is. Its size is
+    checked first.
     """
+    if df.limit(POPULATION + 1).count() > POPULATION:
+        raise ValueError(f"more than {POPULATION} strategies: choose among them first")
     cols = [*objectives, *([violation] if violation else [])]
     a = df.select(F.col("id"), *[F.col(c).alias(f"a_{c}") for c in cols])
     b = df.select(F.col("id").alias("by"), *[F.col(c).alias(f"b_{c}") for c in cols])

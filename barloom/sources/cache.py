@@ -13,18 +13,26 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a new folder where it is unset."""
+    """``spark.checkpoint.dir``; where it is unset, a new local folder for a local master, and an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
     return context.getCheckpointDir().rstrip("/")
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared one; it goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return f"{path}/data"
 
 
 def exists(spark: SparkSession, path: str) -> bool:

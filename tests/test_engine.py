@@ -171,3 +171,18 @@ def test_entry(spark):
 
     out = __spark_entry__.entry(spark).toPandas()
     assert len(out) == 10 and isinstance(out, pd.DataFrame)
+
+
+def test_causal_regimes_look_back_only(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from barloom.operators import regimes
+
+    draw = np.random.default_rng(3)
+    close = 100 * np.exp(np.cumsum(draw.normal(0, 0.01, 300)))
+    rows = [("a", k * 3600, *[float(close[k])] * 4, 1.0) for k in range(300)]
+    bars = spark.createDataFrame(rows, BARS)
+    said = lambda df: {r["ts"]: r["regime"] for r in regimes.by_average(df, causal=True).collect()}
+    whole, part = said(bars), said(bars.where(F.col("ts") < 200 * 3600))
+    assert len(whole) == 300 and all(whole[t] == x for t, x in part.items()) and len(set(whole.values())) > 1
