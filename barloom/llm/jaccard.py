@@ -37,7 +37,7 @@ SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9999
 SIGNATURE, CHILDREN, LEVELS, SMALL = 64, 2, 4, 64
 CANDIDATE = 0.55  # estimated similarity that makes a candidate: five standard deviations below the threshold
 TIGHT = 0.9  # estimated similarity to a pivot that lets it stand for a text
-BLOCK, SIGNATURE_BLOCK = 256, 512  # texts in a block of the exact check, and of a large bucket
+BLOCK, SIGNATURE_BLOCK = 256, 256  # texts in a block of the exact check, and of a large bucket
 BROADCAST_KEYS, BROADCAST_PIVOTS = 200_000, 50_000  # keys and signatures that are sent to every task at most
 
 _ODD = np.random.default_rng(20240607).integers(0, 2**63, SIGNATURE + SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
