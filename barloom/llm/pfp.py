@@ -32,7 +32,7 @@ from barloom.llm.lines import doc_key
 LENGTH, K = 200, 32
 WIDTH = LENGTH - K + 1  # K-grams of a string
 SEGMENT = 1 << 21  # bytes that one round of numpy works on
-GROUP = 4096  # phrases of one trigger that a task takes
+GROUP = 1024  # phrases of one trigger that a task takes
 DICTIONARY = 1 << 20  # bytes of phrases that are sorted at once, rounded up to whole groups
 BROADCAST_TRIGGERS = 2_000_000  # shared triggers that are sent to every task; more are joined by document
 
