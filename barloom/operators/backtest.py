@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,6 +21,7 @@ CURVE = "strategy_id string, window_id string, symbol string, ts bigint, equity
 
 
 BARS = ["ts", "high", "low", "close", "atr"]
+SPLITS = 10  # splits that one task runs over a series
 CHUNK = 250  # strategies of a population that one task runs over a series
 
 
@@ -75,6 +78,36 @@ def curves(rows: DataFrame, rules: dict[str, Rules]) -> DataFrame:
     return rows.groupBy("window_id", "symbol").applyInArrow(one, CURVE)
 
 
+def split_trades(rows: DataFrame, rules: dict[str, Rules], groups: int, held_out: int, embargo: int) -> DataFrame:
+    """The trades on the test bars of every way to hold out ``held_out`` of ``groups`` groups (``grp`` of each bar), one after another;
+    the window is the split's number. A test group behind a training group loses its first ``embargo`` bars.
+
+    Splits are masks on one series, so bars aren't repeated for them; a series goes to a task once for each ``SPLITS`` splits.
+    """
+    ways = list(enumerate(itertools.combinations(range(groups), held_out)))
+    chunks = [ways[k : k + SPLITS] for k in range(0, len(ways), SPLITS)]
+    part = F.explode(F.sequence(F.lit(0), F.lit(len(chunks) - 1)))
+    names = list(rules)
+    rows = rows.select("symbol", "ts", "grp", *[F.col(c).cast("double").alias(c) for c in BARS[1:]], *[F.coalesce(F.col(n), F.lit(False)).alias(n) for n in names]).withColumn("part", part)
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        table, arrays = _series(table)
+        grp = table.column("grp").to_numpy()
+        place = np.arange(len(grp)) - np.searchsorted(grp, grp)  # groups follow one another in time
+        out = []
+        for number, test in chunks[key[1].as_py()]:
+            is_test = np.zeros(groups + 1, bool)  # the last one stands before the first group
+            is_test[list(test)] = True
+            behind = (grp > 0) & ~is_test[grp - 1]
+            keep = is_test[grp] & ~(behind & (place < embargo))
+            signal = lambda name, keep=keep: table.column(name).to_numpy()[keep]
+            if keep.any():
+                out += _trade_rows((str(number), key[0].as_py()), names, rules, [a[keep] for a in arrays], signal)
+        return _table(out, TRADE)
+
+    return rows.groupBy("symbol", "part").applyInArrow(one, TRADE)
+
+
 def population_trades(bars: DataFrame, strategies: dict, rules: dict[str, Rules], seconds: int) -> DataFrame:
     """The trades of many strategies on all symbols of ``bars``.
 

@@ -132,8 +132,7 @@ RULES = Rules("LONG", 3.0, 1.5, 0.0, COST)
 
 
 def cpcv_trades(spark, sf_dir):
-    rows = splits.purged(splits.groups(signals(spark, sf_dir), 6), splits.combinations(spark, 6, 3), 4, 2).where("role = 'test'")
-    return BT.trades(BT.bar_form(rows, ["s1"], F.col("split_id").cast("string")), {"s1": RULES})
+    return BT.split_trades(splits.groups(signals(spark, sf_dir), 6), {"s1": RULES}, 6, 3, 2)
 
 
 LEAST_BARS = 100  # a split with fewer test bars isn't scored
