@@ -54,17 +54,18 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the K bytes from each position."""
-    h, size = _BYTES[data], 1
-    for m in _MULTIPLY:
-        if size == K:
-            break
-        h = h[:-size] * m + h[size:]
-        h ^= h >> np.uint64(29)
-        size *= 2
+def _rolling(data: np.ndarray) -> np.ndarray:
+    """Sums of byte values times powers of the base, up to each position: the rolling hash of any range is a difference, shifted back."""
+    power, _ = _powers()
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * power[: len(data)], dtype=np.uint64)))
+
+
+def _grams(total: np.ndarray) -> np.ndarray:
+    """The mixed rolling hash of the K bytes from each position."""
+    h = (total[K:] - total[:-K]) * _powers()[1][: len(total) - K]
+    h ^= h >> np.uint64(31)
     h *= _MULTIPLY[6]
-    return h ^ (h >> np.uint64(32))
+    return h ^ (h >> np.uint64(29))
 
 
 def _window_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -83,7 +84,8 @@ def phrases(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     none = np.empty(0, np.int64)
     if len(data) < LENGTH:
         return none, none, none, none, none, none
-    hashes = _grams(data)
+    total = _rolling(data)
+    hashes = _grams(total)
     low = np.uint64((1 << 22) - 1)
     marked = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
     trigger = (_window_min(marked, WIDTH) & low).astype(np.int64)  # by start
@@ -102,8 +104,7 @@ def phrases(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
         return none, none, none, none, none, none
     at = np.flatnonzero(valid)
     last = at[np.append(np.searchsorted(at, first[1:]) - 1, len(at) - 1)]
-    power, inverse = _powers()
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * power[: len(data)], dtype=np.uint64)))
+    inverse = _powers()[1]
     whole = (total[last + LENGTH] - total[first]) * inverse[first]
     whole = (whole ^ (whole >> np.uint64(31))) * _MULTIPLY[7] + ((trigger[first] - first) * 512 + (last - first)).astype(np.uint64)
     whole ^= whole >> np.uint64(33)
