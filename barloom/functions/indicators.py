@@ -40,7 +40,7 @@ def over(a: Column, b: Column) -> Column:
 
 
 class Stage:
-    """Helper columns in as few projections as their references allow: a column waits with all others of its level, one above those it names."""
+    """Helper columns in as few projections as what they name allows: a column waits with all others of its level, one above those it names."""
 
     def __init__(self, df: DataFrame):
         self.df, self.keep, self.n = df, df.columns, 0

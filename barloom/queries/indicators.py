@@ -257,6 +257,14 @@ def feat_basic(spark, sf_dir):
 
 # predicates
 
+@register("prd_registry", "SELECT * FROM (VALUES " + ", ".join(f"('{n}')" for n in sorted(P.PREDICATES)) + ") t(name)")
+def prd_registry(spark, sf_dir):
+    """The names that predicates are registered under; each builds a Column of bars."""
+    bars = event_bars(spark, sf_dir)
+    every = bars.select(*[build().alias(name) for name, build in P.PREDICATES.items()])
+    return spark.createDataFrame([(c,) for c in every.columns], "name string")
+
+
 _PRD_SQL = {
     **{f"prd_{x}": f"coalesce({S.lag(x, 1)}, 0.0)" for x in ("close", "open", "high", "low", "volume")},
     "prd_price_change_pct": f"coalesce((close - {S.lag('close', 3)})/nullif({S.lag('close', 3)}, 0), 0.0)",
