@@ -352,6 +352,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """``doc_id, class_id, n_links, n_copies`` of every row; see :func:`classes`.
+
+    Null and empty texts are wordless; rows that repeat stay repeated; null doc_ids are rows like any other, so a class of
+    them alone has a null ``class_id``; other columns are ignored; an empty table gives an empty result.
+    """
     return classes(docs, similarity, recall).drop("key", "member")
 
 
