@@ -69,7 +69,7 @@ def _spans(df: DataFrame, name: str, pattern: str, when: Column) -> DataFrame:
     kind = "array<struct<start:bigint,end:bigint,text:string,before:array<string>,behind:array<string>>>"
     df = df.withColumn("_hits", F.when(when, F.expr(f"regexp_extract_all(body, {_sql(pattern)}, 0)")))
     df = df.withColumn("_gaps", F.when(F.size("_hits") > 0, F.expr(f"split(body, {_sql(pattern)}, -1)")))
-    df = df.withColumn("_lengths", F.expr("transform(_hits, (h, i) -> cast(length(h) + length(get(_gaps, i)) as bigint))"))
+    df = df.withColumn("_lengths", F.expr("zip_with(_hits, slice(_gaps, 1, size(_hits)), (h, g) -> cast(length(h) + length(g) as bigint))"))
     df = df.withColumn("_before", F.expr(f"if(_gaps is null, null, {_prefix_sums('_lengths')})"))
     # the tokens at both ends of a gap: those of its last or first characters, if there are more of them than needed
     tail = f"if(length(g) > {NEAR} and size({_tokens(f'right(g, {NEAR})')}) > {BEFORE}, {_tokens(f'right(g, {NEAR})')}, {_tokens('g')})"
@@ -83,10 +83,12 @@ def _spans(df: DataFrame, name: str, pattern: str, when: Column) -> DataFrame:
     behind = "concat(" + ", ".join([f"{of('_heads', f'i + {k}')}, {of('_own', f'i + {k}')}" for k in range(1, BEHIND + 1)]) + ")"
     df = df.withColumn("_left", F.expr(f"transform(transform(_hits, (h, i) -> {before}), t -> {_last('t', BEFORE)})"))
     df = df.withColumn("_right", F.expr(f"transform(_hits, (h, i) -> slice({behind}, 1, {BEHIND}))"))
-    at = "get(_before, i) + length(get(_gaps, i))"
-    spans = F.expr(f"transform(_hits, (h, i) -> named_struct('start', {at}, 'end', {at} + length(h), 'text', h, 'before', get(_left, i), 'behind', get(_right, i)))")
+    # arrays meet by zipping: named once inside a lambda, an array would be made anew for each element
+    df = df.withColumn("_at", F.expr("zip_with(_before, slice(_gaps, 1, size(_hits)), (b, g) -> b + length(g))"))
+    zipped = "arrays_zip(_at, _hits, _left, _right)"
+    spans = F.expr(f"transform({zipped}, z -> named_struct('start', z._at, 'end', z._at + length(z._hits), 'text', z._hits, 'before', z._left, 'behind', z._right))")
     empty = F.expr(f"cast(array() as {kind})")
-    gone = ["_hits", "_gaps", "_lengths", "_before", "_tails", "_heads", "_own", "_left", "_right"]
+    gone = ["_hits", "_gaps", "_lengths", "_before", "_tails", "_heads", "_own", "_left", "_right", "_at"]
     return df.withColumn(name, F.when(F.col("_gaps").isNotNull(), spans.cast(kind)).otherwise(empty)).drop(*gone)
 
 
