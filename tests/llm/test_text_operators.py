@@ -148,6 +148,21 @@ def test_keep_bitmaps_are_runs(spark, monkeypatch):
         assert got == {6: ([(4, 2)], 4), 3: ([(1, 1)], 2)}
 
 
+def test_many_runs_in_one_text(spark):
+    import time
+
+    from barloom.llm.lines import line_dedup
+
+    text = "\n".join(f"own {i}" if i % 2 else "common" for i in range(40_000))
+    df = spark.createDataFrame([(i, text) for i in range(2)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = line_dedup(df.withColumn("text", df.text), min_docs=2, counts=False).collect()
+    assert [r["text"] for r in got] == ["", ""] and time.perf_counter() - began < 60
+    df = spark.createDataFrame([(1, text), (2, "common")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup(df, min_docs=2, counts=False).collect()}
+    assert got[1] == "\n".join(f"own {i}" for i in range(1, 40_000, 2)) and time.perf_counter() - began < 60
+
+
 def test_lines_of_odd_rows(odd, none):
     from barloom.llm.lines import line_dedup
 
