@@ -92,7 +92,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, counts: bool = True) -> D
     body = F.col("text").cast("string")
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), *doc_key(F.col("doc_id"), body), body.alias("body"))
     joined = left.join(bitmaps.select("d1", "d2", "kept", "n_dropped"), ["d1", "d2"], "left").select("doc", "kept", "n_dropped", split_lines(F.col("body")).alias("lines"))
-    kept = F.expr("array_join(flatten(transform(kept, r -> slice(lines, r.start + 1, r.length))), '\n')")
+    # lines are named twice: named once inside a lambda, the text would be split anew for each run
+    kept = F.expr("if(size(lines) > 0, array_join(flatten(transform(kept, r -> slice(lines, r.start + 1, r.length))), '\n'), '')")
     text = F.when(F.col("kept").isNull(), F.coalesce(F.col("doc.text").cast("string"), F.lit(""))).otherwise(kept)
     joined = joined.select("doc", "n_dropped", "lines", text.alias("_left"))
     made = {"text": F.col("_left"), "n_chars": F.length("_left")}
