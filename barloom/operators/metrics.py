@@ -110,7 +110,13 @@ def moments(df: DataFrame, keys: list[str], x: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, keys: list[str], x: str, bins: int) -> DataFrame:
-    """``bin, n`` of equal widths between each key's least and greatest value; the greatest falls into the last bin."""
-    span = df.where(F.col(x).isNotNull()).groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    at = F.least(F.floor((F.col(x) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins), F.lit(bins - 1))
-    return df.where(F.col(x).isNotNull()).join(span, keys).groupBy(*keys, F.coalesce(at, F.lit(0)).cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
+    """``bin, n`` of equal widths between each key's least and greatest value; the greatest falls into the last bin.
+
+    The bounds come from the very rows that are counted: computed a second time, sums in another order could move them past a row.
+    """
+    by = W.partitionBy(*keys)
+    for c in [*keys, x]:
+        df = df.where(F.col(c).isNotNull())
+    df = df.select(*keys, F.col(x).alias("_x"), F.min(x).over(by).alias("_lo"), F.max(x).over(by).alias("_hi"))
+    at = F.least(F.floor((F.col("_x") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins), F.lit(bins - 1))
+    return df.groupBy(*keys, F.coalesce(at, F.lit(0)).cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
