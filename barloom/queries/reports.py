@@ -70,8 +70,10 @@ _register("snk_html", "html", ["<!DOCTYPE html>", "<html><head><meta charset=\"u
 @register("snk_plots", q(
     f"SELECT 'equity' AS plot, symbol, ts::DOUBLE AS x, {S.rnd('close/first_value(close) OVER (PARTITION BY symbol ORDER BY ts)*100')} AS y FROM z UNION ALL SELECT 'drawdown', symbol, ts::DOUBLE, {S.rnd('dd')} FROM z UNION ALL SELECT 'returns', symbol, bin::DOUBLE, n::DOUBLE FROM ({_H})", RET))
 def snk_plots(spark, sf_dir):
-    """The points that plots are drawn from: equity and drawdown over time, and the histogram of returns."""
-    df = M.returns(curve(spark, sf_dir), ["symbol"])
+    """The points that plots are drawn from: equity and drawdown over time, and the histogram of returns; the curve is computed once for all three."""
+    path = cache.fresh(spark, "curve")
+    M.returns(curve(spark, sf_dir), ["symbol"]).write.parquet(path)
+    df = spark.read.schema("symbol string, ts bigint, close double, equity double, r double, dd double").parquet(path)
     first = F.first("close").over(W.partitionBy("symbol").orderBy("ts").rowsBetween(W.unboundedPreceding, 0))
     at = F.col("ts").cast("double").alias("x")
     equity = df.select(F.lit("equity").alias("plot"), "symbol", at, rnd(F.col("close") / first * 100).alias("y"))

@@ -23,3 +23,23 @@ def test_flat_and_missing_values(spark):
     df = spark.createDataFrame([("flat", 2.0), ("flat", 2.0), ("none", None), ("two", 1.0), ("two", 3.0), ("two", None)], "symbol string, r double")
     got = {(r["symbol"], r["bin"]): r["n"] for r in histogram(df, ["symbol"], "r", 4).collect()}
     assert got == {("flat", 3): 2, ("two", 0): 1, ("two", 3): 1}
+
+
+def test_plots_are_drawn_from_one_curve(spark, tmp_path):
+    """The walk is computed once: every plot counts the same returns, even when values change between evaluations."""
+    import datetime
+
+    from barloom.queries import load, reports
+
+    rows = [(i, i % 7, "click", float(1 + i * 37 % 101), datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=20 * i)) for i in range(300)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    moving = F.udf(lambda v: v * random.uniform(0.99, 1.01), "double").asNondeterministic()
+    plain, reports.curve = reports.curve, lambda s, d: plain(s, d).withColumn("equity", moving("equity"))
+    try:
+        out = load()[0]["snk_plots"](spark, str(tmp_path))
+        falls = [sorted((r["x"], r["y"]) for r in out.where("plot = 'drawdown'").collect()) for _ in range(2)]
+        bins = {int(r["x"]): r["y"] for r in out.where("plot = 'returns'").collect()}
+    finally:
+        reports.curve = plain
+    assert falls[0] == falls[1]
+    assert sum(bins.values()) == len(falls[0]) - 1 and min(bins) == 0 and max(bins) == 49
