@@ -38,3 +38,10 @@ def test_counts_of_dominators(pop):
     rows, df = pop
     want = {a[0]: n for a in rows if (n := sum(beats(b, a) for b in rows))}
     assert {r["id"]: r["n"] for r in X.dominators(df, ["o1", "o2"]).collect()} == want
+
+
+def test_pareto_front(pop):
+    rows, df = pop
+    got = X.pareto_front(df, ["o1", "o2"])
+    assert got.columns == df.columns
+    assert sorted(r["id"] for r in got.collect()) == [a[0] for a in rows if not any(beats(b, a) for b in rows)]
