@@ -45,3 +45,24 @@ def test_pareto_front(pop):
     got = X.pareto_front(df, ["o1", "o2"])
     assert got.columns == df.columns
     assert sorted(r["id"] for r in got.collect()) == [a[0] for a in rows if not any(beats(b, a) for b in rows)]
+
+
+@pytest.mark.parametrize("violation", [None, "viol"])
+def test_ranks(pop, violation):
+    rows, df = pop
+    above = {a[0]: [b[0] for b in rows if beats(b, a, bool(violation))] for a in rows}
+    ranks = {}
+    while len(ranks) < len(rows):
+        ranks |= {i: max((ranks[j] + 1 for j in a), default=0) for i, a in above.items() if i not in ranks and all(j in ranks for j in a)}
+    got = X.front_ranks(df, ["o1", "o2"], violation)
+    assert got.columns == [*df.columns, "rank"]
+    assert {r["id"]: r["rank"] for r in got.collect()} == ranks
+
+
+def test_no_rows_and_other_numbers_of_objectives(spark):
+    none = spark.createDataFrame([], "id long, o1 double, o2 double, viol double")
+    assert X.dominators(none, ["o1", "o2"]).count() == X.pareto_front(none, ["o1", "o2"]).count() == X.front_ranks(none, ["o1", "o2"], "viol").count() == 0
+    three = spark.createDataFrame([(0, 1, 1, 1), (1, 2, 1, 1), (2, 0, 5, 0), (3, 0, 4, 0)], "id long, a long, b long, c long")
+    assert sorted(r["id"] for r in X.pareto_front(three, ["a", "b", "c"]).collect()) == [1, 2]
+    assert {r["id"]: r["rank"] for r in X.front_ranks(three, ["a", "b", "c"]).collect()} == {0: 1, 1: 0, 2: 0, 3: 1}
+    assert {r["id"]: r["n"] for r in X.dominators(three, ["a", "b", "c"]).collect()} == {0: 1, 3: 1}
