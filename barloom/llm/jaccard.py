@@ -38,7 +38,7 @@ SIGNATURE, CHILDREN, LEVELS, SMALL = 64, 2, 4, 64
 CANDIDATE = 0.55  # estimated similarity that makes a candidate: five standard deviations below the threshold
 TIGHT = 0.9  # estimated similarity to a pivot that lets it stand for a text
 BLOCK, SIGNATURE_BLOCK = 256, 512  # texts in a block of the exact check, and of a large bucket
-BROADCAST_KEYS, BROADCAST_PIVOTS = 200_000, 50_000  # keys and signatures that are sent to every task at most
+BROADCAST_KEYS = 200_000  # keys that are sent to every task at most
 
 _ODD = np.random.default_rng(20240607).integers(0, 2**63, SIGNATURE + SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = np.random.default_rng(7).integers(0, 2**63, SIGNATURE, dtype=np.uint64)
@@ -108,10 +108,17 @@ def _split(rows: DataFrame, children: int) -> DataFrame:
     return rows.select(F.expr("xxhash64(path, child, at, substring(sig, at * 4 + 1, 4))").alias("path"), "key")
 
 
-def _full(rows: DataFrame) -> DataFrame:
-    """Rows in buckets of two members at least, with the bucket's size ``n`` and its pivot ``b``, the smallest key."""
+def _full(rows: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Rows in buckets of two members at least, with the bucket's size ``n``, its pivot ``b``, the smallest key, and in large buckets
+    the pivot's signature ``pivot``: all that a bucket's rows need to know of it, so that they are joined with it once."""
     rows = stash(rows, "paths")
     sizes = stash(rows.groupBy("path").agg(F.count("*").alias("n"), F.min("key").alias("b")).where("n > 1"), "sizes")
+    large = sizes.where(F.col("n") > SMALL)
+    if not large.isEmpty():
+        pivots = large.join(sigs.select(F.col("key").alias("b"), F.col("sig").alias("pivot")), "b").select("path", "n", "b", "pivot")
+        sizes = stash(sizes.where(F.col("n") <= SMALL).withColumn("pivot", F.lit(None).cast("binary")).unionByName(pivots), "sizes")
+    else:
+        sizes = sizes.withColumn("pivot", F.lit(None).cast("binary"))
     return rows.join(sizes, "path")  # written first, the sizes have an exchange of their own, so Spark can split a hot path
 
 
@@ -192,7 +199,7 @@ def candidates(texts: DataFrame, similarity: float = SIMILARITY, recall: float =
     edges, level = None, 1
     rows = _split(root, CHILDREN)
     while True:
-        full = stash(_full(rows), "buckets")
+        full = stash(_full(rows, sigs), "buckets")
         small = full.where(F.col("n") <= SMALL).join(sigs, "key").select("path", one.alias("i"), one.alias("j"), "key", "sig")
         found = _bucket_edges(small)
         edges = found if edges is None else edges.unionByName(found)
@@ -214,9 +221,7 @@ def candidates(texts: DataFrame, similarity: float = SIMILARITY, recall: float =
 
 def _against_pivot(large: DataFrame, sigs: DataFrame) -> DataFrame:
     """``path, key, sig, b, alike`` of large buckets: the estimated similarity to the pivot."""
-    paths = large.groupBy("path").agg(F.first("b").alias("b"))
-    pivots = stash(paths.join(sigs.select(F.col("key").alias("b"), F.col("sig").alias("pivot")), "b").select("path", "pivot"), "pivots")
-    joined = large.join(sigs, "key").join(F.broadcast(pivots) if pivots.count() <= BROADCAST_PIVOTS else pivots, "path")
+    joined = large.join(sigs, "key")
     same = F.expr(f"size(filter(sequence(0, {SIGNATURE - 1}), i -> substring(sig, i * 4 + 1, 4) = substring(pivot, i * 4 + 1, 4)))")
     return stash(joined.select("path", "key", "sig", "b", (same / SIGNATURE).alias("alike")), "near")
 
