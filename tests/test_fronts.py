@@ -66,3 +66,11 @@ def test_no_rows_and_other_numbers_of_objectives(spark):
     assert sorted(r["id"] for r in X.pareto_front(three, ["a", "b", "c"]).collect()) == [1, 2]
     assert {r["id"]: r["rank"] for r in X.front_ranks(three, ["a", "b", "c"]).collect()} == {0: 1, 1: 0, 2: 0, 3: 1}
     assert {r["id"]: r["n"] for r in X.dominators(three, ["a", "b", "c"]).collect()} == {0: 1, 3: 1}
+
+
+def test_crowding_needs_no_pairs(spark, sf_dir, duck, same, monkeypatch):
+    from barloom.queries import load
+
+    monkeypatch.setattr(X, "POPULATION", 10)
+    queries, sql = load()
+    same(queries["win_crowding"](spark, sf_dir).toPandas(), duck.execute(sql["win_crowding"]).df())
