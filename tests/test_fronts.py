@@ -74,3 +74,11 @@ def test_crowding_needs_no_pairs(spark, sf_dir, duck, same, monkeypatch):
     monkeypatch.setattr(X, "POPULATION", 10)
     queries, sql = load()
     same(queries["win_crowding"](spark, sf_dir).toPandas(), duck.execute(sql["win_crowding"]).df())
+
+
+def test_tournament_needs_no_pairs(spark, sf_dir, duck, same, monkeypatch):
+    from barloom.queries import load
+
+    monkeypatch.setattr(X, "POPULATION", 10)
+    queries, sql = load()
+    same(queries["sel_tournament_bin"](spark, sf_dir).toPandas(), duck.execute(sql["sel_tournament_bin"]).df())
