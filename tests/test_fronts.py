@@ -82,3 +82,18 @@ def test_tournament_needs_no_pairs(spark, sf_dir, duck, same, monkeypatch):
     monkeypatch.setattr(X, "POPULATION", 10)
     queries, sql = load()
     same(queries["sel_tournament_bin"](spark, sf_dir).toPandas(), duck.execute(sql["sel_tournament_bin"]).df())
+
+
+@pytest.fixture
+def stored(monkeypatch):
+    """Name and columns of each table that ranking stores."""
+    seen, store = [], X._stored
+    monkeypatch.setattr(X, "_stored", lambda df, name: seen.append((name, df.columns)) or store(df, name))
+    return seen
+
+
+def test_tournament_ranks_only_the_columns_it_compares(spark, sf_dir, stored):
+    from barloom.queries import load
+
+    assert load()[0]["sel_tournament_bin"](spark, sf_dir).count() == 50
+    assert stored and all(set(columns) <= {"id", "o1", "o2", "viol", "rank"} for _, columns in stored)
