@@ -97,3 +97,10 @@ def test_tournament_ranks_only_the_columns_it_compares(spark, sf_dir, stored):
 
     assert load()[0]["sel_tournament_bin"](spark, sf_dir).count() == 50
     assert stored and all(set(columns) <= {"id", "o1", "o2", "viol", "rank"} for _, columns in stored)
+
+
+def test_crowding_ranks_only_the_columns_it_compares(spark, sf_dir, stored):
+    from barloom.queries import load
+
+    assert load()[0]["win_crowding"](spark, sf_dir).count() > 0
+    assert stored and all(set(columns) <= {"id", "o1", "o2", "viol", "rank"} for _, columns in stored)
